@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from waymill.llm import kdtree, mixing
+from waymill.llm import decontaminate, kdtree, mixing, toxicity, urltree
 
 QUERIES = {
+    "op1_url_filter": urltree.op1_url_filter,
     "op4_mixing": mixing.op4_mixing,
     "op5_topk": kdtree.op5_topk,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
     "op4_mixing": mixing.OP4_SQL,
