@@ -22,13 +22,59 @@ def normalise(text: str | None) -> str:
 
 
 class Pattern:
-    """One test item: its error budget, its pieces, and Myers' masks."""
+    """A test item or a part of it: its error budget, and Myers' masks.
+
+    An item of budget k is a tree with k + 1 pieces as leaves. Where a part with e
+    errors at most splits into parts of budgets e1 + e2 = e - 1, one of the two keeps
+    to its own budget; so some piece stands unchanged and each part above it, up to the
+    item, is within budget. A piece that is found is followed upwards until a part isn't.
+    """
 
     def __init__(self, text: str, rate: float):
-        self.text, self.size = text, len(text)
-        self.budget = int(self.size * rate)
-        cuts = [self.size * i // (self.budget + 1) for i in range(self.budget + 2)]
-        self.pieces = [(a, text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        budget = int(len(text) * rate)
+        cuts = [len(text) * i // (budget + 1) for i in range(budget + 2)]
+        self.pieces: list[Pattern] = []
+        self._set(text, 0, budget, None)
+        self._split(text, cuts, self.pieces)
+
+    def _set(self, text: str, offset: int, budget: int, above: "Pattern | None"):
+        self.text, self.size, self.offset, self.budget, self.above, self.other = text, len(text), offset, budget, above, None
+
+    def _split(self, text: str, cuts: list[int], pieces: "list[Pattern]"):
+        if len(cuts) == 2:
+            pieces.append(self)
+            return
+        half = len(cuts) // 2
+        kids = []
+        for part in (cuts[: half + 1], cuts[half:]):
+            kid = Pattern.__new__(Pattern)
+            kid._set(text[part[0] : part[-1]], part[0], len(part) - 2, self)
+            kid._split(text, part, pieces)
+            kids.append(kid)
+        if len(cuts) == 3:
+            kids[0].other, kids[1].other = kids[1], kids[0]
+
+    def near(self, plain: str, at: int) -> bool:
+        """Whether the other of two sibling pieces may stand beside this one, at ``at``, with one error."""
+        text = self.other.text
+        half = len(text) // 2
+        if self.other.offset > self.offset:
+            at += self.size
+            return plain.startswith(text[:half], at) or plain.find(text[half:], at + half - 1, at + len(text) + 1) >= 0
+        at -= len(text)
+        return plain.startswith(text[half:], max(0, at + half)) or plain.find(text[:half], max(0, at - 1), at + half + 1) >= 0
+
+    def rises(self, plain: str, at: int) -> bool:
+        """Whether all parts above this piece, found at ``at``, are within their budgets there (the item itself untested)."""
+        if self.other is not None and not self.near(plain, at):
+            return False
+        part = self.above
+        while part is not None and part.above is not None:
+            start = at - self.offset + part.offset
+            if part.best(plain[max(0, start - part.budget) : start + part.size + part.budget])[0] > part.budget:
+                return False
+            part = part.above
+        return True
 
     def masks(self, backwards: bool = False) -> dict[str, int]:
         name = "_back" if backwards else "_on"
@@ -75,10 +121,10 @@ class Matcher:
         import ahocorasick
 
         self.items = [(i, Pattern(t, rate)) for i, t in items]
-        where: dict[str, list[tuple[int, int]]] = {}
+        where: dict[str, list[tuple[int, Pattern]]] = {}
         for n, (_, pattern) in enumerate(self.items):
-            for offset, piece in pattern.pieces:
-                where.setdefault(piece, []).append((n, offset))
+            for piece in pattern.pieces:
+                where.setdefault(piece.text, []).append((n, piece))
         self.automaton = ahocorasick.Automaton()
         for piece, places in where.items():
             self.automaton.add_word(piece, (len(piece), places))
@@ -95,10 +141,13 @@ class Matcher:
         plain = normalise(text)
         stretches: dict[int, list[list[int]]] = {}
         for end, (size, places) in self.automaton.iter(plain):
-            for n, offset in places:
+            for n, piece in places:
+                start = end + 1 - size
+                if not piece.rises(plain, start):
+                    continue
                 pattern = self.items[n][1]
-                a = max(0, end + 1 - size - offset - pattern.budget)
-                b = min(len(plain), end + 1 - size - offset + pattern.size + pattern.budget)
+                a = max(0, start - piece.offset - pattern.budget)
+                b = min(len(plain), start - piece.offset + pattern.size + pattern.budget)
                 known = stretches.setdefault(n, [])
                 if known and a <= known[-1][1] and known[-1][0] <= b:
                     known[-1] = [min(a, known[-1][0]), max(b, known[-1][1])]
