@@ -97,8 +97,8 @@ class Words:
     ``data``, the UTF-8 of all texts; first: for each text the index of its first word.
     """
 
-    def __init__(self, texts: list[str | None]):
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    def __init__(self, texts: list[str | bytes | None]):
+        raw = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass") for t in texts]
         self.joined = b" ".join(raw) + b" "
         data = self.data = np.frombuffer(self.joined, dtype=np.uint8)
         inside = np.empty(len(data) + 1, dtype=np.int8)

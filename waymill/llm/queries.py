@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from waymill.llm import decontaminate, kdtree, langid, mixing, toxicity, urltree
+from waymill.llm import decontaminate, kdtree, langid, mixing, substrings, toxicity, urltree
 
 QUERIES = {
     "op1_url_filter": urltree.op1_url_filter,
     "op2_langid": langid.op2_langid,
     "op4_mixing": mixing.op4_mixing,
     "op5_topk": kdtree.op5_topk,
+    "op7_substrings": substrings.op7_substrings,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op10_toxicity": toxicity.op10_toxicity,
 }
