@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waymill.llm import decontaminate, kdtree, langid, mixing, substrings, toxicity, urltree
+from waymill.llm import decontaminate, kdtree, langid, lines, mixing, substrings, toxicity, urltree
 
 QUERIES = {
     "op1_url_filter": urltree.op1_url_filter,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_topk": kdtree.op5_topk,
     "op7_substrings": substrings.op7_substrings,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_line_dedup": lines.op9_line_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
