@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from waymill.llm import decontaminate, kdtree, langid, lines, mixing, substrings, toxicity, urltree
+from waymill.llm import decontaminate, kdtree, langid, lines, minhash, mixing, substrings, toxicity, urltree
 
 QUERIES = {
     "op1_url_filter": urltree.op1_url_filter,
     "op2_langid": langid.op2_langid,
     "op4_mixing": mixing.op4_mixing,
     "op5_topk": kdtree.op5_topk,
+    "op6_near_dups": minhash.op6_near_dups,
     "op7_substrings": substrings.op7_substrings,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_line_dedup": lines.op9_line_dedup,
