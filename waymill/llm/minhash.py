@@ -15,8 +15,8 @@ from waymill.llm.exchange import opened, store_chunks, texts_of
 
 #: Words of a shingle, least similarity, sketches of a document, shingles in a sketch.
 SHINGLE, SIMILARITY, SKETCHES, ORDERED = 5, 0.8, 20, 4
-#: Rows of one bucket that one task compares with as many others.
-BLOCK_ROWS = 512
+#: Rows of one bucket that one call compares with as many others; shingles of a text that it compares.
+BLOCK_ROWS, THINNED = 512, 512
 _SALTS = mix(np.arange(1, SKETCHES + 1).astype(U64) * U64(0x9E3779B97F4A7C15))
 _NODES = pa.schema([("id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("chunk", pa.int64()), ("row", pa.int32()), ("n", pa.int32()), ("sketches", pa.list_(pa.int64()))])
 
@@ -137,17 +137,37 @@ def _nodes(id_col: str, text_col: str):
     return run
 
 
-def _payload(text_col: str):
+def _squeezed(text: bytes) -> bytes | None:
+    return squeeze(text.decode("utf-8", "surrogatepass"))
+
+
+def thinned(text: bytes) -> bytes:
+    """A sample of a text's labelled shingles: all, or those whose hash ends in the fewest zero bits that leave THINNED; led by how many."""
+    found = labelled_shingles(Words([text]))[0].astype(np.uint32)
+    bits = 0
+    while len(found) > THINNED:
+        bits += 1
+        found = found[found & np.uint32((1 << bits) - 1) == 0]
+    return np.r_[np.uint32(bits), np.unique(found)].tobytes()
+
+
+def _payload(text_col: str, of):
     def run(batches):
         for rows in batches:
             for row in rows.to_pylist():
                 texts = texts_of(opened(row["blob"]), text_col)
-                texts = [squeeze(texts[place["row"]].decode("utf-8", "surrogatepass")) for place in row["places"]]
-                yield pa.RecordBatch.from_arrays([pa.array([p["id"] for p in row["places"]], pa.int64()), pa.array(texts, pa.binary())], names=["id", "text"])
+                made = [of(texts[place["row"]]) for place in row["places"]]
+                yield pa.RecordBatch.from_arrays([pa.array([p["id"] for p in row["places"]], pa.int64()), pa.array(made, pa.binary())], names=["id", "text"])
 
     return run
 
 
+def payload(ids: DataFrame, of, name: str, chunks: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
+    """(id, text): of(text) for the nodes of these distinct ids. Only this leaves the chunks."""
+    places = nodes.join(ids, "id", "left_semi").groupBy("chunk").agg(F.collect_list(F.struct("id", "row")).alias("places"))
+    return materialise(chunks.join(places, "chunk").select("blob", "places").mapInArrow(_payload(text_col, of), "id long, text binary"), name)
+
+
 class _Verifier:
     """Similarity of compressed texts; remembers the shingles of a bounded number of them."""
 
@@ -173,11 +193,10 @@ class _Verifier:
 
 
 def verified(pairs: DataFrame, chunks: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose texts are similar. Only texts that are in a pair leave their chunk."""
+    """The pairs (a, b) whose texts are similar."""
     pairs = materialise(pairs, "near-pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    places = nodes.join(ids, "id", "left_semi").groupBy("chunk").agg(F.collect_list(F.struct("id", "row")).alias("places"))
-    texts = materialise(chunks.join(places, "chunk").select("blob", "places").mapInArrow(_payload(text_col), "id long, text binary"), "near-texts")
+    texts = payload(ids, _squeezed, "near-texts", chunks, nodes, text_col)
 
     def check(batches):
         verifier = _Verifier()
@@ -190,28 +209,39 @@ def verified(pairs: DataFrame, chunks: DataFrame, nodes: DataFrame, text_col: st
 
 
 def _cross_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of the first block's rows with the second's that are in different components, alike in length and in another sketch.
+    """Pairs of left and right rows in different components whose lengths, another sketch and thinned shingles allow it.
 
     A pair that shares several buckets is given in the first of them only.
     """
-    table = table.sort_by("id")
-    i, b1, b2 = (table.column(k)[0].as_py() for k in ("i", "b1", "b2"))
-    block = np.asarray(table.column("block"))
+    i = table.column("i")[0].as_py()
+    side = np.asarray(table.column("left"))
     ids, label, n = (np.asarray(table.column(k)) for k in ("id", "label", "n"))
     sketches = np.asarray(table.column("sketches").combine_chunks().flatten()).reshape(len(ids), -1)
-    left, right = np.flatnonzero(block == b1), np.flatnonzero(block == b2)
+    thin = [np.frombuffer(t, np.uint32) for t in table.column("text").to_pylist()]
+    bits = np.array([t[0] for t in thin])
+    left, right = np.flatnonzero(side), np.flatnonzero(~side)
+    values = np.concatenate([thin[y][1:] for y in right]) if len(right) else np.zeros(0, np.uint32)
+    owner = np.repeat(right, [len(thin[y]) - 1 for y in right]) if len(right) else right
     out_a, out_b = [], []
     for x in left.tolist():
         ys = right[label[right] != label[x]]
-        if b1 == b2:
-            ys = ys[ys > x]
-        short = np.minimum(n[ys], n[x])
-        ys = ys[short >= SIMILARITY * np.maximum(n[ys], n[x]) - 1e-9]
-        if len(ys):
-            same = sketches[ys] == sketches[x]
-            ys = ys[(same.sum(axis=1) >= 2) & (same.argmax(axis=1) == i)]
-            out_a += [int(max(ids[x], y)) for y in ids[ys]]
-            out_b += [int(min(ids[x], y)) for y in ids[ys]]
+        ys = ys[np.minimum(n[ys], n[x]) >= SIMILARITY * np.maximum(n[ys], n[x]) - 1e-9]
+        same = sketches[ys] == sketches[x]
+        ys = ys[(same.sum(axis=1) >= 2) & (same.argmax(axis=1) == i)]
+        for level in np.unique(np.maximum(bits[ys], bits[x])).tolist():
+            mine = np.zeros(len(ids), dtype=bool)
+            mine[ys[np.maximum(bits[ys], bits[x]) == level]] = True
+            mask = np.uint32((1 << level) - 1)
+            own = thin[x][1:][thin[x][1:] & mask == 0]
+            use = mine[owner] & (values & mask == 0)
+            sizes = np.bincount(owner[use], minlength=len(ids))
+            both = np.bincount(owner[use][np.isin(values[use], own)], minlength=len(ids))
+            union = sizes + len(own) - both
+            # A sample's share strays from the text's: four standard deviations are let by, none where all shingles are there.
+            least = SIMILARITY - (4 * np.sqrt(SIMILARITY * (1 - SIMILARITY) / np.maximum(union, 1)) if level else 1e-9)
+            hits = ids[mine & (both >= least * union)]
+            out_a += np.maximum(hits, ids[x]).tolist()
+            out_b += np.minimum(hits, ids[x]).tolist()
     return pa.Table.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
 
@@ -225,7 +255,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts of the same words are one node from the start. In each bucket of equal sketches all
     are first compared with its most connected member; where a bucket then still holds several
-    components, all pairs between these are, in blocks of BLOCK_ROWS. Every row gives one row.
+    components, its rows outside of that member's are compared with all of other components, in
+    blocks of BLOCK_ROWS: by thinned shingles first, then by alignment. Every row gives one row.
     Rows without words (null, empty) or id are alone: group is the id. Rows of one id count as one document.
     """
     chunks = store_chunks(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), text_col)
@@ -245,14 +276,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialise(verified(pairs, chunks, nodes, text_col).union(same_id), "near-links")
     labels = connected(links)
 
-    labelled = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    labelled = shared.drop("c").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = labelled.groupBy("i", "v").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c")).where("x <> y")
-    mixed = mixed.select("i", "v", F.ceil(F.col("c") / BLOCK_ROWS).cast("int").alias("blocks"))
-    open_ = labelled.select("i", "v", "id", "label").join(mixed, ["i", "v"]).join(nodes.select("id", "n", "sketches"), "id")
-    open_ = open_.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_ = open_.withColumns({"b1": F.least("block", "other"), "b2": F.greatest("block", "other")}).drop("other", "blocks")
-    more = open_.groupBy("i", "v", "b1", "b2").applyInArrow(_cross_pairs, "a long, b long")
+    mixed = mixed.join(leaders, ["i", "v"]).join(labels, F.col("leader") == F.col("node"), "left").select("i", "v", "c", F.coalesce("label", "leader").alias("main"))
+    apart = labelled.join(mixed, ["i", "v"]).withColumn("apart", F.col("label") != F.col("main"))
+    sizes = apart.groupBy("i", "v").agg(F.ceil(F.max("c") / BLOCK_ROWS).cast("int").alias("blocks"), F.ceil(F.count_if("apart") / BLOCK_ROWS).cast("int").alias("left_blocks"))
+    apart = materialise(apart.select("i", "v", "id", "label", "apart").join(sizes, ["i", "v"]), "near-apart")
+    thin = payload(apart.select("id").distinct(), thinned, "near-thin", chunks, nodes, text_col)
+    deal = F.xxhash64("id")
+    rights = apart.select("*", F.lit(False).alias("left"), F.pmod(deal, "blocks").alias("r"), F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("l"))
+    lefts = apart.where("apart").select("*", F.lit(True).alias("left"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("r"), F.pmod(deal, "left_blocks").alias("l"))
+    open_ = rights.unionByName(lefts).select("i", "v", "l", "r", "left", "id", "label").join(nodes.select("id", "n", "sketches"), "id").join(thin, "id")
+    more = open_.groupBy("i", "v", "l", "r").applyInArrow(_cross_pairs, "a long, b long").distinct()
     found = verified(more, chunks, nodes, text_col)
     links = materialise(links.union(found), "near-links")
     labels = connected(links)
