@@ -16,7 +16,7 @@ from waymill.llm.exchange import opened, store_chunks, texts_of
 #: Words of a shingle, least similarity, sketches of a document, shingles in a sketch.
 SHINGLE, SIMILARITY, SKETCHES, ORDERED = 5, 0.8, 20, 4
 #: Rows of one bucket that one call compares with as many others; shingles of a text that it compares.
-BLOCK_ROWS, THINNED = 512, 512
+BLOCK_ROWS, THINNED = 512, 2048
 _SALTS = mix(np.arange(1, SKETCHES + 1).astype(U64) * U64(0x9E3779B97F4A7C15))
 _NODES = pa.schema([("id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("chunk", pa.int64()), ("row", pa.int32()), ("n", pa.int32()), ("sketches", pa.list_(pa.int64()))])
 
