@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from waymill.llm import decontaminate, kdtree, langid, lines, minhash, mixing, substrings, toxicity, urltree
+from waymill.llm import decontaminate, kdtree, langid, lines, minhash, mixing, secrets, substrings, toxicity, urltree
 
 QUERIES = {
     "op1_url_filter": urltree.op1_url_filter,
     "op2_langid": langid.op2_langid,
+    "op3_secrets": secrets.op3_secrets,
     "op4_mixing": mixing.op4_mixing,
     "op5_topk": kdtree.op5_topk,
     "op6_near_dups": minhash.op6_near_dups,
