@@ -310,6 +310,19 @@ def identify(docs: DataFrame, model: LanguageModels, text_col: str = "text", kee
     return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
+def drop_rejected(docs: DataFrame, model: LanguageModels, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text the models accept (see identify)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        model = shared.value
+        for batch in slices(batches, text_col):
+            accepted = model.judge(batch.column(batch.schema.get_field_index(text_col)).to_pylist())[3]
+            yield batch.filter(pa.array(accepted, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train_on_documents(docs: DataFrame, train_chars: int = TRAIN_CHARS) -> LanguageModels:
     """Models from text and non-null lang of the documents whose crc32 remainder by 4 is not 2."""
     return fit_models(sample_texts(docs.where(remainder("doc_id", 4) != 2), train_chars))

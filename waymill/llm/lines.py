@@ -259,6 +259,12 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return with_answers(with_answers(chunks, earlier).select("chunk", "blob", "answers"), near).select("blob", "answers", "near").mapInArrow(finish, schema)
 
 
+def drop_line_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of docs without repeated lines; a text that loses its every line goes, one that had none stays."""
+    out = drop_repeated_lines(docs, id_col, text_col)
+    return out.where("n_dropped < n_lines or n_lines = 0").drop("n_lines", "n_dropped")
+
+
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Lines of all documents that have an equal or one an edit away before them: how many each text has, loses, and what is left."""
     out = drop_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

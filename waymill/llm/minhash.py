@@ -298,6 +298,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return every.join(grouped, id_col, "left").select(id_col, F.coalesce("group", F.col(id_col)).alias("group"))
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, but for those whose group of near copies has a smaller id."""
+    key = F.col(id_col).cast("long")
+    groups = near_duplicates(docs, id_col, text_col)
+    gone = materialise(groups.where(F.col("group") < F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct(), "near-gone")
+    return docs.join(gone, key == F.col("__gone"), "left_anti")
+
+
 def op6_near_dups(spark, sf_dir: str) -> DataFrame:
     """The group of near copies of every document, and whether it is the one that stays."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
