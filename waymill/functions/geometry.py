@@ -6,6 +6,7 @@ import struct
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,7 +95,6 @@ def contains_points(edges: list[tuple[int, int, int, int]], lon: np.ndarray, lat
 
 def contains_udf(edges: list[tuple[int, int, int, int]]):
     """The test as an Arrow-batched function of two integer columns; null for null."""
-    import pandas as pd
 
     @F.pandas_udf("boolean")
     def test(lon: pd.Series, lat: pd.Series) -> pd.Series:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -260,7 +261,6 @@ def pg_features(made: DataFrame, config: ExportConfig = ExportConfig()) -> DataF
 
 def with_ewkb(made: DataFrame) -> DataFrame:
     """Features with their geometry as hexadecimal EWKB in longitude and latitude."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def encode(kind: pd.Series, points: pd.Series, area: pd.Series) -> pd.Series:
