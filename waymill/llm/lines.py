@@ -14,51 +14,64 @@ from waymill.llm.exchange import answer, ask, bits_reader, ids_of, opened, store
 #: Lines of fewer code points are compared exactly only.
 NEAR_CHARS = 20
 _BLANK = b" \t\r\v\f"
-_POSITION = np.dtype([("hash", U64), ("check", U64), ("doc", np.int64), ("row", np.int64), ("line", np.int64)])
-_OPEN = pa.schema([("chunk", pa.int64()), ("row", pa.int32()), ("line", pa.int32()), ("doc", pa.int64()), ("text", pa.string())])
+#: Pieces that a line is cut into; one edit leaves all but one as they are.
+PIECES = 4
+_OPEN = pa.schema([("chunk", pa.int64()), ("row", pa.int32()), ("line", pa.int32()), ("doc", pa.int64()), ("text", pa.string()), ("pieces", pa.list_(pa.int32()))])
 _KEYS = pa.schema([("doc", pa.int64()), ("line", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("kind", pa.int8())])
 
 
 class Lines:
     """The lines of a chunk that are not blank.
 
-    at: for each line hash, check (128 bits of its bytes together), doc (id), row (place
-    in the chunk), line (place in the text); in the order of (doc, line).
+    By line, in the order of (doc, line): hash and check (128 bits of its bytes together),
+    doc (id), row (place in the chunk), line (place in the text).
     """
 
     def __init__(self, batch: pa.RecordBatch, id_col: str, text_col: str):
         self.texts = [t.split(b"\n") for t in texts_of(batch, text_col)]
-        ids = ids_of(batch, id_col).tolist()
-        found = []
-        for row, (doc, lines) in enumerate(zip(ids, self.texts, strict=True)):
+        ids = ids_of(batch, id_col)
+        digests, rows, numbers = [], [], []
+        for row, lines in enumerate(self.texts):
             for i, line in enumerate(lines):
                 if line.strip(_BLANK):
-                    h = xxhash.xxh3_128_intdigest(line)
-                    found.append((h >> 64, h & 0xFFFFFFFFFFFFFFFF, doc, row, i))
-        at = np.array(found, dtype=_POSITION)
-        self.at = at[np.lexsort((at["line"], at["doc"]))]
+                    digests.append(xxhash.xxh3_128_digest(line))
+                    rows.append(row)
+                    numbers.append(i)
+        pairs = np.frombuffer(b"".join(digests), dtype=">u8").reshape(-1, 2).astype(U64)
+        row, line = np.array(rows, dtype=np.int64), np.array(numbers, dtype=np.int64)
+        order = np.lexsort((line, ids[row]))
+        self.hash, self.check = pairs[order, 0], pairs[order, 1]
+        self.row, self.line = row[order], line[order]
+        self.doc = ids[self.row]
         # The first line of each text, and for every line its first.
-        order = np.lexsort((np.arange(len(self.at)), self.at["check"], self.at["hash"]))
-        same = (self.at["hash"][order][1:] == self.at["hash"][order][:-1]) & (self.at["check"][order][1:] == self.at["check"][order][:-1])
-        group = np.cumsum(np.r_[False, ~same]) if len(order) else np.zeros(0, np.int64)
-        head = np.flatnonzero(np.r_[True, ~same]) if len(order) else np.zeros(0, np.int64)
+        order, head, group = _groups(self.hash, self.check)
         self.first = order[head]
         self.group = np.empty(len(order), dtype=np.int64)
         self.group[order] = group
 
+    def text(self, at: int) -> str:
+        return self.texts[self.row[at]][self.line[at]].decode("utf-8", "surrogatepass")
+
     def question(self):
         """Distinct lines with the place of their first."""
-        first = self.at[self.first]
-        return first["hash"], [first["check"], first["doc"], first["line"]]
-
-    def open_groups(self, earlier: np.ndarray) -> np.ndarray:
-        """Groups whose first line in the chunk has no equal before it anywhere."""
-        return np.flatnonzero(~earlier)
+        return self.hash[self.first], [self.check[self.first], self.doc[self.first], self.line[self.first]]
 
     def gone(self, earlier: np.ndarray) -> np.ndarray:
         """Lines that have an equal before them."""
-        first = self.at[self.first][self.group]
-        return earlier[self.group] | (self.at["doc"] > first["doc"]) | (self.at["line"] > first["line"])
+        first = self.first[self.group]
+        return earlier[self.group] | (self.doc > self.doc[first]) | (self.line > self.line[first])
+
+    def pieces(self, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Piece keys of the lines whose first has no equal before it anywhere: key, the line, the number of the piece."""
+        keys: list[int] = []
+        owner = []
+        for at in self.first[~earlier].tolist():
+            line = self.text(at)
+            if len(line) >= NEAR_CHARS:
+                keys += piece_keys(line)
+                owner.append(at)
+        each = 2 * PIECES
+        return np.array(keys, dtype=U64), np.repeat(np.array(owner, dtype=np.int64), each), np.tile(np.arange(each), len(owner))
 
 
 def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,83 +97,69 @@ def _seen_before(keys, check, doc, line) -> np.ndarray:
     return out
 
 
-def _has_other(keys, check) -> np.ndarray:
+def _asked_often(keys, several) -> np.ndarray:
     """Whether another line has the piece."""
     order, head, group = _groups(keys)
-    other = np.minimum.reduceat(check[order], head) != np.maximum.reduceat(check[order], head)
+    often = (np.diff(np.r_[head, len(keys)]) > 1) | (np.maximum.reduceat(several[order], head) > 0)
     out = np.empty(len(keys), dtype=bool)
-    out[order] = other[group]
+    out[order] = often[group]
     return out
 
 
+def _cuts(size: int) -> list[tuple[int, int]]:
+    return [(size * j // PIECES, size * (j + 1) // PIECES) for j in range(PIECES)]
+
+
 def piece_keys(line: str) -> list[int]:
-    """Keys of the halves of a line; two lines one edit apart share one at least.
+    """Keys of a line without one of its pieces, for each piece; two lines one edit apart share one at least.
 
-    If the lengths are equal, the first or the second halves are. If one is longer by
-    one, it also counts as a line of the shorter length: cut there, its beginning or
-    its end is that of the shorter line.
+    If the lengths are equal, all is equal around the piece with the edit. If one is longer by
+    one, it also counts as a line of the shorter length: what stands before the piece is
+    measured from the beginning, what stands behind it from the end.
     """
     n = len(line)
     out = []
     for size in (n, n - 1):
-        half = size // 2
-        out.append(xxhash.xxh3_64_intdigest(b"%d<" % size + line[:half].encode()))
-        out.append(xxhash.xxh3_64_intdigest(b"%d>" % size + line[n - (size - half) :].encode()))
+        for j, (a, b) in enumerate(_cuts(size)):
+            out.append(xxhash.xxh3_64_intdigest(f"{size}.{j}.{line[:a]}\n{line[n - size + b :]}".encode("utf-8", "surrogatepass")))
     return out
 
 
-def neighbourhood(line: str) -> list[tuple[int, int]]:
-    """(128-bit key, kind) of the variants of a line at one deletion at most.
+def neighbourhood(line: str, pieces: list[int]) -> list[tuple[int, int]]:
+    """(128-bit key, kind) of the line and of its variants with a deletion in one of the pieces, numbered as by piece_keys.
 
     Kind 0: the variant with the place of its deletion; lines that share it are equal or differ
     in the character there. Kind 1: the line itself, kind 2: a variant without the place; one
     line's kind 1 and another's kind 2 are alike if the second has one character more.
     """
-    raw = [c.encode() for c in line]
-    whole = b"".join(raw)
+    n = len(line)
+    starts = np.r_[0, np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in line])].tolist()
+    whole = line.encode("utf-8", "surrogatepass")
     out = [(xxhash.xxh3_128_intdigest(whole, 1), 1)]
-    at = 0
-    last = None
-    for i, c in enumerate(raw):
-        variant = whole[:at] + whole[at + len(c) :]
-        at += len(c)
-        out.append((xxhash.xxh3_128_intdigest(variant, i + 2), 0))
-        if c != last:  # within a run of one character all variants are the same
-            out.append((xxhash.xxh3_128_intdigest(variant, 1), 2))
-        last = c
+    places: tuple[set[int], set[int]] = (set(), set())
+    for piece in pieces:
+        shorter, j = divmod(piece, PIECES)
+        a, b = _cuts(n - shorter)[j]
+        places[shorter].update(range(a, b + shorter))
+    for shorter in (0, 1):
+        for i in places[shorter]:
+            variant = whole[: starts[i]] + whole[starts[i + 1] :]
+            out.append((xxhash.xxh3_128_intdigest(variant, 1), 2) if shorter else (xxhash.xxh3_128_intdigest(variant, i + 2), 0))
     return out
 
 
-def _pieces(texts: Lines, groups: np.ndarray):
-    """Distinct piece keys, each with the least and the greatest check of the lines that have it."""
-    keys, owner = [], []
-    for g in groups.tolist():
-        at = texts.at[texts.first[g]]
-        line = texts.texts[at["row"]][at["line"]].decode("utf-8", "surrogatepass")
-        if len(line) >= NEAR_CHARS:
-            found = piece_keys(line)
-            keys += found
-            owner += [g] * len(found)
-    return np.array(keys, dtype=U64), np.array(owner, dtype=np.int64)
-
-
-def _piece_question(texts: Lines, groups: np.ndarray):
-    keys, owner = _pieces(texts, groups)
-    check = texts.at["check"][texts.first[owner]] if len(owner) else np.zeros(0, U64)
-    order, head, _ = _groups(keys, check)
-    keys, check = keys[order][head], check[order][head]
-    # At most two rows for a key: with two, each sees another line.
-    _, head, group = _groups(keys)
-    place = np.arange(len(keys)) - head[group] if len(keys) else np.zeros(0, np.int64)
-    few = place < 2
-    return keys[few], [check[few]]
+def _distinct(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct keys, and whether several lines have one."""
+    order, head, _ = _groups(keys)
+    least, most = (f.reduceat(owner[order], head) if len(head) else head for f in (np.minimum, np.maximum))
+    return keys[order][head], [(least != most).astype(np.uint8)]
 
 
 def near_lines(open_lines: DataFrame) -> DataFrame:
     """(doc, line) of the lines that have another one edit away at an earlier place.
 
-    open_lines: doc, line, text, chunk, row; texts distinct. Emits every line's deletion
-    variants as keys, joins each key to the earliest line that has it, and verifies the
+    open_lines: doc, line, text, pieces (those that another line has), chunk, row; texts distinct.
+    Emits every line's deletion variants in these pieces as keys, joins each key to the earliest line that has it, and verifies the
     distance of the two texts. A key needs no more than its earliest lines, so a group of
     any size costs one row for each of its keys.
     """
@@ -168,8 +167,8 @@ def near_lines(open_lines: DataFrame) -> DataFrame:
     def emit(batches):
         for batch in batches:
             out: dict[str, list] = {k: [] for k in _KEYS.names}
-            for doc, line, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for key, kind in neighbourhood(text):
+            for doc, line, text, pieces in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                for key, kind in neighbourhood(text, pieces):
                     out["doc"].append(doc)
                     out["line"].append(line)
                     out["hi"].append((key >> 64) - (1 << 63))
@@ -180,7 +179,7 @@ def near_lines(open_lines: DataFrame) -> DataFrame:
                     out = {k: [] for k in _KEYS.names}
             yield pa.RecordBatch.from_pydict(out, schema=_KEYS)
 
-    keys = open_lines.select("doc", "line", "text").mapInArrow(emit, "doc long, line int, hi long, lo long, kind byte")
+    keys = open_lines.select("doc", "line", "text", "pieces").mapInArrow(emit, "doc long, line int, hi long, lo long, kind byte")
     keys = keys.withColumn("at", F.struct("doc", "line")).drop("doc", "line")
     firsts = keys.groupBy("hi", "lo").agg(*[F.min(F.when(F.col("kind") == k, F.col("at"))).alias(f"first{k}") for k in range(3)])
     partner = F.when(F.col("kind") == 0, F.col("first0")).when(F.col("kind") == 1, F.col("first2")).otherwise(F.col("first1"))
@@ -202,8 +201,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Lines at the same place, as of rows with the same id, don't remove each other. Columns of any
     other name are kept, but n_lines and n_dropped are replaced.
 
-    Rounds: equal lines; of those left, which share a half with another line (all others have no
-    line one edit away); only of these the deletion variants are joined.
+    Rounds: equal lines; of those left, which are like another line around one of PIECES pieces (all
+    others have no line one edit away); only of these, in that piece, the deletion variants are joined.
     """
     docs = docs.drop("n_lines", "n_dropped")
     chunks = store_chunks(docs, text_col)
@@ -214,24 +213,26 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def pieces(batch, earlier):
         found = Lines(batch, id_col, text_col)
-        return _piece_question(found, found.open_groups(earlier(found.question()[0])))
+        keys, owner, _ = found.pieces(earlier(found.question()[0]))
+        return _distinct(keys, owner)
 
     def emit(batches):
         for rows in batches:
             for row in rows.to_pylist():
                 found = Lines(opened(row["blob"]), id_col, text_col)
-                groups = found.open_groups(bits(row["answers"])(found.question()[0]))
-                asked, (check,) = _piece_question(found, groups)
-                hit = bits(row["more"])(asked)
-                keys, owner = _pieces(found, groups)
-                chosen = np.unique(owner[np.isin(keys, asked[hit])])
-                at = found.at[found.first[chosen]]
-                texts = [found.texts[r][i].decode("utf-8", "surrogatepass") for r, i in zip(at["row"].tolist(), at["line"].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]] * len(at), pa.int64()), pa.array(at["row"], pa.int32()), pa.array(at["line"], pa.int32()), pa.array(at["doc"], pa.int64()), pa.array(texts, pa.string())], schema=_OPEN)
+                keys, owner, number = found.pieces(bits(row["answers"])(found.question()[0]))
+                asked, _ = _distinct(keys, owner)
+                hit = np.isin(keys, asked[bits(row["more"])(asked)])
+                chosen: dict[int, list[int]] = {}
+                for at, j in zip(owner[hit].tolist(), number[hit].tolist(), strict=True):
+                    chosen.setdefault(at, []).append(j)
+                at = np.array(list(chosen), dtype=np.int64)
+                texts = [found.text(i) for i in chosen]
+                yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]] * len(at), pa.int64()), pa.array(found.row[at], pa.int32()), pa.array(found.line[at], pa.int32()), pa.array(found.doc[at], pa.int64()), pa.array(texts, pa.string()), pa.array(list(chosen.values()), pa.list_(pa.int32()))], schema=_OPEN)
 
     earlier = answer(ask(chunks, lines), _seen_before, (U64, np.int64, np.int64))
-    more = answer(ask(chunks, pieces, earlier), _has_other, (U64,)).withColumnRenamed("answers", "more")
-    open_lines = with_answers(with_answers(chunks, earlier), more).select("chunk", "blob", "answers", "more").mapInArrow(emit, "chunk long, row int, line int, doc long, text string")
+    more = answer(ask(chunks, pieces, earlier), _asked_often, (np.uint8,)).withColumnRenamed("answers", "more")
+    open_lines = with_answers(with_answers(chunks, earlier), more).select("chunk", "blob", "answers", "more").mapInArrow(emit, "chunk long, row int, line int, doc long, text string, pieces array<int>")
     open_lines = materialise(open_lines, "open-lines")
     near = open_lines.join(near_lines(open_lines), ["doc", "line"]).groupBy("chunk").agg(F.collect_list(F.struct("row", "line")).alias("near"))
 
@@ -242,7 +243,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 found = Lines(batch, id_col, text_col)
                 gone = found.gone(bits(row["answers"])(found.question()[0]))
                 drop: dict[int, set[int]] = {}
-                for r, i in zip(found.at["row"][gone].tolist(), found.at["line"][gone].tolist(), strict=True):
+                for r, i in zip(found.row[gone].tolist(), found.line[gone].tolist(), strict=True):
                     drop.setdefault(r, set()).add(i)
                 for place in row["near"] or ():
                     drop.setdefault(place["row"], set()).add(place["line"])
@@ -250,7 +251,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 texts = [None if null else b"\n".join(x for i, x in enumerate(t) if i not in drop[r]) if r in drop else b"\n".join(t) for r, (t, null) in enumerate(zip(found.texts, column.is_null().to_pylist(), strict=True))]
                 columns = list(batch.columns)
                 columns[batch.schema.get_field_index(text_col)] = pa.array(texts, pa.binary()).cast(pa.string())
-                counts = np.bincount(found.at["row"], minlength=batch.num_rows)
+                counts = np.bincount(found.row, minlength=batch.num_rows)
                 dropped = [len(drop.get(r, ())) for r in range(batch.num_rows)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], names=[*batch.schema.names, "n_lines", "n_dropped"])
 
