@@ -8,15 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-OBJECTS = T.StructType.fromDDL(
-    "type string, id bigint, version int, visible boolean, timestamp timestamp, changeset bigint, uid int, user string, "
-    "tags array<struct<k:string,v:string>>, lon_e7 int, lat_e7 int, refs array<struct<ref:bigint,lon_e7:int,lat_e7:int>>, "
-    "members array<struct<type:string,ref:bigint,role:string>>, _src int, _seq bigint"
-)
-CHANGESETS = T.StructType.fromDDL(
-    "id bigint, created_at timestamp, closed_at timestamp, open boolean, num_changes int, num_comments int, uid int, user string, "
-    "min_lon_e7 int, min_lat_e7 int, max_lon_e7 int, max_lat_e7 int, tags array<struct<k:string,v:string>>"
-)
+_TAGS = T.ArrayType(T.StructType().add("k", "string").add("v", "string"))
+_REFS = T.ArrayType(T.StructType().add("ref", "long").add("lon_e7", "integer").add("lat_e7", "integer"))
+_MEMBERS = T.ArrayType(T.StructType().add("type", "string").add("ref", "long").add("role", "string"))
+
+
+def _schema(*fields: tuple) -> T.StructType:
+    out = T.StructType()
+    for name, kind in fields:
+        out = out.add(name, kind)
+    return out
+
+
+OBJECTS = _schema(
+    ("type", "string"), ("id", "long"), ("version", "integer"), ("visible", "boolean"), ("timestamp", "timestamp"), ("changeset", "long"), ("uid", "integer"), ("user", "string"),
+    ("tags", _TAGS), ("lon_e7", "integer"), ("lat_e7", "integer"), ("refs", _REFS), ("members", _MEMBERS), ("_src", "integer"), ("_seq", "long"),
+)
+CHANGESETS = _schema(
+    ("id", "long"), ("created_at", "timestamp"), ("closed_at", "timestamp"), ("open", "boolean"), ("num_changes", "integer"), ("num_comments", "integer"), ("uid", "integer"), ("user", "string"),
+    ("min_lon_e7", "integer"), ("min_lat_e7", "integer"), ("max_lon_e7", "integer"), ("max_lat_e7", "integer"), ("tags", _TAGS),
+)
 TYPES = ("n", "w", "r")
 TYPE_NAMES = {"n": "node", "w": "way", "r": "relation"}
 TAGS = "array<struct<k:string,v:string>>"
