@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -262,12 +261,12 @@ def pg_features(made: DataFrame, config: ExportConfig = ExportConfig()) -> DataF
 def with_ewkb(made: DataFrame) -> DataFrame:
     """Features with their geometry as hexadecimal EWKB in longitude and latitude."""
 
-    @F.pandas_udf("string")
-    def encode(kind: pd.Series, points: pd.Series, area: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def encode(kind: pa.Array, points: pa.Array, area: pa.Array) -> pa.Array:
         out = []
-        for k, p, a in zip(kind, points, area, strict=True):
+        for k, p, a in zip(kind.to_pylist(), points.to_pylist(), area.to_pylist(), strict=True):
             pair = lambda x: (x["lon_e7"], x["lat_e7"])
             out.append(ewkb(k, pair(p[0]) if k == "Point" else [pair(x) for x in p] if k == "LineString" else [[[pair(x) for x in ring] for ring in polygon] for polygon in a]))
-        return pd.Series(out)
+        return pa.array(out, pa.string())
 
     return made.withColumn("ewkb", encode("geometry_type", "points", "area"))
