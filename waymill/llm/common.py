@@ -1,49 +1,48 @@
-"""What the operators of this subpackage share: scratch tables on the shared
-folder, bounded samples, and NumPy kernels over whole batches of text."""
+"""What the operators of this subpackage share: NumPy kernels over whole batches of text, and memory."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymill.scratch import materialise, scratch_dir
+
+__all__ = ["U64", "WORD", "Words", "materialise", "mix", "pack", "release", "remainder", "scratch_dir", "slices", "span_hashes", "squeeze", "tidied", "unpack", "unsqueeze", "windows"]
+
 U64 = np.uint64
 WORD = r"[^\x20\x09-\x0D]+"
-#: Characters of text that one kernel call handles at most, unless one text is longer.
-SLICE_CHARS = 2_000_000
+#: Bytes of text that one kernel call handles at most, unless one text is longer.
+SLICE_CHARS = 500_000
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+def remainder(column: str, n: int):
+    """crc32 of the value as text, modulo n (null for null)."""
+    return F.crc32(F.col(column).cast("string")) % n
 
-    Where it is unset (a local session, as in tests) a temporary folder of this
-    machine takes its place.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or getattr(scratch_dir, "own", None)
-    if not found:
-        found = scratch_dir.own = tempfile.mkdtemp(prefix="waymill-")
-    return found.rstrip("/")
 
+def release() -> None:
+    """Give freed memory back to the system: a worker outlives its task, and the next stage has others beside it."""
+    import ctypes
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a table in the scratch folder and read it back.
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
-    Cuts lineage: what follows survives lost executors without recomputing this.
-    """
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+def tidied(run):
+    """A function over batches that releases its memory when it is through."""
 
-def remainder(column: str, n: int):
-    """crc32 of the value as text, modulo n (null for null)."""
-    return F.crc32(F.col(column).cast("string")) % n
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidy
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:

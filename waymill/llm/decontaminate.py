@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymill.llm.common import tidied
+
 #: Share of an item's characters that may differ.
 ERROR_RATE = 0.1
 #: Characters of items that are sent to the executors at once.
@@ -201,7 +203,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     found = None
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     for block in item_blocks(benchmark, rate, block_chars=block_chars):
-        part = rows.mapInArrow(_finder(block, rate), "doc_id long, item_id long, distance int, start int, end int")
+        part = rows.mapInArrow(tidied(_finder(block, rate)), "doc_id long, item_id long, distance int, start int, end int")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int, start int, end int")
@@ -224,7 +226,7 @@ def _finder(block, rate):
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that match no test item (see find_leaks)."""
     for block in item_blocks(benchmark, rate):
-        docs = docs.mapInArrow(_keeper(block, rate, text_col), docs.schema)
+        docs = docs.mapInArrow(tidied(_keeper(block, rate, text_col)), docs.schema)
     return docs
 
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymill.llm.common import U64, pack, scratch_dir, slices, unpack
+from waymill.llm.common import pack, release, scratch_dir, slices, tidied, U64, unpack
 
 #: Bytes of text that one chunk holds, about, unless one text is longer.
 CHUNK_BYTES = 2_000_000
@@ -43,7 +43,7 @@ def store_chunks(docs: DataFrame, text_col: str = "text", chunk_bytes: int = CHU
             yield pa.RecordBatch.from_arrays([pa.array([first + i]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=_STORED)
 
     name = f"waymill_{uuid.uuid4().hex}"
-    stored = docs.mapInArrow(run, "chunk long, blob binary")
+    stored = docs.mapInArrow(tidied(run), "chunk long, blob binary")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     stored.write.format("parquet").option("compression", "uncompressed").option("path", f"{scratch_dir(spark)}/{name}").bucketBy(buckets, "chunk").saveAsTable(name)
     return spark.table(name)
@@ -82,7 +82,7 @@ def ask(chunks: DataFrame, questions: Callable[..., Question], answers: DataFram
                 sizes = [int(edges[r + 1] - edges[r]) for r in full]
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([row["chunk"]] * len(full), pa.int64()), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())], schema=_ASKED)
 
-    return with_answers(chunks, answers).mapInArrow(run, "range int, chunk long, n int, blob binary")
+    return with_answers(chunks, answers).mapInArrow(tidied(run), "range int, chunk long, n int, blob binary")
 
 
 def answer(asked: DataFrame, judge: Callable[..., np.ndarray], kinds: tuple = ()) -> DataFrame:
@@ -96,6 +96,7 @@ def answer(asked: DataFrame, judge: Callable[..., np.ndarray], kinds: tuple = ()
         sizes = table.column("n").to_pylist()
         parts = [[unpack(b, k) for b, k in zip(_cut(blob), (U64, *kinds), strict=True)] for blob in table.column("blob").to_pylist()]
         said = judge(*[np.concatenate(column) for column in zip(*parts, strict=True)])
+        release()
         edges = np.cumsum([0, *sizes])
         bits = [np.packbits(said[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return pa.Table.from_arrays([table.column("chunk"), table.column("range"), pa.array(bits, pa.binary())], schema=_ANSWERED)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from waymill.llm.common import materialise, scratch_dir
+from waymill.llm.common import materialise, scratch_dir, tidied
 
 SHARD_ROWS = 16_384
 LEAF_ROWS = 128
@@ -166,12 +166,12 @@ def top_k(
             floor = np.full(len(own), -np.inf)
             of_dim = packed.where(F.col("dim") == dim)
             if shards > 1:
-                first = of_dim.where(F.col("shard") == 0).mapInArrow(_search(queries, own, floor, k), schema).toArrow()
+                first = of_dim.where(F.col("shard") == 0).mapInArrow(tidied(_search(queries, own, floor, k)), schema).toArrow()
                 got: dict[int, list[int]] = {}
                 for q, s in zip(first.column("query_id").to_pylist(), first.column("score").to_pylist(), strict=True):
                     got.setdefault(q, []).append(s)
                 floor = np.array([min(got[q]) if len(got.get(q, ())) == k else -np.inf for q in own.tolist()], dtype=np.float64)
-            of_dim.repartition(min(shards, 4096)).mapInArrow(_search(queries, own, floor, k), schema).write.mode("append").parquet(path)
+            of_dim.repartition(min(shards, 4096)).mapInArrow(tidied(_search(queries, own, floor, k)), schema).write.mode("append").parquet(path)
     if not kinds:
         spark.createDataFrame([], schema).write.mode("append").parquet(path)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))

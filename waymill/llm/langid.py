@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymill.llm.common import U64, mix, remainder, slices
+from waymill.llm.common import mix, remainder, slices, tidied, U64
 
 ORDER = 4
 #: Characters of text that the models are fitted on, of all languages together, about.
@@ -307,7 +307,7 @@ def identify(docs: DataFrame, model: LanguageModels, text_col: str = "text", kee
             new = [pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(accepted, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=schema.names)
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(tidied(run), schema)
 
 
 def drop_rejected(docs: DataFrame, model: LanguageModels, text_col: str = "text") -> DataFrame:
@@ -320,7 +320,7 @@ def drop_rejected(docs: DataFrame, model: LanguageModels, text_col: str = "text"
             accepted = model.judge(batch.column(batch.schema.get_field_index(text_col)).to_pylist())[3]
             yield batch.filter(pa.array(accepted, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def train_on_documents(docs: DataFrame, train_chars: int = TRAIN_CHARS) -> LanguageModels:

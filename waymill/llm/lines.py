@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymill.llm.common import U64, materialise
+from waymill.llm.common import materialise, tidied, U64
 from waymill.llm.exchange import answer, ask, bits_reader, ids_of, opened, store_chunks, texts_of, with_answers
 
 #: Lines of fewer code points are compared exactly only.
@@ -179,7 +179,7 @@ def near_lines(open_lines: DataFrame) -> DataFrame:
                     out = {k: [] for k in _KEYS.names}
             yield pa.RecordBatch.from_pydict(out, schema=_KEYS)
 
-    keys = open_lines.select("doc", "line", "text", "pieces").mapInArrow(emit, "doc long, line int, hi long, lo long, kind byte")
+    keys = open_lines.select("doc", "line", "text", "pieces").mapInArrow(tidied(emit), "doc long, line int, hi long, lo long, kind byte")
     keys = keys.withColumn("at", F.struct("doc", "line")).drop("doc", "line")
     firsts = keys.groupBy("hi", "lo").agg(*[F.min(F.when(F.col("kind") == k, F.col("at"))).alias(f"first{k}") for k in range(3)])
     partner = F.when(F.col("kind") == 0, F.col("first0")).when(F.col("kind") == 1, F.col("first2")).otherwise(F.col("first1"))
@@ -232,7 +232,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     earlier = answer(ask(chunks, lines), _seen_before, (U64, np.int64, np.int64))
     more = answer(ask(chunks, pieces, earlier), _asked_often, (np.uint8,)).withColumnRenamed("answers", "more")
-    open_lines = with_answers(with_answers(chunks, earlier), more).select("chunk", "blob", "answers", "more").mapInArrow(emit, "chunk long, row int, line int, doc long, text string, pieces array<int>")
+    open_lines = with_answers(with_answers(chunks, earlier), more).select("chunk", "blob", "answers", "more").mapInArrow(tidied(emit), "chunk long, row int, line int, doc long, text string, pieces array<int>")
     open_lines = materialise(open_lines, "open-lines")
     near = open_lines.join(near_lines(open_lines), ["doc", "line"]).groupBy("chunk").agg(F.collect_list(F.struct("row", "line")).alias("near"))
 
@@ -257,7 +257,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     schema = docs.schema
     schema = type(schema)(list(schema.fields)).add("n_lines", "long").add("n_dropped", "long")
-    return with_answers(with_answers(chunks, earlier).select("chunk", "blob", "answers"), near).select("blob", "answers", "near").mapInArrow(finish, schema)
+    return with_answers(with_answers(chunks, earlier).select("chunk", "blob", "answers"), near).select("blob", "answers", "near").mapInArrow(tidied(finish), schema)
 
 
 def drop_line_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

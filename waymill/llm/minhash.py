@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymill.llm.common import U64, Words, materialise, mix, squeeze, windows
+from waymill.llm.common import materialise, mix, squeeze, tidied, U64, windows, Words
 from waymill.llm.exchange import opened, store_chunks, texts_of
 
 #: Words of a shingle, least similarity, sketches of a document, shingles in a sketch.
@@ -165,7 +165,7 @@ def _payload(text_col: str, of):
 def payload(ids: DataFrame, of, name: str, chunks: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
     """(id, text): of(text) for the nodes of these distinct ids. Only this leaves the chunks."""
     places = nodes.join(ids, "id", "left_semi").groupBy("chunk").agg(F.collect_list(F.struct("id", "row")).alias("places"))
-    return materialise(chunks.join(places, "chunk").select("blob", "places").mapInArrow(_payload(text_col, of), "id long, text binary"), name)
+    return materialise(chunks.join(places, "chunk").select("blob", "places").mapInArrow(tidied(_payload(text_col, of)), "id long, text binary"), name)
 
 
 class _Verifier:
@@ -205,7 +205,7 @@ def verified(pairs: DataFrame, chunks: DataFrame, nodes: DataFrame, text_col: st
             yield batch.select([0, 1]).filter(pa.array([verifier.near(x, y) for x, y in zip(a, b, strict=True)], pa.bool_()))
 
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(tidied(check), "a long, b long")
 
 
 def _cross_pairs(table: pa.Table) -> pa.Table:
@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows without words (null, empty) or id are alone: group is the id. Rows of one id count as one document.
     """
     chunks = store_chunks(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), text_col)
-    rows = materialise(chunks.mapInArrow(_nodes(id_col, text_col), "id long, hi long, lo long, chunk long, row int, n int, sketches array<long>"), "near-nodes")
+    rows = materialise(chunks.mapInArrow(tidied(_nodes(id_col, text_col)), "id long, hi long, lo long, chunk long, row int, n int, sketches array<long>"), "near-nodes")
     copies = rows.groupBy("hi", "lo").agg(F.min("id").alias("rep"))
     members = materialise(rows.select("id", "hi", "lo").join(copies, ["hi", "lo"]).select("id", "rep", "hi", "lo"), "near-members")
     nodes = materialise(rows.join(copies.withColumnRenamed("rep", "id"), ["id", "hi", "lo"]).dropDuplicates(["id", "hi", "lo"]), "near-distinct")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymill.llm.common import slices
+from waymill.llm.common import slices, tidied
 
 KINDS = ("assign", "access", "hex", "learned")
 #: Documents whose text lends its surroundings to the training findings, about.
@@ -296,7 +296,7 @@ def find_secrets(docs: DataFrame, model: CharCNN, id_col: str = "doc_id", text_c
             spans = [[{"kind": KINDS[k], "start": a, "end": b, "score": p} for a, k, b, p in sorted(f)] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(_SPAN))], names=[id_col, "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` long, spans array<struct<kind:string,start:int,end:int,score:double>>")
+    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("__text")).mapInArrow(tidied(run), f"`{id_col}` long, spans array<struct<kind:string,start:int,end:int,score:double>>")
 
 
 def _of_kind(kind: str):

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymill.llm.common import U64, Words, mix, span_hashes
+from waymill.llm.common import mix, span_hashes, tidied, U64, Words
 from waymill.llm.exchange import answer, ask, bits_reader, ids_of, opened, store_chunks, texts_of, with_answers
 
 #: Consecutive words that make a repeat.
@@ -210,7 +210,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), _spans(words, gone), texts], schema=arrow)
 
     both = with_answers(with_answers(chunks, shared), earlier.withColumnRenamed("answers", "more"))
-    return both.select("blob", "answers", "more").mapInArrow(finish, schema)
+    return both.select("blob", "answers", "more").mapInArrow(tidied(finish), schema)
 
 
 def _spans(words: Words, gone: np.ndarray) -> pa.Array:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymill.llm.common import remainder
+from waymill.llm.common import remainder, tidied
 
 HASH_BITS = 20
 #: Rows of each label that the model is fitted on, at most about.
@@ -139,7 +139,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["id", "y", "x"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select(F.col("id").cast("long").alias("id"), "y", "text")
-    got = rows.mapInArrow(featurise, "id long, y int, x binary").toArrow()
+    got = rows.mapInArrow(tidied(featurise), "id long, y int, x binary").toArrow()
     order = sorted(zip(got.column("id").to_pylist(), got.column("y").to_pylist(), got.column("x").to_pylist(), strict=True))
     return FactorizationMachine(**params).fit([np.frombuffer(x, np.int32) for _, _, x in order], np.array([y for _, y, _ in order]))
 
@@ -156,7 +156,7 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine, text_col: str =
             scores = model.predict([make(t.as_py()) for t in batch.column(batch.num_columns - 1)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*keep, "score"])
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(tidied(run), schema)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
