@@ -130,15 +130,17 @@ def check_refs(objects: DataFrame, relations: bool = False) -> DataFrame:
     Nodes missing from ways count each time they are referred to. With relations: nodes and
     ways missing from relations count once for each id, relations each time.
     """
-    have = materialise(objects.select(*KEY).distinct(), "have-ids")
-    counts = objects.agg(*[F.count_if(F.col("type") == t).alias(name) for t, name in (("n", "nodes"), ("w", "ways"), ("r", "relations"))])
-    in_ways = missing_refs(objects, have).where("parent_type = 'w'").agg(F.count("*").alias("missing_nodes_in_ways"))
-    out = counts.crossJoin(in_ways)  # a row beside a row
+    lost = missing_refs(objects).select("parent_type", "type", "ref")
+    if not relations:
+        lost = lost.where("parent_type = 'w'")
+    rows = objects.select(F.lit("").alias("parent_type"), "type", F.col("id").alias("ref")).union(lost)
+    of = lambda parent, kind: (F.col("parent_type") == parent) & (F.col("type") == kind)
+    counts = [F.count_if(of("", t)).alias(name) for t, name in (("n", "nodes"), ("w", "ways"), ("r", "relations"))]
+    counts.append(F.count_if(of("w", "n")).alias("missing_nodes_in_ways"))
     if relations:
-        lost = missing_refs(objects, have).where("parent_type = 'r'")
-        ids = lambda t: F.count_distinct(F.when(F.col("type") == t, F.col("ref")))
-        out = out.crossJoin(lost.agg(ids("n").alias("missing_nodes_in_relations"), ids("w").alias("missing_ways_in_relations"), F.count_if(F.col("type") == "r").alias("missing_relations_in_relations")))
-    return out
+        ids = lambda t: F.count_distinct(F.when(of("r", t), F.col("ref")))
+        counts += [ids("n").alias("missing_nodes_in_relations"), ids("w").alias("missing_ways_in_relations"), F.count_if(of("r", "r")).alias("missing_relations_in_relations")]
+    return rows.agg(*counts)
 
 
 def missing_refs(objects: DataFrame, have: DataFrame | None = None) -> DataFrame:
