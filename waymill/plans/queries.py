@@ -93,7 +93,7 @@ way AS (SELECT ref AS id FROM members WHERE type = 'w' AND rel IN (SELECT id FRO
 node AS (SELECT DISTINCT ref AS id FROM refs WHERE way IN (SELECT id FROM way))
 SELECT * FROM objs WHERE (type = 'r' AND id IN (SELECT id FROM rel)) OR (type = 'w' AND id IN (SELECT id FROM way)) OR (type = 'n' AND id IN (SELECT id FROM node))""")
 def tags_filter_complete(spark, sf_dir):
-    return flat(fl.tags_filter(t.objects(spark, sf_dir), ["r/name=NATION_3"]))
+    return flat(fl.tags_filter(t.stored(spark, sf_dir), ["r/name=NATION_3"]))
 
 
 # --- ids ------------------------------------------------------------------------------------------
@@ -126,7 +126,7 @@ def getid(spark, sf_dir):
 
 @query(_CLOSED_ID_SQL + " SELECT o.* FROM objs o SEMI JOIN every USING (type, id)")
 def getid_referenced(spark, sf_dir):
-    return flat(rf.get_ids(t.objects(spark, sf_dir), _ids(spark, sf_dir), add_referenced=True))
+    return flat(rf.get_ids(t.stored(spark, sf_dir), _ids(spark, sf_dir), add_referenced=True))
 
 
 @query(_ID_SQL + " SELECT type, id FROM ids ANTI JOIN objs USING (type, id)")
@@ -144,12 +144,12 @@ _PARENT_SQL = _ID_SQL + ", up AS (SELECT 'w' AS type, way AS id FROM refs JOIN i
 
 @query(_PARENT_SQL + " SELECT o.* FROM objs o SEMI JOIN up USING (type, id)")
 def getparents(spark, sf_dir):
-    return flat(rf.get_parents(t.objects(spark, sf_dir), _ids(spark, sf_dir)))
+    return flat(rf.get_parents(t.stored(spark, sf_dir), _ids(spark, sf_dir)))
 
 
 @query(_PARENT_SQL + " SELECT o.* FROM objs o SEMI JOIN (SELECT * FROM up UNION SELECT type, id FROM ids) USING (type, id)")
 def getparents_self(spark, sf_dir):
-    return flat(rf.get_parents(t.objects(spark, sf_dir), _ids(spark, sf_dir), add_self=True))
+    return flat(rf.get_parents(t.stored(spark, sf_dir), _ids(spark, sf_dir), add_self=True))
 
 
 # --- changesets and time --------------------------------------------------------------------------
@@ -356,7 +356,7 @@ def _placed(ways: DataFrame) -> DataFrame:
 
 @query(f", n AS (SELECT id, CASE WHEN id % 5 = 0 THEN lon + 17 ELSE lon END AS lon, lat FROM nodes) SELECT w.id, coalesce((SELECT {_PLACED} FROM refs r LEFT JOIN n ON n.id = r.ref WHERE r.way = w.id), '') AS refs FROM ways w")
 def apply_changes_locations(spark, sf_dir):
-    located = lo.refreshed_locations(t.objects(spark, sf_dir))
+    located = lo.refreshed_locations(t.stored(spark, sf_dir))
     return _placed(ch.apply_changes_locations(located, [_moved(spark, sf_dir)]))
 
 
@@ -405,7 +405,7 @@ def renumber_refs(spark, sf_dir):
 
 @query(f" SELECT w.id, coalesce((SELECT {_PLACED} FROM refs r LEFT JOIN nodes n ON n.id = r.ref WHERE r.way = w.id), '') AS refs FROM ways w")
 def add_locations(spark, sf_dir):
-    return _placed(lo.add_locations(t.objects(spark, sf_dir)))
+    return _placed(lo.add_locations(t.stored(spark, sf_dir)))
 
 
 @query(" SELECT id, lon::INTEGER AS lon_e7, lat::INTEGER AS lat_e7 FROM nodes WHERE id IN (1, 17, 100)")
@@ -441,12 +441,12 @@ _WHOLE_WAYS = "SELECT extract, 'n' AS type, id FROM (SELECT * FROM N UNION SELEC
 
 @query(_sets(_IN_BOX) + "SELECT extract, 'n' AS type, id FROM N UNION ALL SELECT extract, 'w', id FROM W UNION ALL SELECT extract, 'r', id FROM R")
 def extract_bbox_simple(spark, sf_dir):
-    return xt.extract_ids(t.objects(spark, sf_dir), {"a": _BOX}, "simple")
+    return xt.extract_ids(t.stored(spark, sf_dir), {"a": _BOX}, "simple")
 
 
 @query(_sets(_IN_BOX) + _WHOLE_WAYS)
 def extract_bbox_complete_ways(spark, sf_dir):
-    return xt.extract(t.objects(spark, sf_dir), {"a": _BOX}).select("extract", "type", "id")
+    return xt.extract(t.stored(spark, sf_dir), {"a": _BOX}).select("extract", "type", "id")
 
 
 @query(_sets(_IN_BOX) + """, complete AS (SELECT R.extract, R.id FROM R JOIN relations USING (id) WHERE kind = 'multipolygon'),
@@ -454,7 +454,7 @@ def extract_bbox_complete_ways(spark, sf_dir):
   AN AS (SELECT * FROM N UNION SELECT extract, ref FROM refs JOIN AW ON AW.id = way)
   SELECT extract, 'n' AS type, id FROM AN UNION ALL SELECT extract, 'w', id FROM AW UNION ALL SELECT extract, 'r', id FROM Up""")
 def extract_bbox_smart(spark, sf_dir):
-    return xt.extract_ids(t.objects(spark, sf_dir), {"a": _BOX}, "smart")
+    return xt.extract_ids(t.stored(spark, sf_dir), {"a": _BOX}, "smart")
 
 
 @query(_sets("""SELECT 'a' AS extract, id FROM nodes WHERE
@@ -462,12 +462,12 @@ def extract_bbox_smart(spark, sf_dir):
   AND ((lon - 100500000)::HUGEINT * (-901000000) < 1100000000::HUGEINT * (lat - 600500000)) = false
   AND ((lon + 1000500000)::HUGEINT * 1001000000 > 1101000000::HUGEINT * (lat + 400500000))""") + _WHOLE_WAYS)
 def extract_polygon(spark, sf_dir):
-    return xt.extract_ids(t.objects(spark, sf_dir), {"a": _TRIANGLE})
+    return xt.extract_ids(t.stored(spark, sf_dir), {"a": _TRIANGLE})
 
 
 @query(_sets(_IN_BOX + " UNION ALL " + _IN_FAR) + _WHOLE_WAYS)
 def extract_multi(spark, sf_dir):
-    return xt.extract_ids(t.objects(spark, sf_dir), {"a": _BOX, "b": _FAR_BOX})
+    return xt.extract_ids(t.stored(spark, sf_dir), {"a": _BOX, "b": _FAR_BOX})
 
 
 # --- export ---------------------------------------------------------------------------------------
@@ -485,7 +485,7 @@ _ONLY = ("point",), ("linestring",), ("polygon",)
 
 
 def _exported(spark, sf_dir, kinds, closed=True, **config) -> DataFrame:
-    return ex.features(t.objects(spark, sf_dir, closed), ex.ExportConfig(geometry_types=kinds, **config))[0]
+    return ex.features(t.stored(spark, sf_dir, closed), ex.ExportConfig(geometry_types=kinds, **config))[0]
 
 
 @query(f" SELECT 'n' || id AS feature_id, 'POINT(' || {_LON} || ' ' || {_LAT} || ')' AS geometry FROM nodes n")
@@ -525,7 +525,7 @@ def export_wkt(spark, sf_dir):
 @query()
 def export_pg(spark, sf_dir):
     config = ex.ExportConfig({"id": "id"}, geometry_types=("point", "linestring"))
-    return ex.pg_features(ex.features(t.objects(spark, sf_dir), config)[0], config)
+    return ex.pg_features(ex.features(t.stored(spark, sf_dir), config)[0], config)
 
 
 @query()
@@ -536,5 +536,5 @@ def export_multipolygon(spark, sf_dir):
 @query(""", ends AS (SELECT way, count(*) AS n FROM closed_refs GROUP BY way)
   SELECT 'w' AS type, id FROM ways LEFT JOIN ends ON way = id WHERE coalesce(n, 0) < 2""")
 def export_errors(spark, sf_dir):
-    errors = ex.features(t.objects(spark, sf_dir, closed=True))[1]
+    errors = ex.features(t.stored(spark, sf_dir, closed=True))[1]
     return errors.where("reason = 'way without two located nodes'").select("type", "id")

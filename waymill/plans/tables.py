@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymill.model import as_objects
+from waymill.scratch import materialise
 
 #: Nodes, ways and relations follow each other in the made file.
 WAY_SEQ, RELATION_SEQ = 1_000_000_000_000, 2_000_000_000_000
@@ -73,6 +74,11 @@ def objects(spark: SparkSession, sf_dir: str, closed: bool = False) -> DataFrame
     return nodes(spark, sf_dir).unionByName(ways(spark, sf_dir, closed)).unionByName(relations(spark, sf_dir))
 
 
+def stored(spark: SparkSession, sf_dir: str, closed: bool = False) -> DataFrame:
+    """The objects as a table of their own, for operators that pass over them several times."""
+    return materialise(objects(spark, sf_dir, closed), "objects")
+
+
 def later_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A later state of the ways: some gone, some with a new version, some new."""
     old = ways(spark, sf_dir)
