@@ -86,7 +86,7 @@ def test_changesets(spark, tmp_path):
     assert opl.changeset_lines(xmlfile.read_changesets(spark, str(path)).where("id = 2")).first().line == "c2 k0 s2020-01-01T00:00:00Z e2020-01-01T01:00:00Z d5 i0 u x2 y1 X4 Y3 T"
 
 
-@pytest.mark.parametrize("compression", ["zlib", "none"])
+@pytest.mark.parametrize("compression", ["zlib", "none", "lz4"])
 def test_binary_round_trip(spark, objects, tmp_path, compression):
     df = objects(LINES).orderBy("_seq")
     header = Header({"generator": "g", "sorting": "Type_then_ID"}, ((1, 2, 3, 4),))
@@ -98,12 +98,21 @@ def test_binary_round_trip(spark, objects, tmp_path, compression):
     assert [r.id for r in found.df.orderBy("_seq").collect()] == [1, -2, 3, 4, 5]
 
 
+def test_metadata_on_demand(spark, objects, tmp_path):
+    df = objects(LINES).where("id = 1").coalesce(1)
+    for given, expected in (("false", "n1 v0 dV c0 t i0 u T"), ("version+user", "n1 v1 dV c0 t i0 uUschi%20%Müller T")):
+        files.write(Dataset(df), str(tmp_path / given), f"opl,add_metadata={given}")
+        assert spark.read.text(str(tmp_path / given)).first().value.startswith(expected)
+    with pytest.raises(ValueError):
+        files.write(Dataset(df), str(tmp_path / "x"), "pbf,pbf_compression=bzip2")
+
+
 def test_plain_binary_nodes():
     """Nodes that aren't packed, and ways with locations."""
     node = pbf._number(1, pbf._zig(-7)) + pbf._number(8, pbf._zig(15)) + pbf._number(9, pbf._zig(25))
     way = pbf._number(1, 8) + pbf._list(8, pbf._steps([3, 1])) + pbf._list(9, pbf._steps([10, 20])) + pbf._list(10, pbf._steps([30, 40]))
     content = pbf._bytes(1, pbf._bytes(1, b"")) + pbf._bytes(2, pbf._bytes(1, node) + pbf._bytes(3, way))
-    a, b = pbf.parse(pbf._blob("OSMData", content, True))
+    a, b = pbf.parse(pbf._blob("OSMData", content, "zlib"))
     assert (a["id"], a["lon_e7"], a["lat_e7"]) == (-7, 25, 15)
     assert b["refs"] == [{"ref": 3, "lon_e7": 30, "lat_e7": 10}, {"ref": 1, "lon_e7": 40, "lat_e7": 20}]
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymill.model import Dataset, Header
-from waymill.operators.merging import concatenate
+from waymill.operators.merging import clean, concatenate
 from waymill.sources import debug, o5m, opl, pbf, xmlfile
 
 _COMPRESSIONS = {"gz": "gzip", "bz2": "bzip2"}
@@ -92,13 +92,18 @@ def write(dataset: Dataset, path: str, override: str | None = None, overwrite: b
     if form.encoding == "parquet":
         df.write.mode(mode).parquet(path)
         return
+    kept = {"false": "none", "true": "all"}.get(form.option("add_metadata", "all"), form.option("add_metadata", "all"))
+    if kept != "all":
+        df = clean(df, [a for a in ("version", "timestamp", "changeset", "uid", "user") if a not in kept.split("+")])
     with_places = form.option("locations_on_ways") == "true"
     if form.encoding == "opl":
         text = opl.lines(df, with_places)
     elif form.encoding == "debug":
         text = debug.blocks(df, form.option("add_crc32") == "true")
     elif form.encoding == "pbf":
-        compress = form.option("pbf_compression", "zlib") not in ("none", "false")
+        compress = {"true": "zlib", "false": "none"}.get(form.option("pbf_compression", "zlib"), form.option("pbf_compression", "zlib"))
+        if compress not in ("zlib", "lz4", "none"):
+            raise ValueError(f"Unknown compression {compress!r}")
         head = spark.createDataFrame([(pbf.header_block(header, form.kind == "history", with_places, compress),)], "block binary").coalesce(1)
         head.unionByName(pbf.encoded(df, with_places, compress)).write.mode(mode).parquet(path)
         return

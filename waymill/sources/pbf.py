@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import lzma
 import struct
 import zlib
 from collections.abc import Iterator
@@ -92,8 +93,13 @@ def blocks(data: bytes) -> Iterator[tuple[str, bytes]]:
             content = blob[1][0]
         elif 3 in blob:
             content = zlib.decompress(blob[3][0])
+        elif 4 in blob:
+            content = lzma.decompress(blob[4][0])
+        elif 6 in blob or 7 in blob:
+            packed, codec = (blob[6][0], "lz4_raw") if 6 in blob else (blob[7][0], "zstd")
+            content = pa.decompress(packed, decompressed_size=blob[2][0], codec=codec, asbytes=True)
         else:
-            raise ValueError("Blocks can be plain or zlib-packed")
+            raise ValueError("Unknown packing of a block")
         yield head[1][0].decode(), content
 
 
@@ -239,27 +245,33 @@ def _steps(values) -> list[int]:
     return out
 
 
-def _blob(kind: str, content: bytes, compress: bool) -> bytes:
-    blob = _number(2, len(content)) + _bytes(3, zlib.compress(content)) if compress else _bytes(1, content)
+def _blob(kind: str, content: bytes, compression: str) -> bytes:
+    """compression: zlib, lz4 or none."""
+    if compression == "none":
+        blob = _bytes(1, content)
+    else:
+        packed = _bytes(3, zlib.compress(content)) if compression == "zlib" else _bytes(6, pa.compress(content, codec="lz4_raw", asbytes=True))
+        blob = _number(2, len(content)) + packed
     head = _bytes(1, kind.encode()) + _number(3, len(blob))
     return struct.pack(">I", len(head)) + head + blob
 
 
-def header_block(header: Header, history: bool = False, locations_on_ways: bool = False, compress: bool = True) -> bytes:
+def header_block(header: Header, history: bool = False, locations_on_ways: bool = False, compression: str = "zlib") -> bytes:
     content = b""
     box = header.joined_box()
     if box:
         content += _bytes(1, b"".join(_number(n, _zig(v * 100)) for n, v in ((1, box[0]), (2, box[2]), (3, box[3]), (4, box[1]))))
     content += _bytes(4, b"OsmSchema-V0.6") + _bytes(4, b"DenseNodes") + (_bytes(4, b"HistoricalInformation") if history else b"")
     content += (_bytes(5, b"Sort.Type_then_ID") if header.options.get("sorting") == "Type_then_ID" else b"") + (_bytes(5, b"LocationsOnWays") if locations_on_ways else b"")
-    return _blob("OSMHeader", content + _bytes(16, header.options.get("generator", "waymill").encode()), compress)
+    return _blob("OSMHeader", content + _bytes(16, header.options.get("generator", "waymill").encode()), compression)
 
 
-def data_block(rows: list[dict], locations_on_ways: bool = False, compress: bool = True) -> bytes:
+def data_block(rows: list[dict], locations_on_ways: bool = False, compression: str = "zlib") -> bytes:
     """One block of rows of one type."""
     strings: dict[str | None, int] = {None: 0}  # place 0 ends a node's tags, so an empty key has a place of its own
     s = lambda x: strings.setdefault(x, len(strings))
-    seconds = lambda r: int(r["timestamp"].replace(tzinfo=UTC).timestamp()) if r["timestamp"] else 0
+    aware = lambda t: t if t.tzinfo else t.replace(tzinfo=UTC)
+    seconds = lambda r: int(aware(r["timestamp"]).timestamp()) if r["timestamp"] else 0
     kind = rows[0]["type"]
     if kind == "n":
         pairs = [x for r in rows for x in (*(y for t in r["tags"] for y in (s(t["k"]), s(t["v"]))), 0)]
@@ -285,10 +297,10 @@ def data_block(rows: list[dict], locations_on_ways: bool = False, compress: bool
                 data += _list(8, [s(m["role"]) for m in members]) + _list(9, _steps(m["ref"] for m in members)) + _list(10, [_TYPES.index(m["type"]) for m in members])
             group += _bytes(3 if kind == "w" else 4, data)
     table = b"".join(_bytes(1, (x or "").encode()) for x in strings)
-    return _blob("OSMData", _bytes(1, table) + _bytes(2, group) + _number(17, 100), compress)
+    return _blob("OSMData", _bytes(1, table) + _bytes(2, group) + _number(17, 100), compression)
 
 
-def encoded(objects: DataFrame, locations_on_ways: bool = False, compress: bool = True) -> DataFrame:
+def encoded(objects: DataFrame, locations_on_ways: bool = False, compression: str = "zlib") -> DataFrame:
     """(block) the blocks of the objects in the order of their partitions; joined behind a header block they are a file."""
 
     def run(batches):
@@ -296,10 +308,10 @@ def encoded(objects: DataFrame, locations_on_ways: bool = False, compress: bool
         for batch in batches:
             for row in batch.to_pylist():
                 if waiting and (waiting[0]["type"] != row["type"] or len(waiting) == BLOCK_OBJECTS):
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([data_block(waiting, locations_on_ways, compress)], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([data_block(waiting, locations_on_ways, compression)], pa.binary())})
                     waiting = []
                 waiting.append(row)
         if waiting:
-            yield pa.RecordBatch.from_pydict({"block": pa.array([data_block(waiting, locations_on_ways, compress)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([data_block(waiting, locations_on_ways, compression)], pa.binary())})
 
     return objects.mapInArrow(run, "block binary")
