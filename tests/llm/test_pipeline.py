@@ -45,3 +45,25 @@ def test_registered():
 
     assert entry.queries()["pipeline"] is corpus_pipeline.run and [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "line dedup", "near dedup", "decontamination", "mixing"]
     assert len([q for q in entry.queries() if q.startswith("op")]) == 10
+
+
+@pytest.mark.parametrize("texts", [[], [(None, None), (1, None), (2, ""), (3, " \t\n")], [(7, "ka lo mi\nka lo mi")] * 3 + [(None, "ka lo mi ne"), (8, "ka lo " * 20_000), (9, "x" * 50_000)]])
+def test_odd_tables(spark, tmp_path, texts):
+    """Empty tables, nulls everywhere, repeated rows, very long words and texts, and columns with names of our own."""
+    rows = [(i, t, None, None, None) for i, t in texts]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS chunk", "'x' AS blob", "2 AS label", "3 AS size", "4 AS score", "5 AS n_words", "6 AS answers", "7 AS rep")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, None), (None, "ka lo mi ne"), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        found = out.collect()
+        assert len(found) <= len(rows), name
+        if name != "mixing":
+            assert out.columns == docs.columns
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []  # nothing to learn a language from
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for query in ("op2_langid", "op4_mixing", "op6_near_dups", "op7_substrings", "op9_line_dedup", "op10_toxicity"):
+        assert entry.queries()[query](spark, str(tmp_path)).count() == len(rows), query

@@ -94,9 +94,11 @@ def window_symbols(words: Words, window: int = WINDOW, rounds: tuple[str, ...] =
 
 def _least_by_key(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, the least document of each, and whether it has more than one."""
+    if not len(keys):
+        return keys, docs, np.zeros(0, bool)
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
-    head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     last = np.r_[head[1:], len(keys)] - 1
     return keys[head], docs[head], docs[last] != docs[head]
 
