@@ -19,4 +19,5 @@ QUERIES = {
 ORACLES = {
     "op4_mixing": mixing.OP4_SQL,
     "op5_topk": kdtree.OP5_SQL,
+    "op7_substrings": substrings.OP7_SQL,
 }

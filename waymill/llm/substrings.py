@@ -232,3 +232,20 @@ def op7_substrings(spark, sf_dir: str) -> DataFrame:
     """Repeats of 13 words removed from all documents."""
     out = drop_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+#: op7_substrings for doc_ids that are not null and differ.
+OP7_SQL = r"""WITH split AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM split),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS run FROM starts),
+firsts AS (SELECT run, min(doc_id) AS first_id FROM windows GROUP BY run),
+repeats AS (SELECT w.doc_id, w.i FROM windows w JOIN firsts f ON w.run = f.run AND f.first_id < w.doc_id),
+covered AS (SELECT DISTINCT doc_id, i + k AS p FROM repeats CROSS JOIN range(13) r(k)),
+gone AS (SELECT doc_id, list(p) AS places FROM covered GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, word, p FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM split)
+  ANTI JOIN covered USING (doc_id, p)),
+texts AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM kept GROUP BY doc_id)
+SELECT s.doc_id, len(s.words)::BIGINT AS n_words, coalesce(len(g.places), 0)::BIGINT AS n_removed, sha256(coalesce(t.text, '')) AS kept_sha256
+FROM split s LEFT JOIN gone g ON s.doc_id = g.doc_id LEFT JOIN texts t ON s.doc_id = t.doc_id
+"""
