@@ -270,3 +270,38 @@ def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Lines of all documents that have an equal or one an edit away before them: how many each text has, loses, and what is left."""
     out = drop_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+#: op9_line_dedup for doc_ids that are not null and differ.
+OP9_SQL = r"""WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, unnest(range(len(parts))) AS n, unnest(parts) AS line FROM split),
+counted AS (SELECT *, regexp_matches(line, '[^ \t\r\x0B\x0C]') AS counts FROM lines),
+firsts AS (SELECT line, length(line) AS size, min({'doc_id': doc_id, 'n': n}) AS place FROM counted WHERE counts GROUP BY line),
+-- Of two lines one edit apart the first or the last half of the shorter length is the same.
+sized AS (SELECT line, size, place, size - shorter AS least FROM firsts, range(2) s(shorter) WHERE size >= 20),
+halves AS (
+  SELECT line, size, place, least, 'left' AS side, left(line, least // 2) AS half FROM sized
+  UNION ALL SELECT line, size, place, least, 'right', right(line, least // 2) FROM sized),
+pairs AS (
+  SELECT DISTINCT a.line, b.line AS other, b.place
+  FROM halves a JOIN halves b ON a.least = b.least AND a.side = b.side AND a.half = b.half
+  WHERE b.place < a.place AND least(a.size, b.size) = a.least AND levenshtein(a.line, b.line) <= 4),
+ranked AS (
+  SELECT *, CASE WHEN length(line) <= length(other) THEN line ELSE other END AS short,
+         CASE WHEN length(line) <= length(other) THEN other ELSE line END AS long
+  FROM pairs),
+near AS (
+  SELECT line, min(place) AS place FROM ranked
+  WHERE len(list_filter(range(length(long)), lambda i: left(short, i) = left(long, i)
+                        AND substr(short, i + 2 - (length(long) - length(short))) = substr(long, i + 2))) > 0
+  GROUP BY line),
+judged AS (
+  SELECT c.doc_id, c.n, c.line, c.counts, c.counts AND (f.place < {'doc_id': c.doc_id, 'n': c.n} OR coalesce(e.place < {'doc_id': c.doc_id, 'n': c.n}, false)) AS gone
+  FROM counted c LEFT JOIN firsts f ON c.line = f.line LEFT JOIN near e ON c.line = e.line),
+texts AS (
+  SELECT doc_id, count(*) FILTER (counts) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+         coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '') AS text
+  FROM judged GROUP BY doc_id)
+SELECT d.doc_id, coalesce(t.n_lines, 0)::BIGINT AS n_lines, coalesce(t.n_dropped, 0)::BIGINT AS n_dropped, sha256(t.text) AS kept_sha256
+FROM documents d LEFT JOIN texts t ON d.doc_id = t.doc_id
+"""

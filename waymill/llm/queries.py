@@ -20,4 +20,5 @@ ORACLES = {
     "op4_mixing": mixing.OP4_SQL,
     "op5_topk": kdtree.OP5_SQL,
     "op7_substrings": substrings.OP7_SQL,
+    "op9_line_dedup": lines.OP9_SQL,
 }
