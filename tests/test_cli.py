@@ -66,6 +66,31 @@ def test_outputs(spark, folder):
     assert [x.split()[0] for x in lines(folder / "r.opl")] == ["n10", "n11", "w10"]
 
 
+def test_one_file(spark, folder):
+    source, out = str(folder / "in.opl"), folder / "one.osm.pbf"
+    assert main(["cat", source, "--join", "-o", str(out)]) == 0 and out.is_file()
+    assert main(["cat", source, "--join", "-o", str(out)]) == 1
+    assert main(["cat", str(out), "-t", "way", "--join", "-o", str(folder / "w.opl")]) == 0
+    assert (folder / "w.opl").read_text().splitlines() == [LINES.splitlines()[2]]
+
+
+def test_map_of_ids_goes_on(spark, folder):
+    first, second, index = str(folder / "in.opl"), folder / "more.opl", str(folder / "map")
+    second.write_text("n7 v1 dV x1 y1\nn2 v2 dV x1 y1\n")
+    assert main(["renumber", first, "-i", index, "-o", str(folder / "a.opl")]) == 0
+    assert main(["renumber", str(second), "-i", index, "-o", str(folder / "b.opl")]) == 0
+    assert [x.split()[0] for x in lines(folder / "b.opl")] == ["n3", "n2"]
+
+
+def test_data_and_history_dont_mix(spark, folder):
+    source, change = str(folder / "in.opl"), folder / "c.opl"
+    change.write_text("n1 v2 dV c1 t2020-01-02T00:00:00Z i1 ua T x5 y5\n")
+    assert main(["apply-changes", source, str(change), "-o", str(folder / "x.osh")]) == 2
+    assert main(["apply-changes", source, str(change), "-H", "--locations-on-ways", "-o", str(folder / "x.opl")]) == 2
+    assert main(["apply-changes", source, str(change), "-H", "-o", str(folder / "h.opl")]) == 0
+    assert [x[:5] for x in lines(folder / "h.opl")] == ["n1 v1", "n1 v2", "n2 v1", "w3 v1"]
+
+
 def test_changes_as_a_stream(spark, objects, folder, ids):
     path, root = str(folder / "changes"), str(folder / "root")
     objects("n1 v2 dV T x5 y5\nn2 v2 dD T").coalesce(1).write.parquet(path)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
+import shutil
 import sys
 from datetime import UTC, datetime
 
@@ -49,7 +51,22 @@ def _types(args, df: DataFrame) -> DataFrame:
 
 
 def _write(args, dataset: Dataset) -> None:
-    files.write(dataset, args.output, args.output_format, args.overwrite, args.output_header)
+    _save(args, dataset, args.output, args.output_format)
+
+
+def _save(args, dataset: Dataset, path: str, form: str | None) -> None:
+    """A folder of part files, or with --join one local file."""
+    if not args.join:
+        return files.write(dataset, path, form, args.overwrite, args.output_header)
+    if os.path.exists(path) and not args.overwrite:
+        raise ValueError(f"{path} is there already")
+    form, parts = form or files.suffix(path), f"{path}.parts"
+    encoding = files.resolve(path, form).encoding
+    if encoding == "parquet":
+        raise UsageError("Parquet is always a folder")
+    files.write(dataset, parts, form, True, args.output_header)
+    files.join_parts(parts, path, binary=encoding == "pbf")
+    shutil.rmtree(parts)
 
 
 def _print(df: DataFrame) -> None:
@@ -84,16 +101,21 @@ def add_locations_to_ways(args):
 
 def apply_changes(args):
     d = _read(args, [args.input])
-    if args.locations_on_ways and (args.with_history or d.kind == "history"):
+    if args.locations_on_ways and (args.with_history or args.redact or d.kind == "history"):
         raise UsageError("Locations on ways can't go with history")
+    made = files.resolve(args.output, args.output_format).kind
+    history = args.with_history or args.redact or d.kind == "history"
+    if not (args.with_history or args.redact) and (d.kind == "history") != (made == "history"):
+        raise UsageError("Data and history can't be mixed without --with-history")
     given = _each(args, args.changes)
-    if args.with_history or args.redact or d.kind == "history":
+    if history:
+        args.output_format = f"{args.output_format or files.suffix(args.output)},history=true"
         df = changes.apply_changes_history(d.df, given, args.redact)
     elif args.locations_on_ways:
         df = changes.apply_changes_locations(d.df, given)
     else:
         df = changes.apply_changes(d.df, given)
-    _write(args, Dataset(references.in_canonical_order(df), d.header, d.kind))
+    _write(args, Dataset(references.in_canonical_order(df), d.header, "history" if history else d.kind))
 
 
 def cat(args):
@@ -223,7 +245,7 @@ def extract(args):
         own = found.where(F.col("extract") == name).drop("extract")
         plan = plans.get(name)
         target = f"{args.directory}/{name}" if args.directory else name
-        files.write(Dataset(references.in_canonical_order(own), header, d.kind), target, plan.output_format if plan else args.output_format, args.overwrite, args.output_header)
+        _save(args, Dataset(references.in_canonical_order(own), header, d.kind), target, plan.output_format if plan else args.output_format)
 
 
 def fileinfo(args):
@@ -277,6 +299,8 @@ def merge(args):
         errors = {r.kind: r["count"] for r in merging.order_errors(df).collect()}
         if errors:
             raise ValueError(f"Input out of order: {errors}")
+        if not args.with_history and summary.order_facts(df).first().multiple_versions:
+            print("An input has several versions of an object; use --with-history if it is meant to", file=sys.stderr)
     d = _read(args, args.input[:1])
     _write(args, Dataset(references.in_canonical_order(merging.merge(inputs)), d.header, d.kind))
 
@@ -319,11 +343,8 @@ def renumber(args):
     starts = dict(zip("nwr", parts * 3 if len(parts) == 1 else parts, strict=True))
     before = None
     if args.index_directory:
-        try:
+        if files.exists(session(), args.index_directory):
             before = session().read.parquet(args.index_directory)
-            before.count()
-        except Exception:  # noqa: BLE001  no map yet
-            before = None
     mapping = renumbering.renumber_map(d.df, starts, types, before)
     if args.show_index:
         kind = args.show_index[0]
@@ -420,6 +441,7 @@ def parser() -> argparse.ArgumentParser:
         one.add_argument("--output-format", "-f")
         one.add_argument("--overwrite", "-O", action="store_true")
         one.add_argument("--output-header", action="append")
+        one.add_argument("--join", action="store_true", help="write one local file")
         for flags, options in arguments:
             one.add_argument(*flags.split(), **options)
     return top

@@ -119,6 +119,12 @@ def write(dataset: Dataset, path: str, override: str | None = None, overwrite: b
     text.write.mode(mode).option("compression", form.compression or "none").text(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of this name, on whatever file system the name says."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+
+
 def join_parts(folder: str, target: str, binary: bool = False) -> None:
     """Put the parts of a local folder together to one local file: what command-line use ends with."""
     import glob
