@@ -63,3 +63,15 @@ def test_purity_is_smoothed(spark, smoothing):
     rows = judge_urls(frame(spark, urls), rules=(), label=label, smoothing=smoothing).collect()
     verdicts = {r.verdict for r in rows if "bad" in r.path}
     assert verdicts == {"block" if smoothing < 1 else "allow"}
+
+
+@pytest.mark.parametrize("n", [24, 25, 60])
+def test_wide_nodes_keep_branches_apart(spark, n):
+    """One blocked branch among many clean ones, and one clean among many blocked, whatever the fan-out."""
+    for odd in (1, 0):
+        urls = [f"http://h/part{b}x/page{p}y" for b in range(n) for p in range(12)]
+        label = F.when(F.col("page_id") % 12 < 10, F.when(F.col("url").contains("/part3x/"), odd).otherwise(1 - odd))
+        rows = judge_urls(frame(spark, urls), rules=(), label=label).collect()
+        assert len(rows) == len(urls) and len({r.template for r in rows}) == 2
+        for r in rows:
+            assert (r.verdict == "block") == (("/part3x/" in r.path) == bool(odd)), r

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,34 +57,61 @@ def _shape(segment: Column) -> Column:
 
 def _merge_siblings(near: float, purity_gap: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Greedy, largest first: a branch joins the first cluster that is like it in shape and purity."""
-        clusters: list[dict] = []
-        for row in pdf.sort_values(["n", "seg"], ascending=[False, True]).to_dict("records"):
-            shape = [row[k] / max(row["n"], 1) for k in _KINDS]
-            purity = (row["bad"] + row["prior"] * 4) / (row["bad"] + row["good"] + 4)
-            for c in clusters:
-                if 0.5 * sum(abs(a - b) for a, b in zip(shape, c["shape"], strict=True)) <= near and abs(purity - c["purity"]) <= purity_gap:
-                    c["names"].append(row["seg"])
-                    break
-            else:
-                clusters.append({"shape": shape, "purity": purity, "names": [row["seg"]]})
-        name = {s: c["names"][0] if len(c["names"]) == 1 else "{" + "|".join(sorted(c["names"])) + "}" for c in clusters for s in c["names"]}
-        return pd.DataFrame({"host": pdf["host"], "prefix": pdf["prefix"], "seg": pdf["seg"], "new": pdf["seg"].map(name)})
+        """Greedy, largest first: a cell joins the first cluster that is like it in shape and purity."""
+        pdf = pdf.sort_values(["n", "first"], ascending=[False, True])
+        shapes = pdf[list(_KINDS)].to_numpy(float) / np.maximum(pdf["n"].to_numpy(float), 1)[:, None]
+        purities = ((pdf["bad"] + pdf["prior"] * pdf["names"] * 4) / (pdf["bad"] + pdf["good"] + pdf["names"] * 4)).to_numpy(float)
+        heads, cluster = [], np.zeros(len(pdf), dtype=np.int64)
+        for i in range(len(pdf)):
+            alike = (0.5 * np.abs(shapes[heads] - shapes[i]).sum(axis=1) <= near) & (np.abs(purities[heads] - purities[i]) <= purity_gap)
+            if not alike.any():
+                heads.append(i)
+            cluster[i] = int(alike.argmax()) if alike.any() else len(heads) - 1
+        return pdf[["host", "prefix", "cell"]].assign(cluster=cluster)
 
     return run
 
 
+def _named_siblings(kids: DataFrame, host_prior: DataFrame, max_children: int, near: float, purity_gap: float) -> DataFrame:
+    """(host, prefix, seg, new): what each literal child is called in templates, however many siblings it has.
+
+    Children whose shape and purity fall into one cell of a grid so fine that any two of
+    them pass the test are counted together first, so that Python sees cells, not children.
+    """
+    purity = (F.col("bad") + F.col("prior") * 4) / (F.col("bad") + F.col("good") + 4)
+    grid = lambda x, step: F.round(x / step).cast("string") if step else x.cast("string")
+    cell = F.concat_ws(",", *[grid(F.col(k) / F.col("n"), near / 4) for k in _KINDS], grid(purity, purity_gap / 4))
+    kids = materialise(kids.join(host_prior, "host").withColumn("cell", cell), "url-kids")
+    sums = [F.sum(c).alias(c) for c in ("n", "bad", "good", *_KINDS)]
+    cells = kids.groupBy("host", "prefix", "cell").agg(F.count("*").alias("names"), F.min("seg").alias("first"), F.first("prior").alias("prior"), *sums)
+    cells = materialise(cells, "url-cells")
+    several = cells.groupBy("host", "prefix").agg(F.count("*").alias("c")).where("c > 1").select("host", "prefix")
+    merged = cells.join(several, ["host", "prefix"], "left_semi").groupBy("host", "prefix").applyInPandas(_merge_siblings(near, purity_gap), "host string, prefix string, cell string, cluster long")
+    placed = materialise(cells.join(merged, ["host", "prefix", "cell"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(0))), "url-clusters")
+    clusters = placed.groupBy("host", "prefix", "cluster").agg(F.sum("names").alias("names"), F.min("first").alias("first"), F.sum("n").alias("n"))
+    wide = clusters.where(F.col("names") > max_children)
+    # The largest of many names is *, any other is told apart by its first name.
+    top = wide.groupBy("host", "prefix").agg(F.max(F.struct("n", (-F.col("cluster")).alias("c"))).alias("top"))
+    wide = wide.join(top, ["host", "prefix"]).select("host", "prefix", "cluster", F.when(F.col("cluster") == -F.col("top.c"), "*").otherwise(F.concat(F.lit("{"), "first", F.lit("|*}"))).alias("many"))
+    kids = kids.select("host", "prefix", "cell", "seg").join(placed.select("host", "prefix", "cell", "cluster"), ["host", "prefix", "cell"]).drop("cell")
+    kids = kids.join(clusters.select("host", "prefix", "cluster", "names"), ["host", "prefix", "cluster"])
+    few = kids.where(F.col("names").between(2, max_children)).groupBy("host", "prefix", "cluster").agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list("seg")), "|"), F.lit("}")).alias("few"))
+    named = kids.join(wide, ["host", "prefix", "cluster"], "left").join(few, ["host", "prefix", "cluster"], "left")
+    return materialise(named.select("host", "prefix", "seg", F.coalesce("many", "few").alias("new")).where("new is not null"), "url-names")
+
+
 def path_templates(paths: DataFrame, max_depth: int = 4, max_children: int = 24, near: float = 0.25, purity_gap: float = 0.25) -> DataFrame:
     """Template of each distinct (host, path) with columns host, path, bad, good (labelled counts).
 
-    Level by level from the root: segments of a variable kind become its wildcard; a node
-    with more than ``max_children`` literals generalises them to ``*``; of at most that many
-    siblings, those merge whose next level has a similar spread of kinds (total variation up
-    to ``near``) and whose smoothed purity is within ``purity_gap``. What is deeper than
+    Level by level from the root: segments of a variable kind become its wildcard; literal
+    siblings, however many, merge if their next level has a similar spread of kinds (total
+    variation up to ``near``) and their smoothed purity is within ``purity_gap``. Merged ones
+    are called ``{a|b}``, more than ``max_children`` of them ``*`` (the largest such group of a
+    node) or ``{a|*}``: that number only decides on the name. What is deeper than
     ``max_depth`` becomes ``**``. Returns the input's columns and template.
 
     A node's children are counted by partial aggregation, so a host with any share of
-    the pages is fine; at most ``max_children`` counted rows meet in one call of Python.
+    the pages is fine; cells of like children, not children, meet in one call of Python.
     """
     parts = F.split(F.regexp_replace("path", "^/", ""), "/", -1)
     rows = paths.withColumn("segs", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(parts)).withColumn("prefix", F.lit(""))
@@ -95,16 +123,10 @@ def path_templates(paths: DataFrame, max_depth: int = 4, max_children: int = 24,
         next_kind = F.when(after.isNull(), END).otherwise(F.coalesce(_shape(after), F.lit(LITERAL)))
         kinds = [F.count_if(next_kind == k).alias(name) for name, k in _KINDS.items()]
         kids = rows.where("lit").groupBy("host", "prefix", "seg").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good"), *kinds)
-        kids = materialise(kids, "url-kids")
-        fan = kids.groupBy("host", "prefix").agg(F.count("*").alias("fan"))
-        few = kids.join(fan.where(F.col("fan").between(2, max_children)).select("host", "prefix"), ["host", "prefix"]).join(host_prior, "host")
-        merged = few.groupBy("host", "prefix").applyInPandas(_merge_siblings(near, purity_gap), "host string, prefix string, seg string, new string")
-        merged = merged.where("new <> seg")
-        wide = fan.where(F.col("fan") > max_children).select("host", "prefix", F.lit(True).alias("wide"))
-        rows = rows.join(wide, ["host", "prefix"], "left").join(merged, ["host", "prefix", "seg"], "left")
-        name = F.when(F.col("lit") & F.col("wide"), "*").when(F.col("lit"), F.coalesce("new", "seg")).otherwise(F.col("seg"))
+        rows = rows.join(_named_siblings(kids, host_prior, max_children, near, purity_gap), ["host", "prefix", "seg"], "left")
+        name = F.when(F.col("lit"), F.coalesce("new", "seg")).otherwise(F.col("seg"))
         rows = rows.withColumn("prefix", F.when(raw.isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), name)))
-        rows = materialise(rows.drop("lit", "seg", "wide", "new"), "url-level")
+        rows = materialise(rows.drop("lit", "seg", "new"), "url-level")
     deep = F.size("segs") > max_depth
     return rows.withColumn("template", F.when(deep, F.concat("prefix", F.lit("/**"))).otherwise(F.col("prefix"))).drop("segs", "prefix")
 
