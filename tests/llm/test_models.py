@@ -135,3 +135,15 @@ def test_toxicity_without_labels(spark):
     model = toxicity.fit_toxicity(docs, labels)
     assert {r.score for r in toxicity.score_toxicity(docs, model).collect()} == {0.5}
     assert toxicity.score_toxicity(docs.limit(0), model).collect() == []
+
+
+def test_languages_of_few_long_texts_are_learned(spark):
+    """Texts far longer than the sample, and many rows of one id: every language is in it, within its bound."""
+    r = rng(9)
+    texts = [(i, prose(r, "aa", 40), "aa") for i in range(300)] + [(1000 + i, prose(r, "bb", 9000), "bb") for i in range(3)] + [(77, prose(r, "cc", 40), "cc")] * 400
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    got = langid.sample_texts(docs, train_chars=3000)
+    assert set(got) == {"aa", "bb", "cc"}
+    assert len(got["bb"]) == 3 and 900 <= sum(map(len, got["bb"])) <= 1000
+    assert set(langid.sample_texts(docs.where("lang = 'bb'"), train_chars=1)) == {"bb"}
+    assert langid._even_cap([5, 100, 100], 105) == 50 and langid._even_cap([3, 4], 100) >= 4

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from waymill.scratch import materialise, scratch_dir
 
-__all__ = ["U64", "WORD", "Words", "materialise", "mix", "pack", "release", "remainder", "scratch_dir", "slices", "span_hashes", "squeeze", "tidied", "unpack", "unsqueeze", "windows"]
+__all__ = ["U64", "WORD", "Words", "hash_share", "materialise", "mix", "pack", "release", "remainder", "scratch_dir", "slices", "span_hashes", "squeeze", "tidied", "unpack", "unsqueeze", "windows"]
 
 U64 = np.uint64
 WORD = r"[^\x20\x09-\x0D]+"
@@ -155,3 +156,10 @@ def unsqueeze(blob: bytes | None) -> str | None:
     import zstandard
 
     return None if blob is None else zstandard.ZstdDecompressor().decompress(blob).decode("utf-8", "surrogatepass")
+
+
+def hash_share(key: Column | str, share: float) -> Column:
+    """Whether a row is in the sample of this share by the whole 64-bit hash of the key; however small, a share is not cut to 0."""
+    if share >= 1:
+        return F.lit(True)
+    return F.xxhash64(key) < F.lit(int(share * 2.0**64) - (1 << 63))

@@ -6,14 +6,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymill.llm.common import mix, remainder, slices, tidied, U64
+from waymill.llm.common import hash_share, mix, remainder, slices, tidied, U64
 
 ORDER = 4
 #: Characters of text that the models are fitted on, of all languages together, about.
 TRAIN_CHARS = 6_000_000
+#: Texts of a language that has as many, about, however long they are.
+MIN_TEXTS = 50
 _LIMIT = 0x110000
 _FOLD: list[np.ndarray] = []
 
@@ -273,21 +275,59 @@ def _calibrate(model: LanguageModels, held: dict[str, list[str]], samples: dict[
         model.sharpness = float(scales[np.argmin([np.log1p(np.exp(np.clip(-m * s, -60, 60))).mean() for s in scales])])
 
 
+def _even_cap(sizes: list[int], budget: int) -> int:
+    """The most that each may give so that all together give the budget, about; no less than 1."""
+    left, cap = budget, 0
+    for i, size in enumerate(sorted(sizes)):
+        cap = left // (len(sizes) - i)
+        if size > cap:
+            break
+        left -= size
+        cap = size
+    return max(1, cap)
+
+
 def sample_texts(labelled: DataFrame, train_chars: int = TRAIN_CHARS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
-    """Whole labelled texts of about train_chars in all, as much of each language, chosen by a hash of the id."""
+    """Labelled texts of about train_chars in all, as much of each language, chosen by a hash of the id; at least one of each language.
+
+    Texts are whole, unless a language's are so long that fewer than MIN_TEXTS are its share of
+    the characters: then it has about MIN_TEXTS texts (all, if it has no more), and the longest lend a stretch.
+    """
     known = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and text is not null and lang is not null")
-    totals = {r.lang: r.chars for r in known.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).collect()}
-    keep = F.lit(False)
-    for lang, chars in totals.items():
-        share = min(1_000_000, int(1_000_000 * train_chars / len(totals) / max(chars, 1)))
-        keep = keep | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share))
-    got = known.where(keep).toArrow()
+    totals = {r.lang: (r.chars, r.n) for r in known.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("n")).collect()}
+    budget = max(1, train_chars // max(1, len(totals)))
+    shares = {lang: min(1.0, max(budget / max(chars, 1), MIN_TEXTS / n)) for lang, (chars, n) in totals.items()}
+    keep, long = F.lit(False), [lang for lang, (chars, _) in totals.items() if shares[lang] > budget / max(chars, 1)]
+    for lang, share in shares.items():
+        keep = keep | ((F.col("lang") == lang) & hash_share("id", share))
+    chosen = known.where(keep)
+    if long:  # a bounded number of texts each, unless ids are repeated
+        sizes: dict[str, list[int]] = {}
+        for r in chosen.where(F.col("lang").isin(long)).groupBy("lang", F.length("text").alias("size")).agg(F.count("*").alias("c")).collect():
+            sizes.setdefault(r.lang, []).extend([r.size] * r.c)
+        cap = F.lit(None).cast("int")
+        for lang, own in sizes.items():
+            cap = F.when(F.col("lang") == lang, min(_even_cap(own, budget), 2**31 - 1)).otherwise(cap)
+        chosen = chosen.withColumn("text", _stretch(cap))
+    got = chosen.toArrow()
+    rows = list(zip(got.column("id").to_pylist(), got.column("text").to_pylist(), got.column("lang").to_pylist(), strict=True))
+    missing = sorted(set(totals) - {lang for _, _, lang in rows})
+    if missing:  # only where many rows share few ids: the text of the least hash
+        first = known.where(F.col("lang").isin(missing)).groupBy("lang").agg(F.min_by(F.struct("id", _stretch(F.lit(min(budget, 2**31 - 1))).alias("text")), F.struct(F.xxhash64("id"), F.xxhash64("text"))).alias("r"))
+        rows += [(r.r.id, r.r.text, r.lang) for r in first.collect()]
     out: dict[str, list[str]] = {}
-    for _, text, lang in sorted(zip(got.column("id").to_pylist(), got.column("text").to_pylist(), got.column("lang").to_pylist(), strict=True), key=lambda r: (r[0], r[1])):
+    for _, text, lang in sorted(rows, key=lambda r: (r[0], r[1])):
         out.setdefault(lang, []).append(text)
     return out
 
 
+def _stretch(cap: Column) -> Column:
+    """cap characters of the text from a place chosen by the id's hash; all of it if it has no more or cap is null."""
+    spare = F.length("text") - cap
+    start = F.when(spare > 0, F.pmod(F.xxhash64("id"), spare + 1).cast("int") + 1).otherwise(1)
+    return F.substring("text", start, F.coalesce(cap, F.length("text")))
+
+
 def identify(docs: DataFrame, model: LanguageModels, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and lang_pred, score, bits, accepted for every whole text.
 
