@@ -3,7 +3,7 @@ import pytest
 
 from tests.llm.helpers import WORD, frame, rng, words
 from waymill.llm.common import Words
-from waymill.llm.minhash import connected, drop_near_duplicates, labelled_shingles, near_duplicates, ordered_similarity, sketch
+from waymill.llm.minhash import connected, drop_near_duplicates, exact_keys, EXACT_SHINGLES, labelled_shingles, near_duplicates, ordered_similarity, sketch
 
 
 def shingles(text, n=5):
@@ -120,3 +120,24 @@ def test_sketches_agree_as_often_as_promised():
         x = r.integers(1, 1 << 63, 450).astype(np.uint64)
         same.append((sketch(x[:405]) == sketch(x[45:])).mean())  # 360 of 450
     assert 0.35 < np.mean(same) < 0.47
+
+
+def test_short_texts_meet_by_exact_keys(spark):
+    """Pairs at the threshold: 8 words and one more, 4 of 5 shingles, of which equal sketches miss one in a hundred."""
+    r = rng(21)
+    texts = []
+    for p in range(1500):
+        words = [f"x{r.randrange(10**6)}" for _ in range(8)]
+        texts += [(2 * p, " ".join(words)), (2 * p + 1, " ".join([*words, "more"]))]
+    got = {row.doc_id: row.group for row in near_duplicates(frame(spark, texts)).collect()}
+    assert [i for i, g in got.items() if g != i - i % 2] == []
+
+
+def test_exact_keys_are_shared():
+    r = np.random.default_rng(5)
+    for _ in range(500):
+        a = r.integers(1, 2**63, int(r.integers(1, EXACT_SHINGLES + 1))).astype(np.uint64)
+        gone = int(r.integers(0, len(a)))
+        b = np.r_[a[gone:], r.integers(1, 2**63, int(r.integers(0, 4))).astype(np.uint64)]
+        if len(a) - gone >= 0.8 * (len(b) + gone) and len(b) <= EXACT_SHINGLES:
+            assert np.isin(exact_keys(a), exact_keys(b)).any()

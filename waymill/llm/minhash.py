@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,10 @@ from waymill.llm.exchange import opened, store_chunks, texts_of
 SHINGLE, SIMILARITY, SKETCHES, ORDERED = 5, 0.8, 20, 4
 #: Rows of one bucket that one call compares with as many others; shingles of a text that it compares.
 BLOCK_ROWS, THINNED = 512, 2048
+#: Up to so many shingles, texts also meet by exact keys.
+EXACT_SHINGLES = 17
 _SALTS = mix(np.arange(1, SKETCHES + 1).astype(U64) * U64(0x9E3779B97F4A7C15))
-_NODES = pa.schema([("id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("chunk", pa.int64()), ("row", pa.int32()), ("n", pa.int32()), ("sketches", pa.list_(pa.int64()))])
+_NODES = pa.schema([("id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("chunk", pa.int64()), ("row", pa.int32()), ("n", pa.int32()), ("sketches", pa.list_(pa.int64())), ("exact", pa.list_(pa.int64()))])
 
 
 def labelled_shingles(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +68,25 @@ def sketch(shingles: np.ndarray, ordered: int = ORDERED) -> np.ndarray:
     return out
 
 
+def exact_keys(shingles: np.ndarray, ordered: int = ORDERED) -> np.ndarray:
+    """Keys of which any two similar texts of at most EXACT_SHINGLES shingles share one; none for longer texts.
+
+    Of n shingles such a pair has t = ceil(SIMILARITY * n) at least in common, so its ``ordered``
+    least common ones are among the n - t + ordered least of either: each choice of them is a key.
+    Texts of fewer shingles than ``ordered`` are similar only if they have the same.
+    """
+    n = len(shingles)
+    if not n or n > EXACT_SHINGLES:
+        return np.zeros(0, dtype=U64)
+    size = min(ordered, n)
+    least = np.sort(shingles)[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + size]
+    chosen = np.array(list(combinations(range(len(least)), size)))
+    value = np.full(len(chosen), size, dtype=U64)
+    for k in range(size):
+        value = mix(value * U64(0x100000001B3) + least[chosen[:, k]])
+    return value
+
+
 def ordered_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """Share of shingles that stand in both texts in the same order: c / (len(a) + len(b) - c); 0 if under ``least``.
 
@@ -129,7 +151,7 @@ def _nodes(id_col: str, text_col: str):
                     if id_ is None or not len(own):
                         continue
                     whole = xxhash.xxh3_128_intdigest(words.hashes[words.first[r] : words.first[r + 1]].tobytes())
-                    values = (id_, (whole >> 64) - (1 << 63), (whole & 0xFFFFFFFFFFFFFFFF) - (1 << 63), row["chunk"], r, len(own), sketch(own).view(np.int64))
+                    values = (id_, (whole >> 64) - (1 << 63), (whole & 0xFFFFFFFFFFFFFFFF) - (1 << 63), row["chunk"], r, len(own), sketch(own).view(np.int64), exact_keys(own).view(np.int64))
                     for k, v in zip(_NODES.names, values, strict=True):
                         out[k].append(v)
                 yield pa.RecordBatch.from_pydict(out, schema=_NODES)
@@ -209,9 +231,10 @@ def verified(pairs: DataFrame, chunks: DataFrame, nodes: DataFrame, text_col: st
 
 
 def _cross_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of left and right rows in different components whose lengths, another sketch and thinned shingles allow it.
+    """Pairs of left and right rows in different components whose lengths and shingles allow it.
 
-    A pair that shares several buckets is given in the first of them only.
+    A pair that shares several sketches is given in the first of their buckets only; in buckets of
+    exact keys, only pairs that share no sketch are.
     """
     i = table.column("i")[0].as_py()
     side = np.asarray(table.column("left"))
@@ -227,7 +250,7 @@ def _cross_pairs(table: pa.Table) -> pa.Table:
         ys = right[label[right] != label[x]]
         ys = ys[np.minimum(n[ys], n[x]) >= SIMILARITY * np.maximum(n[ys], n[x]) - 1e-9]
         same = sketches[ys] == sketches[x]
-        ys = ys[(same.sum(axis=1) >= 2) & (same.argmax(axis=1) == i)]
+        ys = ys[same.any(axis=1) & (same.argmax(axis=1) == i)] if i < SKETCHES else ys[~same.any(axis=1)]
         for level in np.unique(np.maximum(bits[ys], bits[x])).tolist():
             mine = np.zeros(len(ids), dtype=bool)
             mine[ys[np.maximum(bits[ys], bits[x]) == level]] = True
@@ -237,9 +260,8 @@ def _cross_pairs(table: pa.Table) -> pa.Table:
             sizes = np.bincount(owner[use], minlength=len(ids))
             both = np.bincount(owner[use][np.isin(values[use], own)], minlength=len(ids))
             union = sizes + len(own) - both
-            # A sample's share strays from the text's: four standard deviations are let by, none where all shingles are there.
-            least = SIMILARITY - (4 * np.sqrt(SIMILARITY * (1 - SIMILARITY) / np.maximum(union, 1)) if level else 1e-9)
-            hits = ids[mine & (both >= least * union)]
+            # A sample's share strays from the text's: only where all shingles are there can it tell; others are aligned.
+            hits = ids[mine & (both >= (SIMILARITY - 1e-9) * union)] if not level else ids[mine]
             out_a += np.maximum(hits, ids[x]).tolist()
             out_b += np.minimum(hits, ids[x]).tolist()
     return pa.Table.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
@@ -250,22 +272,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two texts are near copies if their ordered similarity on shingles of SHINGLE words is at
     least SIMILARITY (see ordered_similarity), and groups are connected by such pairs. Pairs are
-    found if one of SKETCHES Order MinHash sketches (ORDERED least shingles each) is equal, in
-    all but the first round two: at the threshold itself one pair in a thousand is missed, above fewer.
+    found if one of SKETCHES Order MinHash sketches (ORDERED least shingles each) is equal: at the
+    threshold itself one of 25,000 pairs of 80 of 100 shingles is missed, above fewer. Of pairs of at
+    most EXACT_SHINGLES shingles each none is missed (see exact_keys).
 
     Texts of the same words are one node from the start. In each bucket of equal sketches all
     are first compared with its most connected member; where a bucket then still holds several
     components, its rows outside of that member's are compared with all of other components, in
-    blocks of BLOCK_ROWS: by thinned shingles first, then by alignment. Every row gives one row.
+    blocks of BLOCK_ROWS: by all shingles of texts of up to THINNED first, then by alignment. Every row gives one row.
     Rows without words (null, empty) or id are alone: group is the id. Rows of one id count as one document.
     """
     chunks = store_chunks(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), text_col)
-    rows = materialise(chunks.mapInArrow(tidied(_nodes(id_col, text_col)), "id long, hi long, lo long, chunk long, row int, n int, sketches array<long>"), "near-nodes")
+    rows = materialise(chunks.mapInArrow(tidied(_nodes(id_col, text_col)), "id long, hi long, lo long, chunk long, row int, n int, sketches array<long>, exact array<long>"), "near-nodes")
     copies = rows.groupBy("hi", "lo").agg(F.min("id").alias("rep"))
     members = materialise(rows.select("id", "hi", "lo").join(copies, ["hi", "lo"]).select("id", "rep", "hi", "lo"), "near-members")
     nodes = materialise(rows.join(copies.withColumnRenamed("rep", "id"), ["id", "hi", "lo"]).dropDuplicates(["id", "hi", "lo"]), "near-distinct")
 
     sketched = nodes.select("id", F.posexplode("sketches").alias("i", "v"))
+    sketched = sketched.union(nodes.select("id", F.lit(SKETCHES).alias("i"), F.explode("exact").alias("v")))
     shared = sketched.join(sketched.groupBy("i", "v").agg(F.count("*").alias("c")).where("c > 1"), ["i", "v"])
     shared = materialise(shared, "near-buckets")
     weight = shared.groupBy("id").agg(F.sum("c").alias("weight"))
