@@ -147,3 +147,14 @@ def test_languages_of_few_long_texts_are_learned(spark):
     assert len(got["bb"]) == 3 and 900 <= sum(map(len, got["bb"])) <= 1000
     assert set(langid.sample_texts(docs.where("lang = 'bb'"), train_chars=1)) == {"bb"}
     assert langid._even_cap([5, 100, 100], 105) == 50 and langid._even_cap([3, 4], 100) >= 4
+
+
+def test_scores_do_not_depend_on_the_sample(spark):
+    """Scores average to the share of toxic labels, whether or not the bound evens out the sample."""
+    texts = [(i, "the word zorp" if (i // 10) % 2 == 0 and i % 10 == 0 or i % 6 == 1 and i % 10 else "the word other") for i in range(6000)]
+    docs, labels = frame(spark, texts), spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(6000)], "doc_id long, toxic int")
+    means = []
+    for bound in (6000, 500):
+        scores = [r.score for r in toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels, train_rows=bound)).collect()]
+        means.append(np.mean(scores))
+    assert abs(means[0] - 0.1) < 0.02 and abs(means[1] - 0.1) < 0.03

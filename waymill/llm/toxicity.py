@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymill.llm.common import remainder, tidied
+from waymill.llm.common import hash_share, remainder, tidied
 
 HASH_BITS = 20
 #: Rows of each label that the model is fitted on, at most about.
@@ -122,14 +122,16 @@ class FactorizationMachine:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, **params) -> FactorizationMachine:
     """Fit on about ``train_rows`` labelled documents of either label, chosen by a hash of the id.
 
+    The probabilities are those among all labels, however much of either is sampled.
     Labels other than 0 and 1, null ids and labels without a document are ignored. With
     one label only, or none, the model gives the smoothed share of label 1 to all texts.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+    shares = {y: min(1.0, train_rows / n) for y, n in counts.items()}
     keep = F.lit(False)
-    for y, n in counts.items():
-        keep = keep | ((F.col("y") == y) & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < min(1_000_000, 1_000_000 * train_rows // n)))
+    for y, share in shares.items():
+        keep = keep | ((F.col("y") == y) & hash_share("id", share))
     chosen = F.broadcast(known.where(keep))  # 2 * train_rows rows, about
 
     def featurise(batches):
@@ -141,7 +143,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select(F.col("id").cast("long").alias("id"), "y", "text")
     got = rows.mapInArrow(tidied(featurise), "id long, y int, x binary").toArrow()
     order = sorted(zip(got.column("id").to_pylist(), got.column("y").to_pylist(), got.column("x").to_pylist(), strict=True))
-    return FactorizationMachine(**params).fit([np.frombuffer(x, np.int32) for _, _, x in order], np.array([y for _, y, _ in order]))
+    model = FactorizationMachine(**params).fit([np.frombuffer(x, np.int32) for _, _, x in order], np.array([y for _, y, _ in order]))
+    model.bias -= float(np.log(shares.get(1, 1.0) / shares.get(0, 1.0)))  # odds of the sample to odds of all labels
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
