@@ -51,3 +51,11 @@ def test_tree_opens_few_leaves():
     scores = rows @ query[0]
     expected = np.lexsort((np.arange(4000), -scores))[:5]
     assert [i for _, i in best] == expected.tolist()
+
+
+def test_rows_of_the_querys_own_id_take_no_place():
+    """A leaf where the query's id has many rows, all best: k others are found all the same."""
+    rows = np.array([[10.0, 0.0]] * 30 + [[float(i % 7), 1.0] for i in range(20)])
+    tree = KDTree(np.r_[np.full(30, 5), np.arange(100, 120)], rows, 64)
+    found = tree.search(np.array([[1.0, 0.0]]), np.array([5]), 5, np.array([-np.inf]))[0]
+    assert found == sorted(((r[0], i) for r, i in zip(rows[30:].tolist(), range(100, 120), strict=True)), key=lambda x: (-x[0], x[1]))[:5]

@@ -77,13 +77,11 @@ class KDTree:
                     continue
                 at = self.members[node]
                 scores = self.rows[at] @ q
-                near = np.flatnonzero(scores >= least)
+                near = np.flatnonzero((scores >= least) & (self.ids[at] != me))
                 if len(near) > 4 * k:
-                    near = near[np.lexsort((self.ids[at[near]], -scores[near]))[: k + 1]]
+                    near = near[np.lexsort((self.ids[at[near]], -scores[near]))[:k]]
                 for j in near:
                     entry = (float(scores[j]), -int(self.ids[at[j]]))
-                    if -entry[1] == me:
-                        continue
                     if len(best) < k:
                         heapq.heappush(best, entry)
                     elif entry > best[0]:
