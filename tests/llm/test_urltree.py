@@ -75,3 +75,12 @@ def test_wide_nodes_keep_branches_apart(spark, n):
         assert len(rows) == len(urls) and len({r.template for r in rows}) == 2
         for r in rows:
             assert (r.verdict == "block") == (("/part3x/" in r.path) == bool(odd)), r
+
+
+def test_branches_differ_at_any_depth(spark):
+    """Labels on deep branches judge their own branch only."""
+    urls = [f"http://h/a/b/c/d/{x}/{i}" for x in ("spam", "news") for i in range(12)] + [f"http://h/a/b/c/d/e/f/g/{x}/{i}" for x in ("spam", "news") for i in range(12)]
+    label = F.when(F.col("page_id") % 12 < 10, F.col("url").contains("spam").cast("int"))
+    rows = judge_urls(frame(spark, urls), rules=(), label=label).collect()
+    assert len(rows) == len(urls)
+    assert all((r.verdict == "block") == ("spam" in r.path) for r in rows)

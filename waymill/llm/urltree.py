@@ -107,8 +107,10 @@ def path_templates(paths: DataFrame, max_depth: int = 4, max_children: int = 24,
     siblings, however many, merge if their next level has a similar spread of kinds (total
     variation up to ``near``) and their smoothed purity is within ``purity_gap``. Merged ones
     are called ``{a|b}``, more than ``max_children`` of them ``*`` (the largest such group of a
-    node) or ``{a|*}``: that number only decides on the name. What is deeper than
-    ``max_depth`` becomes ``**``. Returns the input's columns and template.
+    node) or ``{a|*}``: that number only decides on the name. From ``max_depth``
+    levels on, what lies under a prefix without labelled paths becomes ``**``: split up, all
+    of it would have the purity of the host just the same. A prefix with labelled paths goes
+    on as deep as it has several paths. Returns the input's columns and template.
 
     A node's children are counted by partial aggregation, so a host with any share of
     the pages is fine; cells of like children, not children, meet in one call of Python.
@@ -116,7 +118,23 @@ def path_templates(paths: DataFrame, max_depth: int = 4, max_children: int = 24,
     parts = F.split(F.regexp_replace("path", "^/", ""), "/", -1)
     rows = paths.withColumn("segs", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(parts)).withColumn("prefix", F.lit(""))
     host_prior = rows.groupBy("host").agg(((F.sum("bad") + 1.0) / (F.sum("bad") + F.sum("good") + 2.0)).alias("prior"))
-    for depth in range(max_depth):
+    ended, depth = [], 0
+    while True:
+        if depth >= max_depth:
+            left = F.size("segs") > depth
+            ended.append(rows.where(~left).withColumn("template", F.col("prefix")))
+            rows = rows.where(left)
+            if rows.isEmpty():
+                break
+            nodes = rows.groupBy("host", "prefix").agg((F.sum("bad") + F.sum("good") > 0).alias("known"), (F.count("*") > 1).alias("many"))
+            rows = materialise(rows.join(nodes, ["host", "prefix"]), "url-deep")
+            rest = F.transform(F.slice("segs", depth + 1, F.size("segs")), lambda s: F.coalesce(_shape(s), s))
+            closed = F.when(F.col("known"), F.concat("prefix", F.lit("/"), F.array_join(rest, "/"))).otherwise(F.concat("prefix", F.lit("/**")))
+            open_ = F.col("known") & F.col("many")
+            ended.append(rows.where(~open_).withColumn("template", closed).drop("known", "many"))
+            rows = rows.where(open_).drop("known", "many")
+            if rows.isEmpty():
+                break
         raw, after = F.get("segs", F.lit(depth)), F.get("segs", F.lit(depth + 1))
         kind = _shape(raw)
         rows = rows.withColumn("lit", raw.isNotNull() & kind.isNull()).withColumn("seg", F.coalesce(kind, raw))
@@ -127,8 +145,11 @@ def path_templates(paths: DataFrame, max_depth: int = 4, max_children: int = 24,
         name = F.when(F.col("lit"), F.coalesce("new", "seg")).otherwise(F.col("seg"))
         rows = rows.withColumn("prefix", F.when(raw.isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), name)))
         rows = materialise(rows.drop("lit", "seg", "new"), "url-level")
-    deep = F.size("segs") > max_depth
-    return rows.withColumn("template", F.when(deep, F.concat("prefix", F.lit("/**"))).otherwise(F.col("prefix"))).drop("segs", "prefix")
+        depth += 1
+    named = ended[0]
+    for more in ended[1:]:
+        named = named.unionByName(more)
+    return named.drop("segs", "prefix")
 
 
 def judge_urls(pages: DataFrame, rules=RULES, reject_at: float = 0.7, smoothing: float = 4.0, id_col: str = "page_id", url_col: str = "url", label: Column | None = None, **tree) -> DataFrame:
