@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -9,21 +12,52 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Paths that this process has written, by application, for discard().
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (a local session) a temporary folder of this machine."""
+    """``spark.checkpoint.dir``; where it is unset, in a local session only, a temporary folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or getattr(scratch_dir, "own", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = scratch_dir.own = tempfile.mkdtemp(prefix="waymill-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
     return found.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the scratch folder, remembered for discard()."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a table in the scratch folder and read it back; lost executors don't recompute it."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> int:
+    """Delete all that this application has written to the scratch folder so far, and say how many paths.
+
+    Results read from there when they are used, so this comes after they have been written elsewhere.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        delete(spark, path)
+    return len(paths)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder by Spark's own file systems."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "position", start: int = 1) -> DataFrame:
     """Number all rows in a total order, without a window over everything.
 
