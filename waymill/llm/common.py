@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from waymill.scratch import materialise, scratch_dir
+from waymill.scratch import materialise, scratch_path
 
-__all__ = ["U64", "WORD", "Words", "hash_share", "materialise", "mix", "pack", "release", "remainder", "scratch_dir", "slices", "span_hashes", "squeeze", "tidied", "unpack", "unsqueeze", "windows"]
+__all__ = ["U64", "WORD", "Words", "hash_share", "materialise", "mix", "pack", "release", "remainder", "scratch_path", "slices", "span_hashes", "squeeze", "tidied", "unpack", "unsqueeze", "windows"]
 
 U64 = np.uint64
 WORD = r"[^\x20\x09-\x0D]+"
@@ -83,7 +86,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] for each pair of bounds, in O(len(data))."""
+    """64-bit hashes of data[start:end] for each pair of bounds, in O(len(data)).
+
+    For short spans of values that are hashes themselves: over raw bytes of long spans
+    powers modulo 2^64 have known collisions (Thue-Morse words).
+    """
     up, down = powers(len(data) + 1)
     prefix = np.zeros(len(data) + 1, dtype=U64)
     np.cumsum((data.astype(U64) + U64(0x51ED27)) * up[:-1], dtype=U64, out=prefix[1:])
@@ -91,10 +98,12 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 
 class Words:
-    """Words of a list of texts, by the pattern WORD: hashes, owners, bounds.
+    """Words of a list of texts, by the pattern WORD: owners, bounds, and which are equal.
 
-    hashes: uint64 by word; doc: index of the text; start, end: byte bounds in
-    ``data``, the UTF-8 of all texts; first: for each text the index of its first word.
+    doc: index of the text by word; start, end: byte bounds in ``data``, the UTF-8 of all
+    texts; first: for each text the index of its first word. Made when asked for:
+    distinct, the different words (each with one space after it), by their bytes; index:
+    which of these each word is; hashes: XXH3 of 64 bits by word.
     """
 
     def __init__(self, texts: list[str | bytes | None]):
@@ -107,17 +116,50 @@ class Words:
         step = np.diff(inside)
         self.start = np.flatnonzero(step == 1)
         self.end = np.flatnonzero(step == -1)
-        if len(self.end) < len(self.start):
-            self.end = np.r_[self.end, len(data)]
         lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
         offsets = np.cumsum(lengths + 1) - lengths - 1
         self.first = np.searchsorted(self.start, np.r_[offsets, len(data)])
         self.doc = np.repeat(np.arange(len(raw)), np.diff(self.first))
-        self.hashes = span_hashes(data, self.start, self.end) if len(self.start) else np.zeros(0, dtype=U64)
 
     def __len__(self) -> int:
         return len(self.start)
 
+    @cached_property
+    def plain(self) -> tuple[np.ndarray, np.ndarray]:
+        """All words with one space after each, and where each begins (and the last ends)."""
+        keep = (self.data != 32) & ((self.data < 9) | (self.data > 13))
+        keep[self.end] = True
+        bounds = np.r_[0, np.cumsum(self.end - self.start + 1)]
+        out = self.data[keep]
+        out[bounds[1:] - 1] = 32
+        return out, bounds
+
+    @cached_property
+    def _coded(self) -> tuple[list[bytes], np.ndarray]:
+        out, bounds = self.plain
+        column = pa.Array.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(out)])
+        coded = column.dictionary_encode()
+        return coded.dictionary.to_pylist(), np.asarray(coded.indices)
+
+    @property
+    def distinct(self) -> list[bytes]:
+        return self._coded[0]
+
+    @property
+    def index(self) -> np.ndarray:
+        return self._coded[1]
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        found = np.fromiter(map(xxhash.xxh3_64_intdigest, self.distinct), dtype=U64, count=len(self.distinct))
+        return found[self.index] if len(self) else np.zeros(0, dtype=U64)
+
+    def digests(self) -> list[bytes]:
+        """BLAKE2b of 128 bits of each text's words: equal for texts of the same words, and no others that anyone knows."""
+        out, bounds = self.plain
+        whole, ends = memoryview(out), bounds[self.first].tolist()
+        return [hashlib.blake2b(whole[a:b], digest_size=16).digest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n consecutive entries; len(hashes) - n + 1 of them."""

@@ -1,10 +1,10 @@
 """Corpus-wide questions of whole texts without a row for each word.
 
 The texts lie in numbered chunks in a table bucketed by chunk. A round asks: each chunk
-sends its distinct keys, cut by key range; each range answers one bit for each key that
-it got; the bits go back to the chunk, which makes the same keys again and reads them.
+sends its distinct keys, cut by key range; each range answers one bit, or a name, for each key
+that it got; the answers go back to the chunk, which makes the same keys again and reads them.
 So a key is sent once by each chunk, however often it occurs there, an answer takes one
-bit, and the texts themselves are never shuffled.
+bit or a few bytes, and the texts themselves are never shuffled.
 """
 
 from __future__ import annotations
@@ -18,20 +18,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymill.llm.common import pack, release, scratch_dir, slices, tidied, U64, unpack
+from waymill.llm.common import pack, release, scratch_path, slices, tidied, U64, unpack
 
 #: Bytes of text that one chunk holds, about, unless one text is longer.
 CHUNK_BYTES = 2_000_000
-_STORED = pa.schema([("chunk", pa.int64()), ("blob", pa.binary())])
 _ASKED = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("blob", pa.binary())])
-_ANSWERED = pa.schema([("chunk", pa.int64()), ("range", pa.int32()), ("bits", pa.binary())])
+_ANSWERED = pa.schema([("chunk", pa.int64()), ("round", pa.int32()), ("range", pa.int32()), ("bits", pa.binary())])
 #: Sorted keys, none twice, and columns beside them.
 Question = tuple[np.ndarray, list[np.ndarray]]
 
 
-def store_chunks(docs: DataFrame, text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """All columns of docs in a table of chunks (chunk, blob), bucketed by chunk on the shared folder."""
+def store_chunks(docs: DataFrame, text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, state: Callable[[pa.RecordBatch], bytes] | None = None) -> DataFrame:
+    """All columns of docs in a table of chunks (chunk, blob), bucketed by chunk on the shared folder.
+
+    state: what is kept of a chunk in a column of its own, so that a round need not read the texts.
+    """
     spark = docs.sparkSession
+    schema = "chunk long, blob binary" + (", state binary" if state else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
@@ -40,13 +43,18 @@ def store_chunks(docs: DataFrame, text_col: str = "text", chunk_bytes: int = CHU
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
                 writer.write_batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([first + i]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=_STORED)
+            columns = {"chunk": pa.array([first + i], pa.int64()), "blob": pa.array([sink.getvalue().to_pybytes()], pa.binary())}
+            if state:
+                columns["state"] = pa.array([state(batch)], pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
 
     name = f"waymill_{uuid.uuid4().hex}"
-    stored = docs.mapInArrow(tidied(run), "chunk long, blob binary")
+    stored = docs.mapInArrow(tidied(run), schema)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stored.write.format("parquet").option("compression", "uncompressed").option("path", f"{scratch_dir(spark)}/{name}").bucketBy(buckets, "chunk").saveAsTable(name)
-    return spark.table(name)
+    stored.write.format("parquet").option("compression", "uncompressed").option("path", scratch_path(spark, name)).bucketBy(buckets, "chunk").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay; the catalog keeps nothing
+    return table
 
 
 def opened(blob: bytes) -> pa.RecordBatch:
@@ -66,43 +74,96 @@ def ids_of(batch: pa.RecordBatch, id_col: str = "doc_id") -> np.ndarray:
     return np.asarray(column.fill_null(np.iinfo(np.int64).max))
 
 
-def ask(chunks: DataFrame, questions: Callable[..., Question], answers: DataFrame | None = None) -> DataFrame:
-    """What each chunk asks: questions(batch, *bits of each earlier round)."""
+def ask(chunks: DataFrame, questions: Callable[..., Question], answers: DataFrame | None = None, column: str = "blob", reader=None) -> DataFrame:
+    """What each chunk asks: questions(batch or state, what ``reader``, by default of bits, makes of earlier answers)."""
     ranges, later = _ranges(chunks), answers is not None
-    bits = _bits_of(ranges)
+    reader, open_ = reader or _bits_of(ranges), opened if column == "blob" else bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, columns = questions(opened(row["blob"]), *([bits(row["answers"])] if later else []))
-                edges = np.searchsorted(keys, np.arange(1, ranges).astype(U64) * U64((1 << 64) // ranges))
-                edges = np.r_[0, edges, len(keys)]
-                full = [r for r in range(ranges) if edges[r] < edges[r + 1]]
-                blobs = [_join([pack(c[edges[r] : edges[r + 1]]) for c in (keys, *columns)]) for r in full]
+                keys, columns = questions(open_(row[column]), *([reader(row["answers"])] if later else []))
+                edges = _edges(keys, ranges)
+                full = np.flatnonzero(np.diff(edges)).tolist()
+                blobs = [join_blobs([pack(c[edges[r] : edges[r + 1]]) for c in (keys, *columns)]) for r in full]
                 sizes = [int(edges[r + 1] - edges[r]) for r in full]
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([row["chunk"]] * len(full), pa.int64()), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())], schema=_ASKED)
 
-    return with_answers(chunks, answers).mapInArrow(tidied(run), "range int, chunk long, n int, blob binary")
+    return with_answers(chunks.select("chunk", column), answers).mapInArrow(tidied(run), "range int, chunk long, n int, blob binary")
 
 
-def answer(asked: DataFrame, judge: Callable[..., np.ndarray], kinds: tuple = ()) -> DataFrame:
-    """One row for each chunk: the bits of judge(keys, *columns), which sees a range of keys from all chunks.
+def answer(asked: DataFrame, judge: Callable[..., np.ndarray], kinds: tuple = (), round_: int = 0, one_row: bool = True) -> DataFrame:
+    """What judge(keys, *columns), which sees a range of keys from all chunks, says of each key: a bit, or a number if round_ is not 0.
 
-    kinds: the dtypes of the columns beside the keys.
+    kinds: the dtypes of the columns beside the keys. One row for each chunk, or one for each chunk and range.
     """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
         sizes = table.column("n").to_pylist()
-        parts = [[unpack(b, k) for b, k in zip(_cut(blob), (U64, *kinds), strict=True)] for blob in table.column("blob").to_pylist()]
+        parts = [[unpack(b, k) for b, k in zip(cut_blobs(blob), (U64, *kinds), strict=True)] for blob in table.column("blob").to_pylist()]
         said = judge(*[np.concatenate(column) for column in zip(*parts, strict=True)])
         release()
         edges = np.cumsum([0, *sizes])
-        bits = [np.packbits(said[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return pa.Table.from_arrays([table.column("chunk"), table.column("range"), pa.array(bits, pa.binary())], schema=_ANSWERED)
+        of = pack if round_ else lambda part: np.packbits(part).tobytes()
+        bits = [of(said[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.Table.from_arrays([table.column("chunk"), pa.array([round_] * len(sizes), pa.int32()), table.column("range"), pa.array(bits, pa.binary())], schema=_ANSWERED)
+
+    said = asked.groupBy("range").applyInArrow(run, "chunk long, round int, range int, bits binary")
+    return by_chunk(said) if one_row else said
+
+
+def by_chunk(said: DataFrame) -> DataFrame:
+    """Answers, a row for each chunk."""
+    return said.groupBy("chunk").agg(F.collect_list(F.struct("round", "range", "bits")).alias("answers"))
+
+
+def shared_names(keys: np.ndarray, several: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+    """Numbers from 1 for keys that several chunks ask for, or one for several texts; 0 for others. Keys are told apart by the columns too."""
+    order, group = grouped(keys, *columns)
+    head = np.flatnonzero(np.diff(group, prepend=-1))
+    shared = (np.diff(np.r_[head, len(keys)]) > 1) | (np.maximum.reduceat(several[order], head) > 0)
+    number = np.where(shared, np.cumsum(shared), 0)
+    out = np.empty(len(keys), dtype=np.uint64 if len(keys) >> 32 else np.uint32)
+    out[order] = number[group]
+    return out
 
-    said = asked.groupBy("range").applyInArrow(run, "chunk long, range int, bits binary")
-    return said.groupBy("chunk").agg(F.collect_list(F.struct("range", "bits")).alias("answers"))
+
+def grouped(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal rows stand together, keys ascending, and the number of each place's group."""
+    order = np.argsort(keys, kind="stable")
+    new = np.zeros(len(keys), dtype=bool)
+    new[1:] = keys[order][1:] != keys[order][:-1]
+    clash = np.zeros(len(keys), dtype=bool)
+    for c in columns:
+        clash[1:] |= c[order][1:] != c[order][:-1]
+    if (clash & ~new).any():  # different rows of one key: let the columns decide
+        order = np.lexsort((*columns[::-1], keys))
+        new[1:] = keys[order][1:] != keys[order][:-1]
+        for c in columns:
+            new[1:] |= c[order][1:] != c[order][:-1]
+    return order, np.cumsum(new)
+
+
+def names_reader(chunks: DataFrame) -> Callable[[list | None], Callable[[int, np.ndarray], np.ndarray]]:
+    """Makes of a row's answers a function from a round and the keys that were asked in it to their names: 0, or a number that no other key of any round has."""
+    ranges = _ranges(chunks)
+
+    def names(answers: list | None):
+        def read(round_: int, keys: np.ndarray) -> np.ndarray:
+            edges = _edges(keys, ranges)
+            out = np.zeros(len(keys), dtype=np.int64)
+            for row in answers or ():
+                if row["round"] == round_:
+                    a, b = edges[row["range"]], edges[row["range"] + 1]
+                    numbers = unpack(row["bits"], np.uint32)
+                    numbers = (numbers if len(numbers) == b - a else unpack(row["bits"], np.uint64)).astype(np.int64)
+                    out[a:b] = np.where(numbers, numbers + (round_ << 58) + (row["range"] << 34), 0)
+            return out
+
+        return read
+
+    return names
 
 
 def with_answers(chunks: DataFrame, answers: DataFrame | None) -> DataFrame:
@@ -118,11 +179,15 @@ def _ranges(chunks: DataFrame) -> int:
     return 4 * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _edges(keys: np.ndarray, ranges: int) -> np.ndarray:
+    edges = np.searchsorted(keys, np.arange(1, ranges).astype(U64) * U64((1 << 64) // ranges))
+    return np.r_[0, edges, len(keys)]
+
+
 def _bits_of(ranges: int):
     def bits(answers: list | None):
         def read(keys: np.ndarray) -> np.ndarray:
-            edges = np.searchsorted(keys, np.arange(1, ranges).astype(U64) * U64((1 << 64) // ranges))
-            edges = np.r_[0, edges, len(keys)]
+            edges = _edges(keys, ranges)
             out = np.zeros(len(keys), dtype=bool)
             for row in answers or ():
                 a, b = edges[row["range"]], edges[row["range"] + 1]
@@ -134,11 +199,11 @@ def _bits_of(ranges: int):
     return bits
 
 
-def _join(parts: list[bytes]) -> bytes:
+def join_blobs(parts: list[bytes]) -> bytes:
     return np.array([len(parts), *map(len, parts)], dtype=np.int64).tobytes() + b"".join(parts)
 
 
-def _cut(blob: bytes) -> list[bytes]:
+def cut_blobs(blob: bytes) -> list[bytes]:
     n = int(np.frombuffer(blob, np.int64, 1)[0])
     at = 8 * (n + 1)
     out = []

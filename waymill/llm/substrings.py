@@ -1,143 +1,212 @@
-"""Substring dedup by recompression: repeated runs of words, found by shared symbols."""
+"""Substring dedup by recompression: Spark rounds name words, then runs and pairs of symbols, and shared symbols reveal repeats."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymill.llm.common import mix, span_hashes, tidied, U64, Words
-from waymill.llm.exchange import answer, ask, bits_reader, ids_of, opened, store_chunks, texts_of, with_answers
+from waymill.llm.common import mix, pack, span_hashes, tidied, U64, unpack, Words
+from waymill.llm.exchange import CHUNK_BYTES, answer, ask, bits_reader, by_chunk, cut_blobs, grouped, ids_of, join_blobs, names_reader, opened, shared_names, store_chunks, texts_of, with_answers
+from waymill.scratch import materialise
 
 #: Consecutive words that make a repeat.
 WINDOW = 13
-#: Rounds of recompression: "runs" names maximal runs of a symbol, "pairs" names left-right pairs.
-ROUNDS = ("runs", "pairs", "pairs", "pairs", "pairs")
+#: Rounds of recompression after the words are named; the first also names runs of one symbol.
+ROUNDS = 3
 _FAR = 1 << 40
+#: What a question about symbols holds beside its keys: whether several texts of the chunk have it, left symbol and length of its run, right ones (0: none).
+_SYMBOL = (np.uint8, np.int64, np.int32, np.int64, np.int32)
+
+
+@dataclass
+class Symbols:
+    """Symbols of all texts of a chunk: name (0: not shared), words that it spells, words that fix it, text."""
+
+    name: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    doc: np.ndarray
+
+
+@dataclass
+class Merge:
+    """How a round makes new symbols of the old ones, and the question what the new ones are called."""
 
+    symbols: Symbols
+    fresh: np.ndarray
+    place: np.ndarray
+    keys: np.ndarray
+    columns: list[np.ndarray]
 
-def _runs(sym, start, end, low, high, doc):
-    """Each maximal run of a symbol becomes one; its name holds the symbol and the length."""
-    n = len(sym)
-    head = np.ones(n, dtype=bool)
-    head[1:] = (sym[1:] != sym[:-1]) | (doc[1:] != doc[:-1])
-    first = np.flatnonzero(head)
-    last = np.r_[first[1:], n] - 1
-    length = last - first + 1
-    name = np.where(length > 1, mix(sym[first] + length.astype(U64) * U64(0xD6E8FEB86659FD93)), sym[first])
-    left, right = np.full(len(first), -_FAR), np.full(len(first), _FAR)
-    beside = doc[first[1:]] == doc[first[1:] - 1]
-    left[1:][beside] = low[first[1:] - 1][beside]
-    right[:-1][beside] = high[first[1:]][beside]
-    return name, start[first], end[last], left, right, doc[first]
-
-
-def _pairs(sym, start, end, low, high, doc, salt):
-    """A left symbol and the right one after it become one; names and sides depend on the symbols alone."""
-    side = (mix(sym ^ U64(salt)) & U64(1)).astype(bool)  # True: left
-    with_next = np.zeros(len(sym), dtype=bool)
+
+def word_symbols(names: np.ndarray, doc: np.ndarray) -> Symbols:
+    at = np.arange(len(names))
+    return Symbols(names, at, at + 1, at, at + 1, doc)
+
+
+def merge(s: Symbols, salt: int, runs: bool) -> Merge:
+    """Runs of a shared symbol, if asked for, then each left symbol with the right one after it, become one.
+
+    Sides hang on the symbol (and the length of its run) alone. low and high bound the words that must be
+    seen to know that the symbol arises here: where those stand again, so does the symbol. Symbols that are
+    not shared stay as they are and fix their neighbours.
+    """
+    name, start, end, low, high, doc = s.name, s.start, s.end, s.low, s.high, s.doc
+    n = len(name)
+    if runs and n:
+        head = np.ones(n, dtype=bool)
+        head[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1]) | (name[1:] == 0)
+        first = np.flatnonzero(head)
+        last = np.r_[first[1:], n] - 1
+        length = (last - first + 1).astype(np.int32)
+        beside = doc[first[1:]] == doc[first[1:] - 1]
+        left, right = np.full(len(first), -_FAR), np.full(len(first), _FAR)
+        left[1:][beside] = low[first[1:] - 1][beside]
+        right[:-1][beside] = high[first[1:]][beside]
+        name = name[first]
+        alone = name == 0
+        low, high = np.where(alone, low[first], left), np.where(alone, high[last], right)
+        start, end, doc = start[first], end[last], doc[first]
+    else:
+        length = np.ones(n, dtype=np.int32)
+    n = len(name)
+    symbol = mix(name.view(U64) + length.astype(U64) * U64(0xD6E8FEB86659FD93))
+    side = (mix(symbol ^ U64(salt)) & U64(1)).astype(bool)
+    named = name != 0
+    is_left, is_right = named & side, named & ~side
     beside = doc[1:] == doc[:-1]
-    with_next[:-1] = side[:-1] & ~side[1:] & beside
+    with_next = np.zeros(n, dtype=bool)
+    with_next[:-1] = is_left[:-1] & is_right[1:] & beside
     taken = np.r_[False, with_next[:-1]]
-    after, before = np.full(len(sym), _FAR), np.full(len(sym), -_FAR)
+    after, before = np.full(n, _FAR), np.full(n, -_FAR)
     after[:-1][beside] = high[1:][beside]
     before[1:][beside] = low[:-1][beside]
-    # A left symbol alone saw what follows it; a right symbol alone what came before.
-    high = np.where(side, after, high)
-    low = np.where(side, low, before)
+    # A left symbol saw what follows it; a right one what came before.
+    high, low = np.where(is_left, after, high), np.where(is_right & ~taken, before, low)
     at = np.flatnonzero(~taken)
     both = with_next[at]
     to = at + both
-    name = sym[at].copy()
-    a, b = at[both], to[both]
-    name[both] = mix(mix(sym[a] + U64(salt)) + sym[b] * U64(0x9FB21C651E98DF25))
-    return name, start[at], end[to], low[at], high[at], doc[at]
-
-
-def window_symbols(words: Words, window: int = WINDOW, rounds: tuple[str, ...] = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of each text by their first word, the symbol that each is known by, and their hashes.
-
-    Every symbol carries the stretch of words that fixes it: it arises wherever that
-    stretch stands, whatever is around. A window's symbol is the first of the highest round
-    whose stretch lies within the window, named with the words of that stretch, so equal
-    windows have equal symbols; neighbouring windows mostly share one. A window in which
-    nothing is fixed (one word again and again) is its own symbol.
+    fresh = both | (named[at] & (length[at] > 1))
+    new = Symbols(name[at], start[at], end[to], low[at], high[to], doc[at])
+    new.high[both] = high[at[both]]
+    a, b, pair = at[fresh], to[fresh], both[fresh]
+    key = mix(symbol[a] + np.where(pair, symbol[b], U64(0)) * U64(0x9FB21C651E98DF25))
+    columns = [name[a], length[a], np.where(pair, name[b], 0), np.where(pair, length[b], 0).astype(np.int32)]
+    keys, place, several, columns = _asked(key, new.doc[fresh], columns)
+    return Merge(new, np.flatnonzero(fresh), place, keys, [several, *columns])
+
+
+def _asked(key: np.ndarray, doc: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct rows by key, where each row is among them, and whether several texts have it."""
+    order, group = grouped(key, *columns)
+    head = np.flatnonzero(np.diff(group, prepend=-1))
+    place = np.empty(len(key), dtype=np.int64)
+    place[order] = group
+    several = doc[order[head]] != doc[order[np.r_[head[1:], len(key)] - 1]] if len(key) else head  # doc ascends within a group
+    return key[order[head]], place, np.asarray(several, dtype=np.uint8), [c[order[head]] for c in columns]
+
+
+def rename(m: Merge, names: np.ndarray) -> Symbols:
+    """The new symbols, with the names that were given to the distinct ones."""
+    m.symbols.name[m.fresh] = names[m.place]
+    return m.symbols
+
+
+def repeats_by_symbols(levels: list[Symbols], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows (by first word) that hold no symbol of one text only, and what they spell in symbols, as keys of 2 x 64 bits.
+
+    A symbol counts in a window if the words that fix it lie within: then every equal window has it. A
+    window is spelled by the first such symbol of the highest round, where that stands, and the names of
+    the words on either side of it. Names are exact, so two windows of the same spelling are equal.
     """
-    n = len(words)
+    words = levels[0]
+    n = len(words.name)
     if n < window:
         return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64)
-    doc, index = words.doc, np.arange(n)
-    state = (words.hashes, index, index + 1, index, index + 1, doc)
-    at = np.flatnonzero(doc[window - 1 :] == doc[: n - window + 1])
-    hashes = span_hashes(words.hashes, at, at + window)
-    key = mix(hashes ^ U64(0xA5A5A5A5))
-    for salt, kind in enumerate(rounds):
-        state = _runs(*state) if kind == "runs" else _pairs(*state, (salt + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-        name, _, _, low, high, _ = state
-        fixed = np.flatnonzero(high - low <= window)
+    edges = np.zeros(n + 2, dtype=np.int64)
+    for s in levels:
+        lone = np.flatnonzero((s.name == 0) & (s.high - s.low <= window))
+        edges += np.bincount(np.maximum(s.high[lone] - window, 0), minlength=n + 2) - np.bincount(s.low[lone] + 1, minlength=n + 2)
+    dead = np.cumsum(edges)[: n - window + 1] > 0
+    at = np.flatnonzero((words.doc[window - 1 :] == words.doc[: n - window + 1]) & ~dead)
+    if not len(at):
+        return at, np.zeros(0, U64), np.zeros(0, U64)
+    name, a, b = words.name[at].copy(), at.copy(), at + 1
+    for s in levels[1:]:
+        fixed = np.flatnonzero((s.high - s.low <= window) & (s.name != 0))
         if not len(fixed):
             break
-        low, high, name = low[fixed], high[fixed], name[fixed]
-        ahead = np.zeros(n + 1, dtype=np.int64)  # how many of them begin before each word
-        np.cumsum(np.bincount(low, minlength=n), out=ahead[1:])
-        first = ahead[at]
-        ok = first < len(low)
-        ok[ok] = high[first[ok]] <= at[ok] + window
-        first = first[ok]
-        used = np.unique(first)
-        named = np.zeros(len(low), dtype=U64)
-        named[used] = mix(name[used] + mix(span_hashes(words.hashes, low[used], high[used]) + U64(salt)))
-        key[ok] = named[first]  # a later round takes the place of earlier ones
-    return at, key, hashes
-
-
-def _least_by_key(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, the least document of each, and whether it has more than one."""
-    if not len(keys):
-        return keys, docs, np.zeros(0, bool)
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    last = np.r_[head[1:], len(keys)] - 1
-    return keys[head], docs[head], docs[last] != docs[head]
-
-
-def _shared(keys: np.ndarray, docs: np.ndarray, several: np.ndarray) -> np.ndarray:
-    """Whether a key is in more than one document of the corpus."""
-    order = np.argsort(keys, kind="stable")
-    group = np.cumsum(np.r_[False, keys[order][1:] != keys[order][:-1]])
-    head = np.flatnonzero(np.r_[True, np.diff(group) > 0])
-    more = np.maximum.reduceat(several[order], head) > 0
-    more |= np.minimum.reduceat(docs[order], head) != np.maximum.reduceat(docs[order], head)
-    out = np.empty(len(keys), dtype=bool)
-    out[order] = more[group]
-    return out
-
-
-def _earlier(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        low = s.low[fixed]
+        first = np.searchsorted(low, at)
+        ok = first < len(fixed)
+        ok[ok] = s.high[fixed[first[ok]]] <= at[ok] + window
+        chosen = fixed[first[ok]]
+        name[ok], a[ok], b[ok] = s.name[chosen], s.start[chosen], s.end[chosen]
+    spelled = name.view(U64) + (a - at).astype(U64) * U64(0xC2B2AE3D27D4EB4F)
+    keys = []
+    for salt in (0x8A5CD789635D2DFF, 0x121FD2155C472F96):
+        own = mix(words.name.view(U64) ^ U64(salt))
+        keys.append(mix(mix(mix(spelled ^ U64(salt)) + span_hashes(own, at, a)) + span_hashes(own, b, at + window)))
+    return at, keys[0], keys[1]
+
+
+def _least_by_key(keys: np.ndarray, check: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys with their check, the least document of each, and where each row is among them."""
+    order, group = grouped(keys, check)
+    head = np.flatnonzero(np.diff(group, prepend=-1))
+    place = np.empty(len(keys), dtype=np.int64)
+    place[order] = group
+    least = np.minimum.reduceat(docs[order], head) if len(keys) else docs
+    return keys[order[head]], check[order[head]], least, place
+
+
+def _earlier(keys: np.ndarray, check: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """Whether a smaller document has the key."""
-    order = np.argsort(keys, kind="stable")
-    group = np.cumsum(np.r_[False, keys[order][1:] != keys[order][:-1]])
-    head = np.flatnonzero(np.r_[True, np.diff(group) > 0])
-    least = np.minimum.reduceat(docs[order], head)
-    out = np.empty(len(keys), dtype=bool)
-    out[order] = least[group] < docs[order]
-    return out
+    _, _, least, place = _least_by_key(keys, check, docs)
+    return least[place] < docs
+
+
+def _word_state(id_col: str, text_col: str):
+    """What the rounds need of a chunk: digests of its distinct words in order, which of them each word is, how many each text has, ids."""
+
+    def state(batch: pa.RecordBatch) -> bytes:
+        words = Words(texts_of(batch, text_col))
+        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words.distinct)), dtype=">u8").reshape(-1, 2).astype(U64)
+        order = np.lexsort((digests[:, 1], digests[:, 0]))
+        rank = np.empty(len(order), dtype=np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        index = rank[words.index] if len(words) else np.zeros(0, np.int32)
+        return join_blobs([pack(x) for x in (digests[order, 0], digests[order, 1], index, np.diff(words.first), ids_of(batch, id_col))])
+
+    return state
 
 
-def _of_chunk(batch: pa.RecordBatch, id_col: str, text_col: str, window: int):
-    words = Words(texts_of(batch, text_col))
-    at, key, hashes = window_symbols(words, window)
-    return words, at, key, hashes, ids_of(batch, id_col)[words.doc[at]] if len(at) else np.zeros(0, np.int64)
+def _read_state(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Digests (two halves), index of each word, text of each word, ids of the texts."""
+    high, low, index, counts, ids = (unpack(b, k) for b, k in zip(cut_blobs(blob), (U64, U64, np.int32, np.int64, np.int64), strict=True))
+    return high, low, index, np.repeat(np.arange(len(counts)), counts), ids
 
 
-def _suspects(batch, bits, id_col, text_col, window):
-    """The windows whose symbol is in more than one document."""
-    words, at, key, hashes, docs = _of_chunk(batch, id_col, text_col, window)
-    keys, place = np.unique(key, return_inverse=True)
-    open_ = bits(keys)[place] if len(keys) else np.zeros(0, bool)
-    return words, at[open_], hashes[open_], docs[open_]
+def _levels(state: bytes, names: Callable, rounds: int) -> tuple[list[Symbols], np.ndarray]:
+    """Symbols of all rounds that have been named, and the ids of the texts."""
+    high, _, index, doc, ids = _read_state(state)
+    levels = [word_symbols(names(1, high)[index] if len(index) else np.zeros(0, np.int64), doc)]
+    for k in range(rounds):
+        m = merge(levels[-1], _salt(k), k == 0)
+        levels.append(rename(m, names(k + 2, m.keys)))
+    return levels, ids
+
+
+def _salt(k: int) -> int:
+    return (k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
 
 
 def covered_words(words: Words, at: np.ndarray, window: int) -> np.ndarray:
@@ -163,7 +232,7 @@ def kept_texts(words: Words, gone: np.ndarray) -> list[bytes]:
     return [whole[a : max(a, b - 1)] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Remove each word covered by a run of ``window`` words that also starts in a document of smaller id.
 
     Words are what stands between ASCII white space; windows are judged on the input.
@@ -174,45 +243,66 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     after all others and are not smaller than each other; nor are rows of the same id, so
     repeated rows all stay or all lose the same words. Other columns are ignored.
 
-    Round one asks for each symbol (see window_symbols) whether it is in two documents;
-    round two asks, of windows under such symbols only, for the hash of the whole window
-    whether a smaller document has it. Both are 64 bits of independent content, so a wrong
-    match needs both to collide.
+    Round by round Spark gives a number to each word, then to each run and pair of neighbouring
+    symbols (see merge) that more than one text has, the same wherever it stands; what only one text has
+    ends there. A window that holds such an end is no repeat; all others are spelled in symbols (see
+    repeats_by_symbols), and a last round asks whether a smaller document has the same spelling. Words are
+    told apart by their bytes within a chunk and by 128 bits of XXH3 between chunks, symbols exactly,
+    spellings by 128 bits. More ``rounds`` leave fewer windows to the last one.
     """
-    chunks = store_chunks(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), text_col)
-
-    def symbols(batch):
-        _, _, key, _, owners = _of_chunk(batch, id_col, text_col, window)
-        keys, least, several = _least_by_key(key, owners)
-        return keys, [least, several.astype(np.uint8)]
-
-    def repeats(batch, bits):
-        _, _, hashes, owners = _suspects(batch, bits, id_col, text_col, window)
-        keys, least, _ = _least_by_key(hashes, owners)
-        return keys, [least]
-
-    shared = answer(ask(chunks, symbols), _shared, (np.int64, np.uint8))
-    earlier = answer(ask(chunks, repeats, shared), _earlier, (np.int64,))
-    bits = bits_reader(chunks)
+    state = _word_state(id_col, text_col)
+    chunks = store_chunks(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), text_col, chunk_bytes, state)
+    names, bits = names_reader(chunks), bits_reader(chunks)
+
+    def words(state):
+        high, low, index, doc, _ = _read_state(state)
+        first, last = np.zeros(len(high), np.int64), np.zeros(len(high), np.int64)
+        last[index] = doc
+        first[index[::-1]] = doc[::-1]
+        return high, [(first != last).astype(np.uint8), low]
+
+    def symbols(k):
+        def question(state, names):
+            levels, _ = _levels(state, names, k)
+            m = merge(levels[-1], _salt(k), k == 0)
+            return m.keys, m.columns
+
+        return question
+
+    def repeats(state, names):
+        levels, ids = _levels(state, names, rounds)
+        at, key, check = repeats_by_symbols(levels, window)
+        keys, check, least, _ = _least_by_key(key, check, ids[levels[0].doc[at]])
+        return keys, [check, least]
+
+    said = materialise(answer(ask(chunks, words, column="state"), shared_names, (np.uint8, U64), 1, one_row=False), "word-names")
+    for k in range(rounds):
+        asked = ask(chunks, symbols(k), by_chunk(said), "state", names)
+        said = said.union(materialise(answer(asked, shared_names, _SYMBOL, k + 2, one_row=False), "symbol-names"))
+    named = by_chunk(said)
+    earlier = answer(ask(chunks, repeats, named, "state", names), _earlier, (U64, np.int64))
     schema = f"`{id_col}` long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, `{text_col}` string"
     arrow = pa.schema([(id_col, pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), (text_col, pa.string())])
 
     def finish(batches):
         for rows in batches:
             for row in rows.to_pylist():
+                levels, ids = _levels(row["state"], names(row["answers"]), rounds)
+                at, key, check = repeats_by_symbols(levels, window)
+                owners = ids[levels[0].doc[at]]
+                del levels
                 batch = opened(row["blob"])
-                words, at, hashes, owners = _suspects(batch, bits(row["answers"]), id_col, text_col, window)
-                keys, least, _ = _least_by_key(hashes, owners)
-                place = np.searchsorted(keys, hashes)
+                words = Words(texts_of(batch, text_col))
+                keys, _, least, place = _least_by_key(key, check, owners)
                 gone = covered_words(words, at[bits(row["more"])(keys)[place] | (least[place] < owners)] if len(at) else at, window)
                 counts = np.diff(words.first)
                 removed = np.diff(np.r_[0, np.cumsum(gone)][words.first])
-                ids = batch.column(batch.schema.get_field_index(id_col))
                 texts = pa.array(kept_texts(words, gone), pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), _spans(words, gone), texts], schema=arrow)
+                column = batch.column(batch.schema.get_field_index(id_col))
+                yield pa.RecordBatch.from_arrays([column, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), _spans(words, gone), texts], schema=arrow)
 
-    both = with_answers(with_answers(chunks, shared), earlier.withColumnRenamed("answers", "more"))
-    return both.select("blob", "answers", "more").mapInArrow(tidied(finish), schema)
+    both = with_answers(with_answers(chunks, named), earlier.withColumnRenamed("answers", "more"))
+    return both.select("blob", "state", "answers", "more").mapInArrow(tidied(finish), schema)
 
 
 def _spans(words: Words, gone: np.ndarray) -> pa.Array:
