@@ -141,3 +141,44 @@ def test_exact_keys_are_shared():
         b = np.r_[a[gone:], r.integers(1, 2**63, int(r.integers(0, 4))).astype(np.uint64)]
         if len(a) - gone >= 0.8 * (len(b) + gone) and len(b) <= EXACT_SHINGLES:
             assert np.isin(exact_keys(a), exact_keys(b)).any()
+
+
+def test_words_that_defeat_powers_modulo_two_to_the_64th(spark):
+    thue = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    texts = [(1, thue), (2, thue.translate(str.maketrans("ab", "ba"))), (3, thue)]
+    assert {r.doc_id: r.group for r in near_duplicates(frame(spark, texts)).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_recall_on_the_tables(spark):
+    """All pairs of the documents table that brute force aligns at 0.8 are in one group, and nothing else is."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    found, bounds = labelled_shingles(Words([r.text for r in rows]))
+    own = [found[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    holders = {}
+    for i, mine in enumerate(own):
+        for x in mine.tolist():
+            holders.setdefault(x, []).append(i)
+    label = list(range(len(rows)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    links = 0
+    for i, mine in enumerate(own):
+        shared = {}
+        for x in mine.tolist():
+            for j in holders[x]:
+                if j < i:
+                    shared[j] = shared.get(j, 0) + 1
+        for j, c in shared.items():
+            if c >= 0.8 * (len(mine) + len(own[j]) - c) - 1e-9 and ordered_similarity(mine, own[j]) > 0:
+                links += 1
+                x, y = find(i), find(j)
+                label[max(x, y)] = min(x, y)
+    least = {}
+    for i, r in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), r.doc_id), r.doc_id)
+    got = {r.doc_id: r.group for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert links > 20 and got == {r.doc_id: least[find(i)] for i, r in enumerate(rows)}

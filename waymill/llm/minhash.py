@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymill.llm.common import materialise, mix, squeeze, tidied, U64, windows, Words
-from waymill.llm.exchange import opened, store_chunks, texts_of
+from waymill.llm.exchange import CHUNK_BYTES, opened, store_chunks, texts_of
 
 #: Words of a shingle, least similarity, sketches of a document, shingles in a sketch.
 SHINGLE, SIMILARITY, SKETCHES, ORDERED = 5, 0.8, 20, 4
 #: Rows of one bucket that one call compares with as many others; shingles of a text that it compares.
 BLOCK_ROWS, THINNED = 512, 2048
+#: Shingles of the partners that one copy of a text is aligned with.
+BLOCK_SHINGLES = 2_000_000
 #: Up to so many shingles, texts also meet by exact keys.
 EXACT_SHINGLES = 17
 _SALTS = mix(np.arange(1, SKETCHES + 1).astype(U64) * U64(0x9E3779B97F4A7C15))
@@ -144,14 +146,14 @@ def _nodes(id_col: str, text_col: str):
                 batch = opened(row["blob"])
                 words = Words(texts_of(batch, text_col))
                 shingles, bounds = labelled_shingles(words)
-                ids = batch.column(batch.schema.get_field_index(id_col)).cast(pa.int64()).to_pylist()
+                ids, digests = batch.column(batch.schema.get_field_index(id_col)).cast(pa.int64()).to_pylist(), words.digests()
                 out: dict[str, list] = {k: [] for k in _NODES.names}
                 for r, id_ in enumerate(ids):
                     own = shingles[bounds[r] : bounds[r + 1]]
                     if id_ is None or not len(own):
                         continue
-                    whole = xxhash.xxh3_128_intdigest(words.hashes[words.first[r] : words.first[r + 1]].tobytes())
-                    values = (id_, (whole >> 64) - (1 << 63), (whole & 0xFFFFFFFFFFFFFFFF) - (1 << 63), row["chunk"], r, len(own), sketch(own).view(np.int64), exact_keys(own).view(np.int64))
+                    hi, lo = (int.from_bytes(digests[r][k : k + 8], "little", signed=True) for k in (0, 8))
+                    values = (id_, hi, lo, row["chunk"], r, len(own), sketch(own).view(np.int64), exact_keys(own).view(np.int64))
                     for k, v in zip(_NODES.names, values, strict=True):
                         out[k].append(v)
                 yield pa.RecordBatch.from_pydict(out, schema=_NODES)
@@ -190,44 +192,37 @@ def payload(ids: DataFrame, of, name: str, chunks: DataFrame, nodes: DataFrame,
     return materialise(chunks.join(places, "chunk").select("blob", "places").mapInArrow(tidied(_payload(text_col, of)), "id long, text binary"), name)
 
 
-class _Verifier:
-    """Similarity of compressed texts; remembers the shingles of a bounded number of them."""
-
-    def __init__(self, limit: int = 2_000_000):
-        self.known: dict[bytes, np.ndarray] = {}
-        self.room = self.limit = limit
-
-    def shingles(self, blob: bytes) -> np.ndarray:
-        import zstandard
-
-        found = self.known.get(blob)
-        if found is None:
-            found, _ = labelled_shingles(Words([zstandard.ZstdDecompressor().decompress(blob)]))
-            self.room -= len(found)
-            if self.room < 0:
-                self.known.clear()
-                self.room = self.limit - len(found)
-            self.known[blob] = found
-        return found
-
-    def near(self, a: bytes, b: bytes) -> bool:
-        return ordered_similarity(self.shingles(a), self.shingles(b)) > 0
-
-
 def verified(pairs: DataFrame, chunks: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose texts are similar."""
+    """(a, b) of the pairs (hub, other) whose texts are similar.
+
+    A hub's text goes out once for each block of its partners, which hold about BLOCK_SHINGLES shingles in all;
+    partners stream past it.
+    """
     pairs = materialise(pairs, "near-pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    ids = pairs.select(F.col("hub").alias("id")).union(pairs.select(F.col("other").alias("id"))).distinct()
     texts = payload(ids, _squeezed, "near-texts", chunks, nodes, text_col)
+    sized = pairs.join(nodes.groupBy(F.col("id").alias("other")).agg(F.max("n").alias("n")), "other")
+    blocks = sized.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    dealt = pairs.join(blocks, "hub").select("hub", F.pmod(F.xxhash64("other"), "blocks").alias("block"), F.col("other").alias("id"))
+    rows = dealt.withColumn("is_hub", F.lit(False)).union(dealt.select("hub", "block", F.col("hub").alias("id"), F.lit(True)).distinct())
+    rows = rows.join(texts, "id").repartition("hub", "block").sortWithinPartitions("hub", "block", F.desc("is_hub"))
 
     def check(batches):
-        verifier = _Verifier()
+        import zstandard
+
+        own = None
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            yield batch.select([0, 1]).filter(pa.array([verifier.near(x, y) for x, y in zip(a, b, strict=True)], pa.bool_()))
+            a, b = [], []
+            for hub, id_, is_hub, blob in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                found, _ = labelled_shingles(Words([zstandard.ZstdDecompressor().decompress(blob)]))
+                if is_hub:
+                    own = found
+                elif ordered_similarity(own, found) > 0:
+                    a.append(max(hub, id_))
+                    b.append(min(hub, id_))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(tidied(check), "a long, b long")
+    return rows.select("hub", "id", "is_hub", "text", "block").mapInArrow(tidied(check), "a long, b long")
 
 
 def _cross_pairs(table: pa.Table) -> pa.Table:
@@ -262,12 +257,12 @@ def _cross_pairs(table: pa.Table) -> pa.Table:
             union = sizes + len(own) - both
             # A sample's share strays from the text's: only where all shingles are there can it tell; others are aligned.
             hits = ids[mine & (both >= (SIMILARITY - 1e-9) * union)] if not level else ids[mine]
-            out_a += np.maximum(hits, ids[x]).tolist()
-            out_b += np.minimum(hits, ids[x]).tolist()
-    return pa.Table.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+            out_a += [int(ids[x])] * len(hits)
+            out_b += hits.tolist()
+    return pa.Table.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["hub", "other"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(id, group): documents whose texts are near copies share the least id among them.
 
     Two texts are near copies if their ordered similarity on shingles of SHINGLE words is at
@@ -276,13 +271,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     threshold itself one of 25,000 pairs of 80 of 100 shingles is missed, above fewer. Of pairs of at
     most EXACT_SHINGLES shingles each none is missed (see exact_keys).
 
-    Texts of the same words are one node from the start. In each bucket of equal sketches all
+    Texts of the same words (by a cryptographic digest) are one node from the start. In each bucket of equal sketches all
     are first compared with its most connected member; where a bucket then still holds several
     components, its rows outside of that member's are compared with all of other components, in
     blocks of BLOCK_ROWS: by all shingles of texts of up to THINNED first, then by alignment. Every row gives one row.
     Rows without words (null, empty) or id are alone: group is the id. Rows of one id count as one document.
     """
-    chunks = store_chunks(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), text_col)
+    chunks = store_chunks(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), text_col, chunk_bytes)
     rows = materialise(chunks.mapInArrow(tidied(_nodes(id_col, text_col)), "id long, hi long, lo long, chunk long, row int, n int, sketches array<long>, exact array<long>"), "near-nodes")
     copies = rows.groupBy("hi", "lo").agg(F.min("id").alias("rep"))
     members = materialise(rows.select("id", "hi", "lo").join(copies, ["hi", "lo"]).select("id", "rep", "hi", "lo"), "near-members")
@@ -295,7 +290,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weight = shared.groupBy("id").agg(F.sum("c").alias("weight"))
     leaders = shared.join(weight, "id").groupBy("i", "v").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("top"))
     leaders = leaders.select("i", "v", (-F.col("top.id")).alias("leader"))
-    pairs = shared.join(leaders, ["i", "v"]).where("id <> leader").select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
+    pairs = shared.join(leaders, ["i", "v"]).where("id <> leader").select(F.col("leader").alias("hub"), F.col("id").alias("other")).distinct()
     same_id = members.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     links = materialise(verified(pairs, chunks, nodes, text_col).union(same_id), "near-links")
     labels = connected(links)
@@ -311,7 +306,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rights = apart.select("*", F.lit(False).alias("left"), F.pmod(deal, "blocks").alias("r"), F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("l"))
     lefts = apart.where("apart").select("*", F.lit(True).alias("left"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("r"), F.pmod(deal, "left_blocks").alias("l"))
     open_ = rights.unionByName(lefts).select("i", "v", "l", "r", "left", "id", "label").join(nodes.select("id", "n", "sketches"), "id").join(thin, "id")
-    more = open_.groupBy("i", "v", "l", "r").applyInArrow(_cross_pairs, "a long, b long").distinct()
+    more = open_.groupBy("i", "v", "l", "r").applyInArrow(_cross_pairs, "hub long, other long").distinct()
     found = verified(more, chunks, nodes, text_col)
     links = materialise(links.union(found), "near-links")
     labels = connected(links)
@@ -322,10 +317,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return every.join(grouped, id_col, "left").select(id_col, F.coalesce("group", F.col(id_col)).alias("group"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, but for those whose group of near copies has a smaller id."""
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The rows of docs, all columns, but for those whose group of near copies has a smaller id.
+
+    Rows without an id, words or text are alone and stay; so do all rows of the id that stays.
+    """
     key = F.col(id_col).cast("long")
-    groups = near_duplicates(docs, id_col, text_col)
+    groups = near_duplicates(docs, id_col, text_col, chunk_bytes)
     gone = materialise(groups.where(F.col("group") < F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct(), "near-gone")
     return docs.join(gone, key == F.col("__gone"), "left_anti")
 
