@@ -1,7 +1,7 @@
 import pytest
 
 from tests.llm.helpers import frame, rng
-from waymill.llm.lines import NEAR_CHARS, drop_line_copies, drop_repeated_lines, neighbourhood, piece_keys
+from waymill.llm.lines import drop_line_copies, drop_repeated_lines, neighbourhood, piece_keys
 
 BLANK = " \t\r\v\f"
 
@@ -25,7 +25,7 @@ def brute(texts):
         kept = []
         for n, line in enumerate((t or "").split("\n")):
             here = (key(i), n)
-            gone = line.strip(BLANK) and any((a, b) < here and (x == line or min(len(x), len(line)) >= NEAR_CHARS and near(x, line)) for a, b, x in every)
+            gone = line.strip(BLANK) and any((a, b) < here and (x == line or near(x, line)) for a, b, x in every)
             if not gone:
                 kept.append(line)
         out.append((i, None if t is None else "\n".join(kept)))
@@ -43,6 +43,7 @@ def made():
         texts.append((i, "\n".join([edited, "", " ", f"own line number {i} of this text here"])))
     same = "a" * 30
     texts += [(50, same), (51, same + "a"), (52, same[1:] + "b"), (53, "b" + same[1:]), (54, None), (55, ""), (56, "\n\n"), (57, "short"), (58, "shork"), (59, "short"), (59, "short"), (None, "short"), (None, "only here, without a number")]
+    texts += [(60 + i, x) for i, x in enumerate(["q", "Q", "12", "1", "one", "tone", "ton", "n" * 19, "n" * 18, "n" * 20, "é", "éé", "x" * 3000, "x" * 1500 + "y" + "x" * 1499])]
     return texts
 
 
@@ -53,7 +54,7 @@ def test_like_brute_force(spark):
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == brute(texts)
 
 
-@pytest.mark.parametrize("size", [20, 21, 22, 23, 37])
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 19, 20, 21, 37])
 def test_neighbours_meet(size):
     """Each line one edit away shares a piece, and in it a variant."""
     r = rng(size)

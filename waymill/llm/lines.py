@@ -9,10 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymill.llm.common import materialise, tidied, U64
-from waymill.llm.exchange import answer, ask, bits_reader, ids_of, opened, store_chunks, texts_of, with_answers
+from waymill.llm.exchange import CHUNK_BYTES, answer, ask, bits_reader, ids_of, opened, store_chunks, texts_of, with_answers
 
-#: Lines of fewer code points are compared exactly only.
-NEAR_CHARS = 20
 _BLANK = b" \t\r\v\f"
 #: Pieces that a line is cut into; one edit leaves all but one as they are.
 PIECES = 4
@@ -67,9 +65,8 @@ class Lines:
         owner = []
         for at in self.first[~earlier].tolist():
             line = self.text(at)
-            if len(line) >= NEAR_CHARS:
-                keys += piece_keys(line)
-                owner.append(at)
+            keys += piece_keys(line)
+            owner.append(at)
         each = 2 * PIECES
         return np.array(keys, dtype=U64), np.repeat(np.array(owner, dtype=np.int64), each), np.tile(np.arange(each), len(owner))
 
@@ -189,12 +186,12 @@ def near_lines(open_lines: DataFrame) -> DataFrame:
     return pairs.where(F.levenshtein("text", "other", 1) >= 0).select("at.doc", "at.line").distinct()
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Remove each line that is equal to a line at an earlier place or one edit away from it.
 
     Lines are what stands between line feeds, unchanged; places are ordered by (id, number of the line),
-    null ids last. One edit is one code point put in, taken out or replaced; lines of fewer than
-    NEAR_CHARS code points need an equal. Blank lines are kept and never count.
+    null ids last. One edit is one code point put in, taken out or replaced, in a line of any length.
+    Blank lines are kept and never count.
 
     Returns the columns of docs with the remaining lines in ``text_col``, and n_lines and n_dropped
     (blank lines left out). Every row gives one row; null text stays null, empty text empty.
@@ -205,7 +202,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     others have no line one edit away); only of these, in that piece, the deletion variants are joined.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    chunks = store_chunks(docs, text_col)
+    chunks = store_chunks(docs, text_col, chunk_bytes)
     bits = bits_reader(chunks)
 
     def lines(batch):
@@ -278,7 +275,7 @@ lines AS (SELECT doc_id, unnest(range(len(parts))) AS n, unnest(parts) AS line F
 counted AS (SELECT *, regexp_matches(line, '[^ \t\r\x0B\x0C]') AS counts FROM lines),
 firsts AS (SELECT line, length(line) AS size, min({'doc_id': doc_id, 'n': n}) AS place FROM counted WHERE counts GROUP BY line),
 -- Of two lines one edit apart the first or the last half of the shorter length is the same.
-sized AS (SELECT line, size, place, size - shorter AS least FROM firsts, range(2) s(shorter) WHERE size >= 20),
+sized AS (SELECT line, size, place, size - shorter AS least FROM firsts, range(2) s(shorter)),
 halves AS (
   SELECT line, size, place, least, 'left' AS side, left(line, least // 2) AS half FROM sized
   UNION ALL SELECT line, size, place, least, 'right', right(line, least // 2) FROM sized),
