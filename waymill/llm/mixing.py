@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from waymill.llm.common import WORD, materialise
 
-#: Rows that one bucket of the distributed running sums holds, about.
-BUCKET_ROWS = 5_000
-
 
 def word_count(text: Column) -> Column:
     """Words between ASCII white space; 0 for null."""
@@ -41,17 +38,15 @@ def mix_sources(
     rows alike in all are interchangeable. Other columns, whatever their names, are
     ignored. An empty table gives no rows.
 
-    Running sums are kept by (source, hash bucket) of about BUCKET_ROWS rows, so no
-    source, however large, is in one task; only one row for each bucket is.
+    Both queues, that of each source and that of all, are sorted globally by range and written; within a
+    range a running sum, ahead of it the sums of the ranges before. So no task holds more than one range, however
+    large a source is; what is counted over whole queues has a row for each range and source.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = materialise(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), size.cast("long").alias("size"), key.alias("h")), "mix-sizes")
-    buckets = max(1, rows.count() // BUCKET_ROWS)
-    place = F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * buckets
-    rows = rows.withColumn("b", F.shiftright(place, 32))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), size.cast("long").alias("size"), key.alias("h"))
+    rows = _running(rows, [F.col("src").asc_nulls_first(), F.col("h").asc(), F.col("id").asc_nulls_first(), F.col("size").asc()], ["src"], "c", "mix-sizes")
 
-    sums = rows.groupBy("src", "b").agg(F.sum("size").alias("bucket_size"))
-    sources = sums.groupBy("src").agg(F.sum("bucket_size").alias("source_size"))
+    sources = rows.groupBy("src").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("src").asc_nulls_last())
     turn = (F.row_number().over(by_name) - 1) % len(weights)
     sources = sources.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), turn + 1).cast("long"))
@@ -67,28 +62,18 @@ def mix_sources(
     budget = sources.agg(F.sum("source_size")).first()[0] or 0
 
     same = F.col("l.src").eqNullSafe(F.col("r.src"))
-    ahead = Window.partitionBy("src").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("ahead", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)))
-    sums = sums.alias("l").join(sources.alias("r"), same).select("l.src", "b", "ahead", "source_size", "target")
-    inside = Window.partitionBy("src", "b").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("c", F.sum("size").over(inside))
-    rows = rows.alias("l").join(sums.alias("r"), same & (F.col("l.b") == F.col("r.b")))
-    rows = materialise(rows.select("id", "l.src", "h", "size", "source_size", "target", (F.col("c") + F.col("ahead")).alias("c")), "mix-queue")
+    rows = rows.alias("l").join(sources.alias("r"), same).select("id", "l.src", "h", "size", "source_size", "target", "c")
 
     def finish(epoch: int) -> Column:
         return (F.col("c") + F.col("source_size") * epoch).cast("double") / F.when(F.col("target") > 0, F.col("target"))
 
     places = F.array(*[finish(e) for e in range(max_epochs)])
     queue = rows.where("size > 0 and target > 0").select("h", "id", "size", F.explode(places).alias("v"))
-    queue = queue.withColumn("bin", F.floor(F.col("v") * buckets))
-    bins = queue.groupBy("bin").agg(F.sum("size").alias("bin_size"))
-    bins = bins.withColumn("total", F.sum("bin_size").over(Window.orderBy("bin")))
-    crossing = bins.where(F.col("total") > budget).orderBy("bin").select("bin", F.col("total") - F.col("bin_size")).first()
+    rank = [F.col("v").asc(), F.col("h").asc(), F.col("id").asc_nulls_first(), F.col("size").asc()]
+    queue = _running(queue, rank, [], "total", "mix-queue")
+    cut = queue.where(F.col("total") > budget).orderBy(*rank).select("v", "h", "id", "size").first()
     taken = F.lit(max_epochs)
-    if crossing:
-        rank = [F.col("v"), F.col("h"), F.col("id").asc_nulls_first(), F.col("size")]
-        last = queue.where(F.col("bin") == crossing[0]).withColumn("total", F.sum("size").over(Window.orderBy(*rank).rowsBetween(Window.unboundedPreceding, 0)))
-        cut = last.where(F.col("total") + crossing[1] > budget).orderBy(*rank).select("v", "h", "id", "size").first()
+    if cut:
         behind = F.lit(False)
         for name, value in (("size", cut["size"]), ("id", cut["id"]), ("h", cut["h"])):
             column = F.col(name)
@@ -109,6 +94,21 @@ def mix_sources(
     )
 
 
+def _running(rows: DataFrame, order: list[Column], by: list[str], name: str, table: str) -> DataFrame:
+    """rows with the sum of sizes up to each, in a global order (within each value of ``by``), sorted by ranges and written."""
+    ranged = materialise(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), table)
+    inside = Window.partitionBy("part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = ranged.groupBy("part", *by).agg(F.sum("size").alias("part_size"))
+    # A row for each range (and source in it): of these a window over one key holds no more than there are ranges.
+    ahead = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("part", *by, F.coalesce(F.sum("part_size").over(ahead), F.lit(0)).alias("ahead"))
+    same = F.col("l.part") == F.col("r.part")
+    for column in by:
+        same = same & F.col(f"l.{column}").eqNullSafe(F.col(f"r.{column}"))
+    summed = ranged.withColumn(name, F.sum("size").over(inside)).alias("l").join(F.broadcast(sums).alias("r") if not by else sums.alias("r"), same)
+    return summed.select(*(f"l.{c}" for c in rows.columns), (F.col(name) + F.col("ahead")).alias(name))
+
+
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     """All documents mixed at weights 5, 2, 1 within 100 % of their words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
