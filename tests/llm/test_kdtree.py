@@ -10,9 +10,9 @@ from waymill.llm.kdtree import KDTree, top_k
 def brute(rows, is_query, k=5):
     ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = set()
-    for q, v in ok:
+    for p, (q, v) in enumerate(ok):
         if is_query(q):
-            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ok if i != q and len(w) == len(v))
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for r, (i, w) in enumerate(ok) if r != p and len(w) == len(v))
             out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])}
     return out
 
@@ -53,9 +53,24 @@ def test_tree_opens_few_leaves():
     assert [i for _, i in best] == expected.tolist()
 
 
-def test_rows_of_the_querys_own_id_take_no_place():
-    """A leaf where the query's id has many rows, all best: k others are found all the same."""
-    rows = np.array([[10.0, 0.0]] * 30 + [[float(i % 7), 1.0] for i in range(20)])
-    tree = KDTree(np.r_[np.full(30, 5), np.arange(100, 120)], rows, 64)
-    found = tree.search(np.array([[1.0, 0.0]]), np.array([5]), 5, np.array([-np.inf]))[0]
-    assert found == sorted(((r[0], i) for r, i in zip(rows[30:].tolist(), range(100, 120), strict=True)), key=lambda x: (-x[0], x[1]))[:5]
+def test_repeated_ids(spark):
+    """Each query row is answered on its own; other rows of its id, equal ones too, are candidates."""
+    r = np.random.default_rng(4)
+    rows = [(i % 60, [float(np.float32(x)) for x in r.normal(0, 1, 3)]) for i in range(200)] + [(50, [1.0, 1.0, 1.0])] * 3 + [(0, [2.0, 0.0, 0.0])] * 2
+    ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    expected = []
+    for p, (q, v) in enumerate(ok):
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for n, (i, w) in enumerate(ok) if n != p)
+            expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    for options in ({}, {"shard_rows": 20, "block_queries": 2}):
+        got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in top_k(df, F.col("vec_id") % 50 == 0, **options).collect())
+        assert got == sorted(expected)
+
+
+def test_only_the_query_itself_is_left_out():
+    rows = np.array([[10.0, 0.0]] * 3 + [[float(i % 7), 1.0] for i in range(20)])
+    tree = KDTree(np.r_[np.full(3, 5), np.arange(100, 120)], rows, 2)
+    found = tree.search(np.array([[10.0, 0.0]]), np.array([5]), 5, np.array([-np.inf]))[0]
+    assert found == [(100.0, 5), (100.0, 5), (60.0, 106), (60.0, 113), (50.0, 105)]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-import uuid
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from waymill.llm.common import materialise, scratch_dir, tidied
+from waymill.llm.common import materialise, scratch_path, tidied
 
 SHARD_ROWS = 16_384
 LEAF_ROWS = 128
@@ -56,7 +56,7 @@ class KDTree:
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> list[list[tuple[float, int]]]:
         """For each query its k best (score, id), best first, but none below floor.
 
-        own: the id that a query must not return. Nodes are opened best bound first;
+        own: the query's id; one row of this id and of the query's vector is the query itself and is left out. Nodes are opened best bound first;
         one whose bound is under the k-th score so far (or floor) is never opened.
         """
         found = []
@@ -65,6 +65,7 @@ class KDTree:
         bounds = np.maximum(queries, 0) @ self.hi_matrix.T + np.minimum(queries, 0) @ self.lo_matrix.T
         for q, me, least, bound in zip(queries, own, floor, bounds, strict=True):
             best: list[tuple[float, int]] = []  # a heap of (score, -id): its head is the worst
+            met = False
             line = [(-bound[0], 0)]
             while line:
                 ahead, node = heapq.heappop(line)
@@ -77,7 +78,13 @@ class KDTree:
                     continue
                 at = self.members[node]
                 scores = self.rows[at] @ q
-                near = np.flatnonzero((scores >= least) & (self.ids[at] != me))
+                fits = scores >= least
+                if not met:
+                    itself = np.flatnonzero(fits & (self.ids[at] == me))
+                    itself = itself[(self.rows[at[itself]] == q).all(axis=1)]
+                    met = len(itself) > 0
+                    fits[itself[:1]] = False
+                near = np.flatnonzero(fits)
                 if len(near) > 4 * k:
                     near = near[np.lexsort((self.ids[at[near]], -scores[near]))[:k]]
                 for j in near:
@@ -92,36 +99,32 @@ class KDTree:
         return found
 
 
-_RESULT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-_SHARD = pa.schema([("shard", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("rows", pa.binary())])
+_RESULT = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_SHARD = pa.schema([("shard", pa.int32()), ("dim", pa.int32()), ("largest", pa.float64()), ("tree", pa.binary())])
 
 
-def _pack_shard(table: pa.Table) -> pa.Table:
-    """One row for each shard: its ids and floor(scale * x) as doubles."""
-    rows = table.column("v").combine_chunks()
-    flat = np.asarray(rows.flatten(), dtype=np.float64)
-    return pa.Table.from_pydict(
-        {"shard": [table.column("shard")[0].as_py()], "dim": [table.column("dim")[0].as_py()], "ids": [np.asarray(table.column("id"), dtype=np.int64).tobytes()], "rows": [flat.tobytes()]}, schema=_SHARD
-    )
+def _plant(table: pa.Table) -> pa.Table:
+    """One row for each shard: its tree over floor(scale * x) as doubles, and the largest component."""
+    flat = np.asarray(table.column("v").combine_chunks().flatten(), dtype=np.float64)
+    tree = KDTree(np.asarray(table.column("id"), dtype=np.int64), flat.reshape(table.num_rows, -1))
+    largest = float(np.abs(flat).max(initial=0))
+    return pa.Table.from_pydict({"shard": [table.column("shard")[0].as_py()], "dim": [table.column("dim")[0].as_py()], "largest": [largest], "tree": [pickle.dumps(tree, protocol=5)]}, schema=_SHARD)
 
 
-def _search(queries: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int):
+def _search(queries: np.ndarray, numbers: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int):
     def run(batches):
         least = floor.copy()
         for batch in batches:
             for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], dtype=np.int64)
-                rows = np.frombuffer(row["rows"], dtype=np.float64).reshape(len(ids), -1)
-                if len(rows) and rows.shape[1] * max(1.0, np.abs(rows).max(initial=0)) * max(1.0, np.abs(queries).max(initial=0)) >= EXACT:
+                if row["dim"] * max(1.0, row["largest"]) * max(1.0, np.abs(queries).max(initial=0)) >= EXACT:
                     raise OverflowError("inner products beyond 2^53 are not exact in doubles; scale the vectors down")
-                found = KDTree(ids, rows).search(queries, own, k, least)
-                out = [(int(q), i, int(s)) for q, best in zip(own, found, strict=True) for s, i in best]
+                found = pickle.loads(row["tree"]).search(queries, own, k, least)
+                out = [(n, q, i, int(s)) for n, q, best in zip(numbers.tolist(), own.tolist(), found, strict=True) for s, i in best]
                 for j, best in enumerate(found):  # the next shard of this task starts from the k-th score
                     if len(best) == k:
                         least[j] = max(least[j], best[-1][0])
                 if out:
-                    q, i, s = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.int64())], schema=_RESULT)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=_RESULT)
 
     return run
 
@@ -131,16 +134,16 @@ def top_k(
 ) -> DataFrame:
     """The k rows of largest integer inner product for each query row.
 
-    Components become floor(scale * x); a row's own id is no candidate; ties go to
+    Components become floor(scale * x); a query row is no candidate for itself; ties go to
     the smaller id; fewer than k candidates give fewer rows. Vectors that are null or
     hold null or non-finite components take no part, nor do null ids. Only vectors of the
     same length are compared. Products that doubles can't hold exactly raise OverflowError.
-    Repeated ids are candidates each on their own. Columns of other names are ignored.
-    Returns query_id, rank, vec_id, score.
+    Repeated ids are candidates each on their own, and each query row has its own k rows.
+    Columns of other names are ignored. Returns query_id, rank, vec_id, score.
 
-    Rows are dealt to shards of about ``shard_rows`` by a hash of the id. Queries go
-    out in blocks of ``block_queries`` (that bounds what is sent); each block first
-    searches one shard, and the k-th scores found there are the floor in all others.
+    Rows are dealt to shards of about ``shard_rows`` by a hash of id and vector; each shard's tree is
+    built once and written. Queries go out in blocks of ``block_queries`` (that bounds what is sent);
+    each block first searches one shard, and the k-th scores found there are the floor in all others.
     """
     spark = vectors.sparkSession
     ok = F.col(vec_col).isNotNull() & F.col(id_col).isNotNull() & F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -148,11 +151,12 @@ def top_k(
     rows = materialise(vectors.where(ok).select(F.col(id_col).cast("long").alias("id"), ints.alias("v"), F.size(vec_col).alias("dim"), is_query.alias("q")), "topk-vectors")
     shards = max(1, -(-rows.count() // shard_rows))
     dealt = rows.select("id", "v", "dim", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"))
-    packed = materialise(dealt.groupBy("dim", "shard").applyInArrow(_pack_shard, "shard int, dim int, ids binary, rows binary"), "topk-shards")
+    trees = materialise(dealt.groupBy("dim", "shard").applyInArrow(_plant, "shard int, dim int, largest double, tree binary"), "topk-trees")
     asked = rows.where("q").select("id", "v", "dim")
     kinds = asked.groupBy("dim").count().collect()  # one row for each vector length
-    path = f"{scratch_dir(spark)}/topk-{uuid.uuid4().hex}"
-    schema = "query_id long, vec_id long, score long"
+    path = scratch_path(spark, "topk")
+    schema = "query long, query_id long, vec_id long, score long"
+    number = 0
     for dim, n in kinds:
         blocks = max(1, -(-n // block_queries))
         for b in range(blocks):
@@ -160,19 +164,21 @@ def top_k(
             own = np.asarray(mine.column("id"), dtype=np.int64)
             if not len(own):
                 continue
+            numbers = np.arange(number, number + len(own))
+            number += len(own)
             queries = np.asarray(mine.column("v").combine_chunks().flatten(), dtype=np.float64).reshape(len(own), dim)
             floor = np.full(len(own), -np.inf)
-            of_dim = packed.where(F.col("dim") == dim)
+            of_dim = trees.where(F.col("dim") == dim)
             if shards > 1:
-                first = of_dim.where(F.col("shard") == 0).mapInArrow(tidied(_search(queries, own, floor, k)), schema).toArrow()
+                first = of_dim.where(F.col("shard") == 0).mapInArrow(tidied(_search(queries, numbers, own, floor, k)), schema).toArrow()
                 got: dict[int, list[int]] = {}
-                for q, s in zip(first.column("query_id").to_pylist(), first.column("score").to_pylist(), strict=True):
+                for q, s in zip(first.column("query").to_pylist(), first.column("score").to_pylist(), strict=True):
                     got.setdefault(q, []).append(s)
-                floor = np.array([min(got[q]) if len(got.get(q, ())) == k else -np.inf for q in own.tolist()], dtype=np.float64)
-            of_dim.repartition(min(shards, 4096)).mapInArrow(tidied(_search(queries, own, floor, k)), schema).write.mode("append").parquet(path)
+                floor = np.array([min(got[q]) if len(got.get(q, ())) == k else -np.inf for q in numbers.tolist()], dtype=np.float64)
+            of_dim.repartition(min(shards, 4096)).mapInArrow(tidied(_search(queries, numbers, own, floor, k)), schema).write.mode("append").parquet(path)
     if not kinds:
         spark.createDataFrame([], schema).write.mode("append").parquet(path)
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    best = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("vec_id"))
     out = spark.read.schema(schema).parquet(path).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -183,12 +189,12 @@ def op5_topk(spark, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = """
-WITH ok AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+WITH ok AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM ok q JOIN ok c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+  SELECT q.n, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM ok q JOIN ok c ON q.n <> c.n AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
