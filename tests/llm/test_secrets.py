@@ -45,11 +45,51 @@ def test_rules_on_noise():
 
 def test_held_out_recall_and_precision(model):
     texts, spans, y = S.made_findings(["It was the onthe of. Reed, and", "Der und die ein"], 1_500, 9)
-    p = model.probability(S.encode(texts, spans))
+    p = model.probability(texts, spans)
     said = [q >= model.thresholds.get(S.shape(t[a:b]), 2) for q, t, (a, b) in zip(p, texts, spans, strict=True)]
     hits = sum(s for s, label in zip(said, y, strict=True) if label)
     wrong = sum(s for s, label in zip(said, y, strict=True) if not label)
-    assert hits / y.sum() > 0.9 and wrong / (len(y) - y.sum()) < 0.03
+    assert hits / y.sum() > 0.9 and wrong / (len(y) - y.sum()) < 0.05
+
+
+def test_recall_of_the_tables_secrets(spark):
+    """The network alone, trained on other documents, finds the secrets that the rules label in the table, and few words."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    model = S.train_scanner(docs.where("doc_id % 2 = 0"))
+    texts, spans = S.rule_findings(docs.where("doc_id % 2 = 1"))
+    p = model.probability(texts, spans)
+    found = [q >= model.thresholds.get(S.shape(t[a:b]), 2) for q, t, (a, b) in zip(p, texts, spans, strict=True)]
+    assert len(found) >= 50 and sum(found) / len(found) >= 0.95
+    others = [(r.text, c) for r in docs.where("doc_id % 2 = 1 and text is not null").collect() for c in S.candidates(r.text, S.base_spans(r.text))]
+    p = model.probability([t for t, _ in others], [c for _, c in others])
+    said = [q >= model.thresholds.get(S.shape(t[a:b]), 2) for q, (t, (a, b)) in zip(p, others, strict=True)]
+    assert len(others) > 500 and sum(said) / len(said) < 0.02
+
+
+def test_stretches_cover_candidates_of_any_length(model):
+    for size in (16, 63, 64, 65, 66, 96, 97, 128, 500):
+        parts = S.pieces(10, 10 + size)
+        assert parts[0][0] == 10 and parts[-1][1] == 10 + size and all(b - a == min(size, S.MIDDLE) for a, b in parts)
+        assert all(b2 - b1 <= S.STEP for (_, b1), (_, b2) in zip(parts, parts[1:], strict=False))
+    key = "ghp_a8Kd02LmQz71XvBn5RtYw3HcJp6Ue9GfSi4o"
+    inside = "/".join(["house", "garden", "river", "table", "window", "flower"] * 3) + "/" + key + "/" + "/".join(["bread", "water", "summer", "winter"] * 5)
+    p = model.probability([f"x {inside} y"], [(2, 2 + len(inside))])[0]
+    assert p >= model.thresholds[S.shape(inside)] and inside.index(key) > 64
+
+
+def test_candidates_beside_known_spans():
+    text = "0123456789abcdef" + "XYZ" + " " + "0123456789abcdef" + " plainwordwithoutdigits"
+    known = S.base_spans(text)
+    assert S.candidates(text, known) == [(0, 19), (37, 59)]
+    import time
+
+    sizes = []
+    for n in (20_000, 100_000):
+        long = "0123456789abcdef plainwordwithoutdigits " * n
+        began = time.process_time()
+        assert len(S.candidates(long, S.base_spans(long))) == n
+        sizes.append(time.process_time() - began)
+    assert sizes[1] < 15 * sizes[0]
 
 
 def test_the_network_learns_its_gradient():
@@ -58,7 +98,8 @@ def test_the_network_learns_its_gradient():
 
     net = S.CharCNN(filters=3, channels=2)
     texts, spans, y = S.made_findings([], 8, 4)
-    codes = S.encode(texts, spans)
+    codes, owner = S.encode_whole(texts, spans)
+    y = y[owner]
     net.fit(codes, y, epochs=1)
     grads = net._gradient(codes, y)
 
