@@ -116,6 +116,54 @@ def test_pairs_are_learned():
     assert 1 / (1 + math.exp(-by_hand)) == pytest.approx(p[3])
 
 
+def test_labels_that_only_a_pair_tells():
+    """Label 1: both words or neither; each word alone is as often in either."""
+    r = rng(8)
+    data = []
+    for i in range(2400):
+        fill = [f"f{r.randrange(300)}" for _ in range(12)]
+        both = (["zorp"] if i % 2 else []) + (["blarg"] if i // 2 % 2 else [])
+        data.append((" ".join(fill + both), int(len(both) != 1)))
+    make = toxicity.Featuriser()
+    model = toxicity.FactorizationMachine().fit([make(t) for t, _ in data[:1600]], np.array([y for _, y in data[:1600]]))
+    column = toxicity.Featuriser(model.columns)
+    p = model.predict([column(t) for t, _ in data[1600:]])
+    assert np.mean([(q > 0.5) == y for q, (_, y) in zip(p, data[1600:], strict=True)]) > 0.99
+
+
+def test_pairs_by_brute_force():
+    """pair_columns against a plain count of all pairs."""
+    r = np.random.default_rng(2)
+    rows = [np.sort(r.choice(40, int(r.integers(5, 15)), replace=False)).astype(np.int32) for _ in range(600)]
+    y = np.array([float((3 in set(x.tolist())) == (17 in set(x.tolist()))) for x in rows])
+    gap = y - y.mean()
+    n = sum(sum(i in set(x.tolist()) for x in rows) >= 20 for i in range(40))
+    least = np.sqrt(2 * np.log(n**2 / 2 / 0.05))
+    plain = set()
+    for i in range(40):
+        for j in range(i):
+            g = np.array([d for x, d in zip(rows, gap, strict=True) if i in x and j in x])
+            if len(g) and abs(g.sum()) >= least * np.sqrt((g**2).sum()):
+                plain |= {i, j}
+    assert {3, 17} <= plain and set(toxicity.pair_columns(rows, gap, np.zeros(0, int)).tolist()) == plain
+    assert set(toxicity.pair_columns(rows, gap, np.array([3])).tolist()) == plain - {3}
+    assert len(toxicity.pair_columns(rows, gap, np.array(sorted(plain)))) == 0
+
+
+def test_repeated_and_contradictory_labels(spark):
+    texts = [(i, "the zorp" if i % 2 else "the word") for i in range(400)]
+    docs = frame(spark, texts + texts[:50])
+    labels = [(i, i % 2, 0, "zorp") for i in range(400)] * 2 + [(i, 1 - i % 2, 0, "x") for i in range(20)]
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int, n_chars int, text string")
+    model = toxicity.fit_toxicity(docs, labels)
+    scores = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    assert min(scores[i] for i in scores if i % 2) > 0.7 and max(scores[i] for i in scores if not i % 2) < 0.3
+    assert len({round(scores[i], 12) for i in scores if i % 2}) == 1  # ties score alike
+    empty = docs.limit(0)
+    model = toxicity.fit_toxicity(empty, labels)
+    assert toxicity.score_toxicity(empty, model).collect() == [] and 0 <= toxicity.score_toxicity(docs, model).first().score <= 1
+
+
 def test_toxicity_of_documents(spark, tmp_path):
     data = toxic_texts(4, 1200)
     texts = [(i, t) for i, (t, _) in enumerate(data)] + [(5000, None), (5001, ""), (None, "zorp blarg"), (7, "zorp blarg")]

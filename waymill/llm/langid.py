@@ -159,7 +159,7 @@ class LanguageModels:
             return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), bool)
         best = bits.argmin(axis=1)
         least = bits[np.arange(len(texts)), best]
-        weigh = np.minimum(letters, 400)[:, None] * self.sharpness
+        weigh = letters[:, None] * self.sharpness
         score = 1 / np.exp(np.clip((least[:, None] - bits) * weigh, -60, 0)).sum(axis=1)
         has = letters > 0
         limit = self.centre[best] + self.tolerance * self.spread[best] / np.sqrt(np.maximum(letters, 1)) if self.centre is not None else np.full(len(texts), np.inf)
@@ -265,7 +265,7 @@ def _calibrate(model: LanguageModels, held: dict[str, list[str]], samples: dict[
         z.append((own - mean) * np.sqrt(n) / scale)
         others = np.delete(bits[ok], j, axis=1)
         if others.shape[1]:
-            margins.append((others.min(axis=1) - own) * np.minimum(n, 400))
+            margins.append((others.min(axis=1) - own) * n)
     model.centre, model.spread = np.array(centre), np.array(spread)
     if z:
         model.tolerance = max(6.0, float(np.quantile(np.concatenate(z), 0.999)))

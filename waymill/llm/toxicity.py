@@ -55,9 +55,10 @@ class Featuriser:
 class FactorizationMachine:
     """p = sigmoid(w0 + sum w_i + sum over pairs <v_i, v_j>) over the present columns.
 
-    Columns: the buckets whose share among positives differs from that among
-    negatives by more than ``min_z`` standard errors; other terms can't add up to a
-    verdict on a long text. Fitted by Adam on the logistic loss with L2.
+    Columns: the buckets whose share among positives differs from that among negatives by more
+    than ``min_z`` standard errors, and those of pairs that, where both are present, go with a label
+    beyond what a machine of the former columns says (see pair_columns), however even either is alone.
+    Fitted by Adam on the logistic loss with L2.
     """
 
     def __init__(self, rank: int = 6, min_z: float = 4.0, epochs: int = 30, l2: float = 1e-4, seed: int = 7):
@@ -66,8 +67,6 @@ class FactorizationMachine:
     def fit(self, rows: list[np.ndarray], y: np.ndarray) -> FactorizationMachine:
         y = np.asarray(y, dtype=np.float64)
         n1, n0 = y.sum(), (1 - y).sum()
-        prior = (n1 + 1) / (n1 + n0 + 2)
-        self.bias = float(np.log(prior / (1 - prior)))
         flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int32)
         owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows]) if len(rows) else np.zeros(0, int)
         width = 1 << HASH_BITS
@@ -77,12 +76,24 @@ class FactorizationMachine:
             p1, p0, p = (positives + 0.5) / (n1 + 1), (total - positives + 0.5) / (n0 + 1), (total + 1) / (n1 + n0 + 2)
             z = np.abs(p1 - p0) / np.sqrt(p * (1 - p) * (1 / max(n1, 1) + 1 / max(n0, 1)))
         self.columns = np.flatnonzero((total >= 3) & (z >= self.min_z)) if n1 and n0 else np.zeros(0, int)
+        gap = y - self._fit_columns(rows, y)
+        if n1 and n0:
+            more = pair_columns(rows, gap, self.columns)
+            if len(more):
+                self.columns = np.union1d(self.columns, more)
+                self._fit_columns(rows, y)
+        return self
+
+    def _fit_columns(self, rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+        """Fit over ``columns``; the probabilities of the rows."""
+        prior = (y.sum() + 1) / (len(y) + 2)
+        self.bias = float(np.log(prior / (1 - prior)))
         self.w = np.zeros(len(self.columns))
         rng = np.random.default_rng(self.seed)
         self.v = rng.normal(0, 0.01, (len(self.columns), self.rank))
         if not len(self.columns):
-            return self
-        place = np.full(width, -1)
+            return np.full(len(y), prior)
+        place = np.full(1 << HASH_BITS, -1)
         place[self.columns] = np.arange(len(self.columns))
         sets = [place[r][place[r] >= 0] for r in rows]
         state = [[np.zeros_like(x), np.zeros_like(x)] for x in (np.zeros(1), self.w, self.v)]
@@ -103,7 +114,7 @@ class FactorizationMachine:
                     s += 0.001 * (g * g - s)
                     x -= 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
                 self.bias = float(bias[0])
-        return self
+        return self.predict(sets)
 
     def _forward(self, sets: list[np.ndarray]):
         sizes = [len(s) for s in sets]
@@ -119,12 +130,56 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-self._forward(sets)[2])) if sets else np.zeros(0)
 
 
+def pair_columns(rows: list[np.ndarray], gap: np.ndarray, known: np.ndarray, chance: float = 0.05) -> np.ndarray:
+    """Buckets of pairs whose co-occurrence goes with a label beyond what is known, of which one at least isn't in ``known``.
+
+    gap: label less probability by row. A pair counts if sum(gap) / sqrt(sum(gap^2)) over the rows that
+    have both is so large that all pairs tested would show one such by chance only ``chance`` times.
+    That takes as many rows as that bound squared at least, so rarer buckets are left out from the start. One
+    bucket after another is paired with all others, so memory holds a row of the table of pairs at a time.
+    """
+    if not len(rows):
+        return np.zeros(0, int)
+    width = 1 << HASH_BITS
+    total = np.bincount(np.concatenate(rows), minlength=width)
+    tested = np.count_nonzero(total >= 20)
+    least = np.sqrt(2 * np.log(max(tested, 2) ** 2 / 2 / chance))
+    use = np.flatnonzero(total >= least**2)
+    place = np.full(width, -1, dtype=np.int32)
+    place[use] = np.arange(len(use))
+    sets = [place[r][place[r] >= 0] for r in rows]
+    sizes = np.array([len(s) for s in sets])
+    flat, bounds = np.concatenate(sets), np.r_[0, np.cumsum(sizes)]
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    by_term = np.argsort(flat, kind="stable")
+    edges = np.searchsorted(flat[by_term], np.arange(len(use) + 1))
+    old = np.isin(use, known)
+    found = np.zeros(len(use), dtype=bool)
+    for i in range(len(use)):
+        mine = owner[by_term[edges[i] : edges[i + 1]]]
+        g = gap[mine]
+        others = np.concatenate([flat[bounds[r] : bounds[r + 1]] for r in mine.tolist()])
+        weight = np.repeat(g, sizes[mine])
+        sums, squares = np.bincount(others, weight, len(use)), np.bincount(others, weight * weight, len(use))
+        hit = np.abs(sums) >= least * np.sqrt(squares)
+        hit &= squares > 0
+        hit[i] = False
+        if old[i]:
+            hit &= ~old
+        if hit.any():
+            found |= hit
+            found[i] = True
+    return use[found & ~old]
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, **params) -> FactorizationMachine:
     """Fit on about ``train_rows`` labelled documents of either label, chosen by a hash of the id.
 
     The probabilities are those among all labels, however much of either is sampled.
-    Labels other than 0 and 1, null ids and labels without a document are ignored. With
-    one label only, or none, the model gives the smoothed share of label 1 to all texts.
+    Labels other than 0 and 1, null ids and labels without a document are ignored. Repeated
+    labels and documents count as often as they stand there, contradictory ones for both sides. Only the named
+    columns of either table are read. With one label only, or none, as of empty tables, the model
+    gives the smoothed share of label 1 to all texts.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
@@ -149,7 +204,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 
 def score_toxicity(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and score, the probability of label 1, of every whole text (null: as empty)."""
+    """``keep`` and score, the probability of label 1, of every whole text.
+
+    A null text scores as an empty one, which has the probability of a text without any known term.
+    Equal texts score alike. Every row gives one row; other columns are ignored.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2^HASH_BITS columns
     schema = docs.select(*keep).schema.add("score", "double")
 
