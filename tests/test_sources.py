@@ -91,13 +91,42 @@ def test_binary_round_trip(spark, objects, tmp_path, compression):
     df = objects(LINES).orderBy("_seq")
     header = Header({"generator": "g", "sorting": "Type_then_ID"}, ((1, 2, 3, 4),))
     files.write(Dataset(df, header), str(tmp_path / "parts"), f"pbf,pbf_compression={compression}")
-    files.join_parts(str(tmp_path / "parts"), str(tmp_path / "x.pbf"), binary=True)
+    files.join_parts(str(tmp_path / "parts"), str(tmp_path / "x.pbf"))
     found = files.read(spark, [str(tmp_path / "x.pbf")])
     assert rows(found.df) == rows(df)
     assert found.header.options == {"generator": "g", "sorting": "Type_then_ID"} and found.header.boxes == ((1, 2, 3, 4),)
     assert [r.id for r in found.df.orderBy("_seq").collect()] == [1, -2, 3, 4, 5]
 
 
+@pytest.mark.parametrize("compression", ["zlib", "none", "lz4"])
+def test_binary_by_splits(spark, objects, tmp_path, monkeypatch, compression):
+    """Files whose blocks go over any number of splits, and a folder of parts, give the same rows in the same order."""
+    monkeypatch.setattr(pbf, "BLOCK_OBJECTS", 12)
+    text = "\n".join(f"n{i} v1 dV c{i} t2020-01-01T00:00:00Z i7 uu Tname=OSMData%0a%{i * i},k{i}=v x{i % 90}.5 y{i % 80}" for i in range(1, 120))
+    df = objects(text).repartitionByRange(3, "_seq").sortWithinPartitions("_seq")
+    files.write(Dataset(df), str(tmp_path / "parts"), f"pbf,pbf_compression={compression}")
+    files.join_parts(str(tmp_path / "parts"), str(tmp_path / "x.pbf"))
+    size = (tmp_path / "x.pbf").stat().st_size
+    whole = [r["id"] for r in pbf.parse((tmp_path / "x.pbf").read_bytes())]
+    assert whole == list(range(1, 120))
+    for split in (size // 2 + 1, size // 9):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            for path in (tmp_path / "x.pbf", tmp_path / "parts"):
+                found = pbf.read(spark, str(path))
+                assert found.rdd.getNumPartitions() > 1
+                assert [r.id for r in found.orderBy("_seq").collect()] == whole
+                assert rows(found) == rows(df)
+            assert pbf.read_header(spark, str(tmp_path / "x.pbf")).options == {"generator": "waymill"}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    (tmp_path / "cut.pbf").write_bytes((tmp_path / "x.pbf").read_bytes()[:-30])
+    with pytest.raises(Exception, match="within a block"):
+        pbf.read(spark, str(tmp_path / "cut.pbf")).collect()
+
+
 def test_metadata_on_demand(spark, objects, tmp_path):
     df = objects(LINES).where("id = 1").coalesce(1)
     for given, expected in (("false", "n1 v0 dV c0 t i0 u T"), ("version+user", "n1 v1 dV c0 t i0 uUschi%20%Müller T")):

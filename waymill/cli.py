@@ -65,7 +65,7 @@ def _save(args, dataset: Dataset, path: str, form: str | None) -> None:
     if encoding == "parquet":
         raise UsageError("Parquet is always a folder")
     files.write(dataset, parts, form, True, args.output_header)
-    files.join_parts(parts, path, binary=encoding == "pbf")
+    files.join_parts(parts, path)
     shutil.rmtree(parts)
 
 

@@ -105,8 +105,7 @@ def write(dataset: Dataset, path: str, override: str | None = None, overwrite: b
         if compress not in ("zlib", "lz4", "none"):
             raise ValueError(f"Unknown compression {compress!r}")
         head = spark.createDataFrame([(pbf.header_block(header, form.kind == "history", with_places, compress),)], "block binary").coalesce(1)
-        head.unionByName(pbf.encoded(df, with_places, compress)).write.mode(mode).parquet(path)
-        return
+        text = pbf.as_lines(head.unionByName(pbf.encoded(df, with_places, compress)))
     elif form.encoding == "xml":
         change = form.kind == "change" or form.option("xml_change_format") == "true"
         body = xmlfile.elements(df, form.kind == "history" or form.option("force_visible_flag") == "true")
@@ -125,20 +124,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
 
 
-def join_parts(folder: str, target: str, binary: bool = False) -> None:
+def join_parts(folder: str, target: str) -> None:
     """Put the parts of a local folder together to one local file: what command-line use ends with."""
     import glob
     import shutil
 
-    if binary:
-        import pyarrow.parquet as pq
-
-        with open(target, "wb") as out:
-            for part in sorted(glob.glob(f"{folder}/part-*")):
-                for batch in pq.ParquetFile(part).iter_batches(columns=["block"]):
-                    for block in batch.column(0):
-                        out.write(block.as_py())
-        return
     with open(target, "wb") as out:
         for part in sorted(glob.glob(f"{folder}/part-*")):
             with open(part, "rb") as source:

@@ -9,10 +9,12 @@ from collections.abc import Iterator
 from datetime import UTC, datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from waymill.model import Header
-from waymill.sources.xmlfile import parsed_files
+from waymill.model import as_objects, Header
+from waymill.scratch import materialise
+from waymill.sources.xmlfile import PARSED, PARSED_ARROW, TIME
 
 #: Objects that one block holds at most.
 BLOCK_OBJECTS = 8_000
@@ -84,23 +86,40 @@ def blocks(data: bytes) -> Iterator[tuple[str, bytes]]:
     """(kind, content) of each block of a file."""
     at = 0
     while at < len(data):
-        (size,) = struct.unpack_from(">I", data, at)
-        head = _group(data[at + 4 : at + 4 + size])
-        at += 4 + size
-        blob = _group(data[at : at + head[3][0]])
-        at += head[3][0]
-        if 1 in blob:
-            content = blob[1][0]
-        elif 3 in blob:
-            content = zlib.decompress(blob[3][0])
-        elif 4 in blob:
-            content = lzma.decompress(blob[4][0])
-        elif 6 in blob or 7 in blob:
-            packed, codec = (blob[6][0], "lz4_raw") if 6 in blob else (blob[7][0], "zstd")
-            content = pa.decompress(packed, decompressed_size=blob[2][0], codec=codec, asbytes=True)
-        else:
-            raise ValueError("Unknown packing of a block")
-        yield head[1][0].decode(), content
+        size = frame(data, at)
+        if size is None:
+            raise ValueError("A file ends within a block")
+        yield block(data[at : at + size])
+        at += size
+
+
+def frame(data: bytes, at: int = 0) -> int | None:
+    """Bytes of the block that begins there, its head included; None if it isn't all there."""
+    if at + 4 > len(data):
+        return None
+    (size,) = struct.unpack_from(">I", data, at)
+    if at + 4 + size > len(data):
+        return None
+    whole = 4 + size + _group(bytes(data[at + 4 : at + 4 + size]))[3][0]
+    return whole if at + whole <= len(data) else None
+
+
+def block(data: bytes) -> tuple[str, bytes]:
+    """(kind, content) of one block."""
+    (size,) = struct.unpack_from(">I", data, 0)
+    head, blob = _group(data[4 : 4 + size]), _group(data[4 + size :])
+    if 1 in blob:
+        content = blob[1][0]
+    elif 3 in blob:
+        content = zlib.decompress(blob[3][0])
+    elif 4 in blob:
+        content = lzma.decompress(blob[4][0])
+    elif 6 in blob or 7 in blob:
+        packed, codec = (blob[6][0], "lz4_raw") if 6 in blob else (blob[7][0], "zstd")
+        content = pa.decompress(packed, decompressed_size=blob[2][0], codec=codec, asbytes=True)
+    else:
+        raise ValueError("Unknown packing of a block")
+    return head[1][0].decode(), content
 
 
 def _time(seconds: int | None) -> str | None:
@@ -171,28 +190,177 @@ class _Block:
             yield self.row("n", ids[i], tags, (versions[i], times[i], changesets[i], uids[i], users[i], bool(visible[i])), lon_e7=lon, lat_e7=lat)
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """Objects of a file in its order."""
-    seq = 0
-    for kind, content in blocks(data):
+def parse(data: bytes, at: int = 0) -> Iterator[dict]:
+    """Objects of a file, or of blocks that follow each other from byte ``at`` of one, in their order."""
+    while data:
+        size = frame(data)
+        if size is None:
+            raise ValueError("A file ends within a block")
+        kind, content = block(data[:size])
         if kind == "OSMData":
-            for row in _Block(content).rows():
-                yield row | {"_seq": seq}
-                seq += 1
+            for i, row in enumerate(_Block(content).rows()):
+                yield row | {"_seq": (at << BLOCK_BITS) + i}
+        data, at = data[size:], at + size
+
+
+# --- reading by stretches -------------------------------------------------------------------------
+
+#: A row's number is the byte where its block begins and, in so many bits, its place in the block.
+BLOCK_BITS = 20
+_DATA_HEAD = b"\x0a\x07OSMData"
+_PIECES = pa.schema([("path", pa.string()), ("begin", pa.int64()), ("length", pa.int64()), ("synced", pa.bool_()), ("head", pa.binary()), ("tail", pa.binary())])
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """The bytes of files, cut at every line feed: splits of any size that Spark makes of a file without knowing its format."""
+    rows = spark.read.option("lineSep", "\n").text(path)
+    return rows.select(F.col("value").cast("binary").alias("bytes"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("begin"))
+
+
+def _first_block(data: bytearray) -> int | None:
+    """Where the first block begins that is seen to be one: its head says so, and so does the next one's, if that is there."""
+    at = data.find(_DATA_HEAD)
+    while at >= 0:
+        if at >= 4:
+            try:
+                (size,) = struct.unpack_from(">I", data, at - 4)
+                head = _group(bytes(data[at : at + size])) if len(_DATA_HEAD) < size < 65_536 and at + size <= len(data) else {}
+                after = at + size + head[3][0]
+                if set(head) <= {1, 2, 3} and (after + 4 + len(_DATA_HEAD) > len(data) or data[after + 4 : after + 4 + len(_DATA_HEAD)] == _DATA_HEAD):
+                    return at - 4
+            except (KeyError, IndexError, TypeError):
+                pass
+        at = data.find(_DATA_HEAD, at + 1)
+    return None
+
+
+class _Stretch:
+    """One split of a file: bytes before its first block, blocks, and the beginning of one that goes on in the next split."""
+
+    def __init__(self, path: str, begin: int):
+        self.path, self.begin, self.length, self.taken = path, begin, 0, 0
+        self.data, self.head = bytearray(), b"" if begin == 0 else None
+
+    def add(self, lines: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        """(place, block) of the blocks that are now whole."""
+        more = b"\n".join([*lines, b""])
+        self.length += len(more)
+        self.data += more
+        if self.head is None:
+            at = _first_block(self.data)
+            if at is None:
+                return
+            self._take(at)
+        at, view = 0, bytes(self.data)
+        while (size := frame(view, at)) is not None:
+            yield self.taken + at, view[at : at + size]
+            at += size
+        self.data = self.data[at:]
+        self.taken += at
+
+    def _take(self, at: int) -> None:
+        self.head = bytes(self.data[:at])
+        del self.data[:at]
+        self.taken = at
+
+
+def _stretches(batches) -> Iterator[tuple[_Stretch, list[tuple[int, bytes]], bool]]:
+    """Each split with its blocks as they come; True at its end."""
+    now: _Stretch | None = None
+    for batch in batches:
+        lines = batch.column(0).to_pylist()
+        keys = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+        at = 0
+        while at < len(keys):
+            end = at
+            while end < len(keys) and keys[end] == keys[at]:
+                end += 1
+            if now is None or (now.path, now.begin) != keys[at]:
+                if now is not None:
+                    yield now, [], True
+                now = _Stretch(*keys[at])
+            yield now, list(now.add(lines[at:end])), False
+            at = end
+    if now is not None:
+        yield now, [], True
+
+
+def _seams(batches) -> Iterator[pa.RecordBatch]:
+    """What each split has before its first block and behind its last; all of it, if no block begins there."""
+    for stretch, _, ended in _stretches(batches):
+        if ended:
+            known = stretch.head is not None
+            values = (stretch.path, stretch.begin, stretch.length, known, stretch.head if known else bytes(stretch.data), bytes(stretch.data) if known else b"")
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _PIECES, strict=True)], schema=_PIECES)
+
+
+def _batches(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    held: list[dict] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == 5_000:
+            yield pa.RecordBatch.from_pylist(held, schema=PARSED_ARROW)
+            held = []
+    yield pa.RecordBatch.from_pylist(held, schema=PARSED_ARROW)
 
 
 def read(spark: SparkSession, path: str, src: int = 0) -> DataFrame:
-    """Objects of all files of a path. Each file is decoded by one task, block by block, and can have 2 GB: give a planet as many files."""
-    return parsed_files(spark, path, parse, src)
+    """Objects of all files of a path, numbered in their order; files are decoded by splits of any size (spark.sql.files.maxPartitionBytes).
+
+    A first pass looks for the blocks' heads only and keeps the pieces of blocks that go over the end
+    of a split; these are put together, and what is whole is decoded where it is read. The driver sees a row for each split.
+    """
+    lines = _lines(spark, path)
+    pieces = materialise(lines.mapInArrow(_seams, "path string, begin bigint, length bigint, synced boolean, head binary, tail binary"), "pbf-seams")
+    order = Window.orderBy("path", "begin")  # a row for each split
+    known = pieces.select("path", "begin", "length", "synced")
+    ahead = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = known.select("path", "begin", ahead.alias("offset"), F.sum(F.col("synced").cast("int")).over(order).alias("seam"), F.sum(F.when(F.col("begin") == 0, 1).otherwise(0)).over(order).alias("file"))
+    known = materialise(known, "pbf-splits")
+    offsets = {(r.path, r.begin): r.offset for r in known.collect()}
+    shared = spark.sparkContext.broadcast(offsets)
+
+    def decode(batches):
+        def rows():
+            for stretch, found, _ in _stretches(batches):
+                for place, data in found:
+                    yield from parse(data, shared.value[stretch.path, stretch.begin] + place)
+
+        yield from _batches(rows())
+
+    parts = pieces.join(known, ["path", "begin"])
+    heads = parts.where("length(head) > 0").select("file", F.when(F.col("synced"), F.col("seam") - 1).otherwise(F.col("seam")).alias("seam"), F.col("offset").alias("at"), F.col("head").alias("bytes"))
+    tails = parts.where("length(tail) > 0").select("file", "seam", (F.col("offset") + F.col("length") - F.length("tail")).alias("at"), F.col("tail").alias("bytes"))
+    joined = heads.union(tails).groupBy("file", "seam").agg(F.sort_array(F.collect_list(F.struct("at", "bytes"))).alias("parts"))
+
+    def mend(batches):
+        def rows():
+            for batch in batches:
+                for parts in batch.column(0).to_pylist():
+                    data, at = b"".join(p["bytes"] for p in parts), parts[0]["at"]
+                    if data.strip(b"\n"):  # a line feed is added at the end of each file
+                        yield from parse(data[:-1] if frame(data) == len(data) - 1 else data, at)
+
+        yield from _batches(rows())
+
+    found = lines.mapInArrow(decode, PARSED).unionByName(joined.select("parts").mapInArrow(mend, PARSED))
+    return as_objects(found.withColumn("timestamp", F.try_to_timestamp("timestamp", F.lit(TIME))).withColumn("_src", F.lit(src)), src)
 
 
 def read_header(spark: SparkSession, path: str) -> Header:
-    """Options and box of the first file."""
-    row = spark.read.format("binaryFile").load(path).selectExpr("substring(content, 1, 70000) AS head").first()
-    size = struct.unpack_from(">I", row.head, 0)[0]
-    more = _group(bytes(row.head[4 : 4 + size]))[3][0]
-    _, content = next(blocks(bytes(row.head[: 4 + size + more])))
-    g = _group(content)
+    """Options and box of the first file; as many lines are read as its first block has."""
+    lines, data, n = _lines(spark, path).where("begin = 0"), b"", 16
+    first = lines.select("path").limit(1).collect()
+    if not first:
+        return Header()
+    while frame(data) is None:
+        got = lines.where(F.col("path") == first[0].path).select("bytes").limit(n).collect()
+        data = b"\n".join([*(bytes(r.bytes) for r in got), b""])
+        if len(got) < n and frame(data) is None:
+            raise ValueError("A file ends within its header")
+        n *= 4
+    kind, content = block(data[: frame(data)])
+    g = _group(content) if kind == "OSMHeader" else {}
     options = {"generator": g[16][0].decode()} if 16 in g else {}
     for number, name in ((32, "osmosis_replication_timestamp"), (33, "osmosis_replication_sequence_number"), (34, "osmosis_replication_base_url")):
         if number in g:
@@ -246,7 +414,8 @@ def _steps(values) -> list[int]:
 
 
 def _blob(kind: str, content: bytes, compression: str) -> bytes:
-    """compression: zlib, lz4 or none."""
+    """compression: zlib, lz4 or none. The last byte is a line feed (see ended): so blocks can be written as lines."""
+    content = ended(content, compression)
     if compression == "none":
         blob = _bytes(1, content)
     else:
@@ -256,6 +425,22 @@ def _blob(kind: str, content: bytes, compression: str) -> bytes:
     return struct.pack(">I", len(head)) + head + blob
 
 
+def ended(content: bytes, compression: str) -> bytes:
+    """A message with one more field, which readers skip, so that what is packed ends in a line feed.
+
+    Plain and lz4 packing end in the last bytes themselves. zlib ends in the sum of all bytes and
+    one modulo 65521, so one byte of that field is chosen to make the sum's last byte ten.
+    """
+    if compression != "zlib":
+        return content + _bytes(100, b"\n" * 12)
+    for a in range(256):
+        for b in (0, 255):
+            made = content + _bytes(100, bytes([a, b]))
+            if zlib.adler32(made) & 0xFF == 10:
+                return made
+    raise AssertionError("some byte gives any sum")
+
+
 def header_block(header: Header, history: bool = False, locations_on_ways: bool = False, compression: str = "zlib") -> bytes:
     content = b""
     box = header.joined_box()
@@ -315,3 +500,8 @@ def encoded(objects: DataFrame, locations_on_ways: bool = False, compression: st
             yield pa.RecordBatch.from_pydict({"block": pa.array([data_block(waiting, locations_on_ways, compression)], pa.binary())})
 
     return objects.mapInArrow(run, "block binary")
+
+
+def as_lines(encoded: DataFrame) -> DataFrame:
+    """Blocks without their last byte, as text whose lines are the blocks: written by Spark, the part files joined by name are a file."""
+    return encoded.select(F.expr("substring(block, 1, length(block) - 1)").cast("string").alias("text"))

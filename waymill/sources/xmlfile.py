@@ -20,7 +20,7 @@ _ROWS = {
     "way": f"{_META}, nd array<struct<_ref bigint, _lon decimal(12,8), _lat decimal(12,8)>>",
     "relation": f"{_META}, member array<struct<_type string, _ref bigint, _role string>>",
 }
-_TIME = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+TIME = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 _DECLARATION = "<?xml version='1.0' encoding='UTF-8'?>"
 
 
@@ -35,7 +35,7 @@ def read(spark: SparkSession, path: str, src: int = 0) -> DataFrame:
     for rank, (letter, name) in enumerate(TYPE_NAMES.items()):
         rows = spark.read.format("xml").option("rowTag", name).schema(_ROWS[name]).load(path)
         common = {
-            "type": F.lit(letter), "id": F.col("_id"), "version": F.col("_version"), "visible": F.col("_visible"), "timestamp": F.try_to_timestamp("_timestamp", F.lit(_TIME)),
+            "type": F.lit(letter), "id": F.col("_id"), "version": F.col("_version"), "visible": F.col("_visible"), "timestamp": F.try_to_timestamp("_timestamp", F.lit(TIME)),
             "changeset": F.col("_changeset"), "uid": F.col("_uid"), "user": F.col("_user"), "tags": F.transform("tag", lambda t: F.struct(F.coalesce(t["_k"], F.lit("")).alias("k"), F.coalesce(t["_v"], F.lit("")).alias("v"))),
             "_src": F.lit(src), "_seq": F.monotonically_increasing_id() + F.lit(rank << 61),
         }
@@ -104,7 +104,7 @@ def parsed_files(spark: SparkSession, path: str, parser, src: int = 0) -> DataFr
                 yield pa.RecordBatch.from_pylist(rows, schema=PARSED_ARROW)
 
     found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, PARSED)
-    return as_objects(found.withColumn("timestamp", F.try_to_timestamp("timestamp", F.lit(_TIME))).withColumn("_src", F.lit(src)), src)
+    return as_objects(found.withColumn("timestamp", F.try_to_timestamp("timestamp", F.lit(TIME))).withColumn("_src", F.lit(src)), src)
 
 
 def _plain(parser):
@@ -130,7 +130,7 @@ def read_changesets(spark: SparkSession, path: str) -> DataFrame:
     """Changesets of a file."""
     schema = "_id bigint, _created_at string, _closed_at string, _open boolean, _num_changes int, _comments_count int, _uid int, _user string, _min_lon decimal(12,8), _min_lat decimal(12,8), _max_lon decimal(12,8), _max_lat decimal(12,8), tag array<struct<_k string, _v string>>"
     rows = spark.read.format("xml").option("rowTag", "changeset").schema(schema).load(path)
-    time = lambda c: F.try_to_timestamp(c, F.lit(_TIME))
+    time = lambda c: F.try_to_timestamp(c, F.lit(TIME))
     zero = lambda c: F.coalesce(c, F.lit(0))
     columns = [
         F.col("_id"), time("_created_at"), time("_closed_at"), F.coalesce("_open", F.col("_closed_at").isNull()), zero("_num_changes"), zero("_comments_count"), zero("_uid"), F.coalesce("_user", F.lit("")),
@@ -174,7 +174,7 @@ def elements(objects: DataFrame, visible: bool = False) -> DataFrame:
     inner = F.concat(F.coalesce(F.array_join(refs, ""), F.lit("")), F.coalesce(F.array_join(members, ""), F.lit("")), F.array_join(tag, ""))
     head = F.concat(
         F.lit("  <"), names(F.col("type")), _attribute("id", F.col("id")), _attribute("version", F.col("version"), F.col("version") == 0),
-        _attribute("timestamp", F.date_format("timestamp", _TIME)), _attribute("uid", F.col("uid"), F.col("uid") == 0), _attribute("user", _quoted(F.col("user")), F.col("user") == ""), _attribute("changeset", F.col("changeset"), F.col("changeset") == 0),
+        _attribute("timestamp", F.date_format("timestamp", TIME)), _attribute("uid", F.col("uid"), F.col("uid") == 0), _attribute("user", _quoted(F.col("user")), F.col("user") == ""), _attribute("changeset", F.col("changeset"), F.col("changeset") == 0),
         _attribute("visible", F.col("visible")) if visible else F.lit(""), F.when(F.col("type") == "n", F.concat(_attribute("lat", decimal(F.col("lat_e7"))), _attribute("lon", decimal(F.col("lon_e7"))))).otherwise(""),
     )
     whole = F.when(inner == "", F.concat(head, F.lit("/>"))).otherwise(F.concat(head, F.lit(">\n"), inner, F.lit("  </"), names(F.col("type")), F.lit(">")))
