@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -203,16 +204,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     found = None
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     for block in item_blocks(benchmark, rate, block_chars=block_chars):
-        part = rows.mapInArrow(tidied(_finder(block, rate)), "doc_id long, item_id long, distance int, start int, end int")
+        part = rows.mapInArrow(tidied(_finder(_shared_matcher(docs.sparkSession, block, rate))), "doc_id long, item_id long, distance int, start int, end int")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int, start int, end int")
     return found.withColumnRenamed("doc_id", id_col)
 
 
-def _finder(block, rate):
+#: The matcher that this worker built last, and of which block: tasks that follow each other in a worker share it.
+_BUILT: dict[str, Matcher] = {}
+
+
+def _shared_matcher(spark, block: list[tuple[int, str]], rate: float):
+    """A function that gives the matcher in a worker; the items are broadcast (about block_chars characters), the automaton is built once for each worker."""
+    shared, name = spark.sparkContext.broadcast((block, rate)), uuid.uuid4().hex
+
+    def matcher() -> Matcher:
+        if name not in _BUILT:
+            _BUILT.clear()
+            _BUILT[name] = Matcher(*shared.value)
+        return _BUILT[name]
+
+    return matcher
+
+
+def _finder(shared):
     def run(batches):
-        matcher = Matcher(block, rate)
+        matcher = shared()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             out = [(i, *m) for i, t in zip(ids, texts, strict=True) for m in matcher.find(t.as_py())]
@@ -224,15 +242,18 @@ def _finder(block, rate):
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that match no test item (see find_leaks)."""
+    """The rows of docs, all columns, that match no test item (see find_leaks).
+
+    Null and empty texts match nothing and stay; repeated rows stay or go together; an empty benchmark drops nothing.
+    """
     for block in item_blocks(benchmark, rate):
-        docs = docs.mapInArrow(tidied(_keeper(block, rate, text_col)), docs.schema)
+        docs = docs.mapInArrow(tidied(_keeper(_shared_matcher(docs.sparkSession, block, rate), text_col)), docs.schema)
     return docs
 
 
-def _keeper(block, rate, text_col):
+def _keeper(shared, text_col):
     def run(batches):
-        matcher = Matcher(block, rate)
+        matcher = shared()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
             yield batch.filter(pa.array([not matcher.find(t.as_py(), first=True) for t in texts], pa.bool_()))
