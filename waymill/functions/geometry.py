@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -146,20 +148,47 @@ def _head(kind: int) -> bytes:
     return struct.pack("<BII", 1, kind | _FLAG, _SRID)
 
 
-def ewkb(kind: str, shape) -> str:
-    """Hex of a Point (lon, lat), LineString (points) or MultiPolygon (polygons of rings); integer coordinates."""
-    pair = lambda p: struct.pack("<dd", p[0] / 1e7, p[1] / 1e7)
-    if kind == "Point":
-        data = _head(1) + pair(shape)
-    elif kind == "LineString":
-        data = _head(2) + struct.pack("<I", len(shape)) + b"".join(map(pair, shape))
-    else:
-        data = _head(6) + struct.pack("<I", len(shape))
-        for polygon in shape:
-            data += _head(3) + struct.pack("<I", len(polygon))
-            for ring in polygon:
-                data += struct.pack("<I", len(ring)) + b"".join(map(pair, ring))
-    return data.hex().upper()
+def ewkb_column(kind: pa.Array, points: pa.Array, area: pa.Array) -> pa.Array:
+    """Hex by row of a Point, LineString (``points``) or MultiPolygon (``area``: polygons of rings); integer coordinates.
+
+    All coordinates of a batch are turned at once; rows cut their stretch of the text.
+    """
+    point, line, multi, polygon = (_head(n).hex().upper() for n in (1, 2, 6, 3))
+    count = lambda n: struct.pack("<I", n).hex().upper()
+    pairs, ends = _hex_pairs(points)
+    per_row = _sizes(area)
+    rings = area.flatten()
+    per_polygon = _sizes(rings)
+    corners, corner_ends = _hex_pairs(rings.flatten())
+    ring = at = 0  # of the next polygon, and the next polygon
+    out = []
+    for i, k in enumerate(kind.to_pylist()):
+        if k == "MultiPolygon":
+            parts = [multi, count(per_row[i])]
+            for n in per_polygon[at : at + per_row[i]]:
+                parts += [polygon, count(n)]
+                for r in range(ring, ring + n):
+                    parts += [count(corner_ends[r + 1] - corner_ends[r]), corners[32 * corner_ends[r] : 32 * corner_ends[r + 1]]]
+                ring += n
+            out.append("".join(parts))
+        else:
+            shape = pairs[32 * ends[i] : 32 * ends[i + 1]]
+            out.append(point + shape if k == "Point" else line + count(ends[i + 1] - ends[i]) + shape)
+        at += per_row[i]
+    return pa.array(out, pa.string())
+
+
+def _sizes(lists: pa.Array) -> list[int]:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
+
+
+def _hex_pairs(lists: pa.Array) -> tuple[str, list[int]]:
+    """All points of lists of them as doubles in hex, 32 digits each, and how many points end with each list."""
+    flat = lists.flatten()
+    xy = np.empty((len(flat), 2), dtype="<f8")
+    for n, name in enumerate(("lon_e7", "lat_e7")):
+        xy[:, n] = np.asarray(flat.field(name).cast(pa.float64())) / 1e7
+    return xy.tobytes().hex().upper(), np.cumsum([0, *_sizes(lists)]).tolist()
 
 
 def assemble(ways: list[list[tuple[int, int, int]]]) -> list[list[list[Point]]] | None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymill.operators.locations import refreshed_locations
+from waymill.operators.locations import node_locations, refreshed_locations
 from waymill.operators.merging import concatenate, latest
 from waymill.operators.references import KEY
 
@@ -36,9 +36,14 @@ def apply_changes_history(history: DataFrame, changes: list[DataFrame], redact:
 def apply_changes_locations(objects: DataFrame, changes: list[DataFrame]) -> DataFrame:
     """As apply_changes, for ways that carry locations: their refs get the nodes' new ones.
 
-    A location comes from the nodes of the changes first, else from the data's; a ref to neither keeps its own.
+    A location comes from the nodes of the changes, whatever their version (of several the last in the
+    order of the changes); else, for nodes of ways in the changes, from the data's. Other refs keep their own.
     """
-    return refreshed_locations(apply_changes(objects, changes), nodes=latest(concatenate([objects, *changes])).where("type = 'n'"))
+    new = concatenate(changes)
+    changed = node_locations(new)
+    needed = new.where("type = 'w'").select(F.explode("refs.ref").alias("id")).distinct()
+    rest = node_locations(objects).join(needed, "id", "left_semi").join(changed, "id", "left_anti")
+    return refreshed_locations(apply_changes(objects, changes), changed.unionByName(rest))
 
 
 def derive_changes(old: DataFrame, new: DataFrame, increment_version: bool = False, keep_details: bool = False, update_timestamp: Column | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymill.functions.geometry import assemble, counter_clockwise, ewkb, point_list
+from waymill.functions.geometry import assemble, counter_clockwise, ewkb_column, point_list
 from waymill.functions.tags import TagMatcher, any_match, tag_matcher
 from waymill.model import TYPE_NAMES
 from waymill.operators.locations import refreshed_locations
@@ -263,10 +263,6 @@ def with_ewkb(made: DataFrame) -> DataFrame:
 
     @F.arrow_udf("string")
     def encode(kind: pa.Array, points: pa.Array, area: pa.Array) -> pa.Array:
-        out = []
-        for k, p, a in zip(kind.to_pylist(), points.to_pylist(), area.to_pylist(), strict=True):
-            pair = lambda x: (x["lon_e7"], x["lat_e7"])
-            out.append(ewkb(k, pair(p[0]) if k == "Point" else [pair(x) for x in p] if k == "LineString" else [[[pair(x) for x in ring] for ring in polygon] for polygon in a]))
-        return pa.array(out, pa.string())
+        return ewkb_column(kind, points, area)
 
     return made.withColumn("ewkb", encode("geometry_type", "points", "area"))

@@ -5,27 +5,102 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymill.functions.geometry import Region
+from waymill.functions.geometry import contains_points, Region
 from waymill.functions.tags import tag_filter
 from waymill.model import tag_value
 from waymill.scratch import materialise
 
 #: Extracts of one run, at most.
 MAX_EXTRACTS = 500
+#: Cells of the grid over all regions of a run, at most (four for each region, if these are more).
+GRID_CELLS = 100_000
 KEYED = ["extract", "id"]
 
 
+def region_cells(regions: Mapping[str, Region], most: int = GRID_CELLS) -> tuple[int, list[tuple]]:
+    """(bits, rows) of a grid over all regions: cells of 2^bits on a side, as small as ``most`` cells in all allow.
+
+    A row for each region and cell that it may hold points of: cx, cy, extract, whole (all of the cell is
+    inside), polygon (only the rings can tell), and the region's box.
+    """
+    boxes = {name: r.box for name, r in regions.items()}
+    bits = 18
+    while bits < 29 and sum(((c >> bits) - (a >> bits) + 1) * ((d >> bits) - (b >> bits) + 1) for a, b, c, d in boxes.values()) > most:
+        bits += 1
+    rows = []
+    for name, region in regions.items():
+        a, b, c, d = region.box
+        left, low = a >> bits, b >> bits
+        wide, high = (c >> bits) - left + 1, (d >> bits) - low + 1
+        cx, cy = (x.ravel() for x in np.meshgrid(np.arange(left, left + wide), np.arange(low, low + high), indexing="ij"))
+        size = 1 << bits
+        whole = (cx * size >= a) & ((cx + 1) * size - 1 <= c) & (cy * size >= b) & ((cy + 1) * size - 1 <= d)
+        edges = region.edges()
+        if edges:
+            touched = touched_cells(edges, bits, left, low, wide, high).ravel()
+            corner = contains_points(edges, cx * size, cy * size)
+            use = touched | corner
+            cx, cy, whole, touched = cx[use], cy[use], whole[use] & ~touched[use], touched[use]
+        else:
+            touched = np.zeros(len(cx), dtype=bool)
+        rows += [(int(x), int(y), name, bool(w), bool(t), *region.box) for x, y, w, t in zip(cx, cy, whole, touched, strict=True)]
+    return bits, rows
+
+
+def touched_cells(edges: list[tuple[int, int, int, int]], bits: int, left: int, low: int, wide: int, high: int) -> np.ndarray:
+    """Cells (by column, row) that some edge may pass, with a margin of one unit."""
+    out = np.zeros((wide, high), dtype=bool)
+    size = 1 << bits
+    for x1, y1, x2, y2 in edges:
+        if y1 > y2:
+            x1, y1, x2, y2 = x2, y2, x1, y1
+        rows = np.arange((y1 - 1) >> bits, ((y2 + 1) >> bits) + 1)
+        if y1 == y2:
+            near, far = np.full(len(rows), float(min(x1, x2))), np.full(len(rows), float(max(x1, x2)))
+        else:
+            bounds = np.clip(np.array([rows * size - 1, (rows + 1) * size]), y1, y2)
+            xs = x1 + (bounds - y1) * ((x2 - x1) / (y2 - y1))
+            near, far = xs.min(axis=0), xs.max(axis=0)
+        for row, a, b in zip(rows.tolist(), near.tolist(), far.tolist(), strict=True):
+            if 0 <= row - low < high:
+                out[max(0, (int(a) - 2 >> bits) - left) : max(0, (int(b) + 2 >> bits) - left + 1), row - low] = True
+    return out
+
+
 def _inside(nodes: DataFrame, regions: Mapping[str, Region]) -> DataFrame:
-    """(extract, id) of the nodes in each region: one pass, a row for each region that a node is in."""
+    """(extract, id) of the nodes in each region: nodes meet regions by cells of a grid, and only in cells that an edge passes the rings are asked."""
     lon, lat = F.col("lon_e7"), F.col("lat_e7")
     boxes = [r.box for r in regions.values()]
     all_box = (min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes))
     near = nodes.where(lon.between(all_box[0], all_box[2]) & lat.between(all_box[1], all_box[3]))  # reaches the scan
-    hits = F.array_compact(F.array(*[F.when(r.contains(lon, lat), F.lit(name)) for name, r in regions.items()]))
-    return near.select("id", F.explode(hits).alias("extract")).select(*KEYED).distinct()
+    bits, rows = region_cells(regions)
+    cells = nodes.sparkSession.createDataFrame(rows, "cx int, cy int, extract string, whole boolean, polygon boolean, a int, b int, c int, d int")
+    near = near.withColumns({"cx": F.shiftright(lon, bits), "cy": F.shiftright(lat, bits)})
+    met = near.join(F.broadcast(cells), ["cx", "cy"])  # GRID_CELLS rows, or four for each region
+    met = met.where(F.col("whole") | (lon.between(F.col("a"), F.col("c")) & lat.between(F.col("b"), F.col("d"))))
+    polygons = {name: r.edges() for name, r in regions.items() if r.polygons}
+    if not polygons:
+        return met.select(*KEYED).distinct()
+    met = materialise(met.select("id", "extract", "polygon", "lon_e7", "lat_e7"), "extract-met")
+    shared = nodes.sparkSession.sparkContext.broadcast(polygons)  # the boundaries, which came from the driver
+
+    def test(batches):
+        for batch in batches:
+            names = np.asarray(batch.column(1).to_pylist(), dtype=object)
+            x, y = (np.asarray(batch.column(k), dtype=np.int64) for k in (2, 3))
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for name in set(names.tolist()):
+                at = np.flatnonzero(names == name)
+                keep[at] = contains_points(shared.value[name], x[at], y[at])
+            yield batch.select([1, 0]).filter(pa.array(keep))
+
+    asked = met.where("polygon").select("id", "extract", "lon_e7", "lat_e7").mapInArrow(test, "extract string, id long")
+    return met.where("not polygon").select(*KEYED).union(asked).distinct()
 
 
 class _Graph:

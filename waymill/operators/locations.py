@@ -26,9 +26,9 @@ def _located_refs(ways: DataFrame, locations: DataFrame) -> DataFrame:
     return placed.select("way", F.transform("all", lambda x: x["r"]).alias("located"))
 
 
-def refreshed_locations(objects: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """Ways' refs with the locations of the nodes; those of unknown nodes keep what they have."""
-    locations = node_locations(objects if nodes is None else nodes)
+def refreshed_locations(objects: DataFrame, locations: DataFrame | None = None) -> DataFrame:
+    """Ways' refs with the locations (id, lon_e7, lat_e7), by default of the objects' own nodes; those of unknown nodes keep what they have."""
+    locations = node_locations(objects) if locations is None else locations
     way = F.struct("id", "version", "_src", "_seq")
     ways = objects.where("type = 'w'")
     located = _located_refs(ways, locations)

@@ -95,13 +95,22 @@ def of_poly(text: str) -> Region:
 
 
 def of_objects(objects: DataFrame) -> Region:
-    """The polygons of all multipolygon and boundary relations of a (small) file, and of its closed ways if there is no such relation."""
-    nodes = {r.id: (r.lon_e7, r.lat_e7) for r in objects.where("type = 'n'").select("id", "lon_e7", "lat_e7").collect()}
-    ways = {r.id: [(n.ref, *nodes[n.ref]) for n in r.refs if n.ref in nodes] for r in objects.where("type = 'w'").select("id", "refs").collect()}
+    """The polygons of all multipolygon and boundary relations of a file, and of its closed ways if there is no such relation.
+
+    Only the boundary comes to the driver: those relations, their ways, and the nodes of these.
+    """
     kind = F.get(F.filter("tags", lambda t: t["k"] == "type"), F.lit(0))["v"]
-    relations = objects.where((F.col("type") == "r") & kind.isin("multipolygon", "boundary")).select("members").collect()
-    groups = [[ways[m.ref] for m in r.members if m.type == "w" and m.ref in ways] for r in relations] or [[w] for w in ways.values() if len(w) > 3 and w[0] == w[-1]]
-    polygons = [p for g in groups for p in assemble(g) or []]
+    relations = objects.where((F.col("type") == "r") & kind.isin("multipolygon", "boundary")).select(F.expr("transform(filter(members, m -> m.type = 'w'), m -> m.ref)").alias("ways"))
+    groups = [r.ways for r in relations.collect()]
+    own = objects.where("type = 'w'").select("id", F.col("refs.ref").alias("refs"))
+    if groups:
+        own = own.join(relations.select(F.explode("ways").alias("id")).distinct(), "id", "left_semi")
+    else:
+        own = own.where("size(refs) > 3 and refs[0] = refs[size(refs) - 1]")
+    nodes = objects.where("type = 'n'").select("id", "lon_e7", "lat_e7").join(own.select(F.explode("refs").alias("id")).distinct(), "id", "left_semi")
+    places = {r.id: (r.lon_e7, r.lat_e7) for r in nodes.collect()}
+    ways = {r.id: [(n, *places[n]) for n in r.refs if n in places] for r in own.collect()}
+    polygons = [p for g in groups or [[w] for w in ways] for p in assemble([ways[w] for w in g if w in ways]) or []]
     if not polygons:
         raise BoundaryError("No polygon in the file")
     return Region.of_polygons(polygons)
