@@ -14,6 +14,8 @@ CHOSEN = (
     "cat_union", "tags_filter_negated", "tags_filter_area", "tags_filter_complete", "getid_referenced", "getid_missing", "getparents_self", "changeset_filter_time", "time_filter_range", "check_refs_relations",
     "fileinfo_facts", "tags_count_tags", "sort_canonical", "merge", "merge_changes_simplify", "apply_changes", "apply_changes_redact", "derive_changes", "diff_status", "renumber_refs",
     "add_locations", "locations_index_update", "extract_bbox_smart", "extract_polygon", "export_lines", "export_areas_closed_ways", "export_geojson",
+    "sort_simple", "fileinfo_order_facts", "merge_order_errors", "tags_count_sorted_name_desc", "replication_stream", "renumber_index", "extract_smart_percent", "extract_history", "extract_many_edges", "extract_many_regions",
+    "export_relation_areas", "export_all_errors", "export_copy_lines", "export_counter_ids", "export_rules_list_and_other", "files_osm_bz2", "files_osm_pbf", "header_box",
 )
 
 

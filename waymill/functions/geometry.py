@@ -252,9 +252,13 @@ def assemble(ways: list[list[tuple[int, int, int]]]) -> list[list[list[Point]]]
     outer = [i for i in range(len(rings)) if len(around[i]) % 2 == 0]
     place = {i: [list(oriented(rings[i], True))] for i in outer}
     for i in range(len(rings)):
-        if i not in place:
-            place[min((j for j in around[i] if j in place), key=lambda j: area[j])].append(list(oriented(rings[i], False)))
-    return [_from_least(p) for _, p in sorted(((min(rings[i]), place[i]) for i in outer), key=lambda x: x[0])]
+        if i not in outer:
+            holders = [j for j in around[i] if j in outer]
+            if holders:
+                place[min(holders, key=lambda j: area[j])].append(list(oriented(rings[i], False)))
+            else:  # rings that cross each other may hold one that no outer one does
+                place[i] = [list(oriented(rings[i], True))]
+    return [_from_least(p) for _, p in sorted(((min(rings[i]), p) for i, p in place.items()), key=lambda x: x[0])]
 
 
 def _from_least(polygon: list[list[Point]]) -> list[list[Point]]:

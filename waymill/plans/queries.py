@@ -251,11 +251,6 @@ def fileinfo_facts(spark, sf_dir):
     return out.withColumns({c: F.unix_timestamp(c) for c in ("first_timestamp", "last_timestamp")})
 
 
-@query(" SELECT true AS ordered, false AS multiple_versions")
-def fileinfo_order(spark, sf_dir):
-    return sm.order_facts(t.objects(spark, sf_dir))
-
-
 _ALL_TAGS = """
 , tags AS (SELECT 'n' AS type, unnest(['brand', 'type', 'name']) AS k, unnest([brand, kind, name]) AS v FROM nodes UNION ALL SELECT 'w', unnest(['status', 'priority']), unnest([status, priority]) FROM ways
   UNION ALL SELECT 'r', unnest(['type', 'name']), unnest([kind, name]) FROM relations)"""
@@ -520,21 +515,3 @@ def export_geojson(spark, sf_dir):
 def export_wkt(spark, sf_dir):
     config = ex.ExportConfig({"type": "@type", "id": "@id"}, geometry_types=("point",))
     return ex.text_features(ex.features(t.nodes(spark, sf_dir), config)[0], config)
-
-
-@query()
-def export_pg(spark, sf_dir):
-    config = ex.ExportConfig({"id": "id"}, geometry_types=("point", "linestring"))
-    return ex.pg_features(ex.features(t.stored(spark, sf_dir), config)[0], config)
-
-
-@query()
-def export_multipolygon(spark, sf_dir):
-    return _exported(spark, sf_dir, _ONLY[2]).select("feature_id", ex.wkt().alias("geometry"))
-
-
-@query(""", ends AS (SELECT way, count(*) AS n FROM closed_refs GROUP BY way)
-  SELECT 'w' AS type, id FROM ways LEFT JOIN ends ON way = id WHERE coalesce(n, 0) < 2""")
-def export_errors(spark, sf_dir):
-    errors = ex.features(t.stored(spark, sf_dir, closed=True))[1]
-    return errors.where("reason = 'way without two located nodes'").select("type", "id")

@@ -349,12 +349,12 @@ def read(spark: SparkSession, path: str, src: int = 0) -> DataFrame:
 
 def read_header(spark: SparkSession, path: str) -> Header:
     """Options and box of the first file; as many lines are read as its first block has."""
-    lines, data, n = _lines(spark, path).where("begin = 0"), b"", 16
-    first = lines.select("path").limit(1).collect()
-    if not first:
+    files, data, n = sorted(spark.read.text(path).inputFiles()), b"", 16
+    if not files:
         return Header()
+    lines = _lines(spark, files[0]).where("begin = 0").select("bytes")
     while frame(data) is None:
-        got = lines.where(F.col("path") == first[0].path).select("bytes").limit(n).collect()
+        got = lines.limit(n).collect()
         data = b"\n".join([*(bytes(r.bytes) for r in got), b""])
         if len(got) < n and frame(data) is None:
             raise ValueError("A file ends within its header")
