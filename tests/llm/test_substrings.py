@@ -88,7 +88,7 @@ def test_names_spell_the_same_words_and_windows_the_same_symbols():
             by.setdefault(name, set()).add(run)
         assert all(len(runs) == 1 for runs in by.values())
     assert len(levels[4].name) < 0.5 * len(found)
-    at, key, check = repeats_by_symbols(levels, 13)
+    at, key, check = repeats_by_symbols(levels, found.hashes, 13)
     w = [found.distinct[i] for i in found.index.tolist()]
     by = {}
     for i, k, c in zip(at.tolist(), key.tolist(), check.tolist(), strict=True):
@@ -102,7 +102,7 @@ def test_symbols_of_one_text_end_windows_that_stand_nowhere_else():
     common = words(r, 20, 30)
     texts = [" ".join(words(r, 30, 30) + common + words(r, 30, 30)) for _ in range(6)]
     found, levels = symbols_of(texts, 3, lambda docs: len(docs) > 1)
-    at, _, _ = repeats_by_symbols(levels, 13)
+    at, _, _ = repeats_by_symbols(levels, found.hashes, 13)
     w = [found.distinct[i] for i in found.index.tolist()]
     docs = {}
     for i in range(len(w) - 12):

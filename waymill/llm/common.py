@@ -139,7 +139,8 @@ class Words:
         out, bounds = self.plain
         column = pa.Array.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(out)])
         coded = column.dictionary_encode()
-        return coded.dictionary.to_pylist(), np.asarray(coded.indices)
+        bounds, whole = np.frombuffer(coded.dictionary.buffers()[1], np.int64, len(coded.dictionary) + 1).tolist(), coded.dictionary.buffers()[2].to_pybytes()
+        return [whole[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], np.asarray(coded.indices)
 
     @property
     def distinct(self) -> list[bytes]:

@@ -28,28 +28,21 @@ _ANSWERED = pa.schema([("chunk", pa.int64()), ("round", pa.int32()), ("range", p
 Question = tuple[np.ndarray, list[np.ndarray]]
 
 
-def store_chunks(docs: DataFrame, text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, state: Callable[[pa.RecordBatch], bytes] | None = None) -> DataFrame:
-    """All columns of docs in a table of chunks (chunk, blob), bucketed by chunk on the shared folder.
+def store_chunks(docs: DataFrame, text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, kept: Callable[[pa.RecordBatch], bytes] | None = None) -> DataFrame:
+    """docs in a table of chunks (chunk, blob), bucketed by chunk on the shared folder.
 
-    state: what is kept of a chunk in a column of its own, so that a round need not read the texts.
+    kept: what to keep of a chunk, if it isn't all columns as they are.
     """
     spark = docs.sparkSession
-    schema = "chunk long, blob binary" + (", state binary" if state else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
         first = TaskContext.get().partitionId() << 32
         for i, batch in enumerate(slices(batches, text_col, chunk_bytes)):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
-                writer.write_batch(batch)
-            columns = {"chunk": pa.array([first + i], pa.int64()), "blob": pa.array([sink.getvalue().to_pybytes()], pa.binary())}
-            if state:
-                columns["state"] = pa.array([state(batch)], pa.binary())
-            yield pa.RecordBatch.from_pydict(columns)
+            blob = (kept or whole)(batch)
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([first + i], pa.int64()), "blob": pa.array([blob], pa.binary())})
 
     name = f"waymill_{uuid.uuid4().hex}"
-    stored = docs.mapInArrow(tidied(run), schema)
+    stored = docs.mapInArrow(tidied(run), "chunk long, blob binary")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     stored.write.format("parquet").option("compression", "uncompressed").option("path", scratch_path(spark, name)).bucketBy(buckets, "chunk").saveAsTable(name)
     table = spark.table(name)
@@ -57,6 +50,14 @@ def store_chunks(docs: DataFrame, text_col: str = "text", chunk_bytes: int = CHU
     return table
 
 
+def whole(batch: pa.RecordBatch) -> bytes:
+    """A chunk with all its columns, compressed."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 def opened(blob: bytes) -> pa.RecordBatch:
     """The rows of a chunk."""
     return pa.ipc.open_stream(blob).read_next_batch()
@@ -74,35 +75,41 @@ def ids_of(batch: pa.RecordBatch, id_col: str = "doc_id") -> np.ndarray:
     return np.asarray(column.fill_null(np.iinfo(np.int64).max))
 
 
-def ask(chunks: DataFrame, questions: Callable[..., Question], answers: DataFrame | None = None, column: str = "blob", reader=None) -> DataFrame:
-    """What each chunk asks: questions(batch or state, what ``reader``, by default of bits, makes of earlier answers)."""
+def ask(chunks: DataFrame, questions: Callable[..., Question], answers: DataFrame | None = None, open_: Callable = opened, reader: Callable | None = None, spare: bool = False) -> DataFrame:
+    """What each chunk asks: questions(open_(blob), what ``reader``, by default of bits, makes of earlier answers).
+
+    spare: leave the keys out of what is sent, as the other side makes them from the columns.
+    """
     ranges, later = _ranges(chunks), answers is not None
-    reader, open_ = reader or _bits_of(ranges), opened if column == "blob" else bytes
+    reader = reader or _bits_of(ranges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, columns = questions(open_(row[column]), *([reader(row["answers"])] if later else []))
-                edges = _edges(keys, ranges)
+                keys, columns = questions(open_(row["blob"]), *([reader(row["answers"])] if later else []))
+                edges = key_edges(keys, ranges)
                 full = np.flatnonzero(np.diff(edges)).tolist()
-                blobs = [join_blobs([pack(c[edges[r] : edges[r + 1]]) for c in (keys, *columns)]) for r in full]
+                blobs = [join_blobs([pack(c[edges[r] : edges[r + 1]]) for c in (columns if spare else (keys, *columns))]) for r in full]
                 sizes = [int(edges[r + 1] - edges[r]) for r in full]
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([row["chunk"]] * len(full), pa.int64()), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())], schema=_ASKED)
 
-    return with_answers(chunks.select("chunk", column), answers).mapInArrow(tidied(run), "range int, chunk long, n int, blob binary")
+    return with_answers(chunks, answers).mapInArrow(tidied(run), "range int, chunk long, n int, blob binary")
 
 
-def answer(asked: DataFrame, judge: Callable[..., np.ndarray], kinds: tuple = (), round_: int = 0, one_row: bool = True) -> DataFrame:
+def answer(asked: DataFrame, judge: Callable[..., np.ndarray], kinds: tuple = (), round_: int = 0, one_row: bool = True, key_of: Callable | None = None) -> DataFrame:
     """What judge(keys, *columns), which sees a range of keys from all chunks, says of each key: a bit, or a number if round_ is not 0.
 
-    kinds: the dtypes of the columns beside the keys. One row for each chunk, or one for each chunk and range.
+    kinds: the dtypes of the columns beside the keys; key_of: makes the keys of them, if they were spared.
+    One row for each chunk, or one for each chunk and range.
     """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
         sizes = table.column("n").to_pylist()
-        parts = [[unpack(b, k) for b, k in zip(cut_blobs(blob), (U64, *kinds), strict=True)] for blob in table.column("blob").to_pylist()]
-        said = judge(*[np.concatenate(column) for column in zip(*parts, strict=True)])
+        sent = kinds if key_of else (U64, *kinds)
+        parts = [[unpack(b, k) for b, k in zip(cut_blobs(blob), sent, strict=True)] for blob in table.column("blob").to_pylist()]
+        columns = [np.concatenate(column) for column in zip(*parts, strict=True)]
+        said = judge(*([key_of(*columns)] if key_of else []), *columns)
         release()
         edges = np.cumsum([0, *sizes])
         of = pack if round_ else lambda part: np.packbits(part).tobytes()
@@ -150,9 +157,9 @@ def names_reader(chunks: DataFrame) -> Callable[[list | None], Callable[[int, np
     ranges = _ranges(chunks)
 
     def names(answers: list | None):
-        def read(round_: int, keys: np.ndarray) -> np.ndarray:
-            edges = _edges(keys, ranges)
-            out = np.zeros(len(keys), dtype=np.int64)
+        def read(round_: int, keys: np.ndarray | None, edges: np.ndarray | None = None) -> np.ndarray:
+            edges = key_edges(keys, ranges) if edges is None else edges
+            out = np.zeros(edges[-1], dtype=np.int64)
             for row in answers or ():
                 if row["round"] == round_:
                     a, b = edges[row["range"]], edges[row["range"] + 1]
@@ -176,10 +183,16 @@ def bits_reader(chunks: DataFrame) -> Callable[[list | None], Callable[[np.ndarr
 
 
 def _ranges(chunks: DataFrame) -> int:
-    return 4 * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return key_ranges(chunks.sparkSession)
+
+
+def key_ranges(spark) -> int:
+    """Into how many ranges keys are cut."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _edges(keys: np.ndarray, ranges: int) -> np.ndarray:
+def key_edges(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each key range begins in sorted keys, and the last ends."""
     edges = np.searchsorted(keys, np.arange(1, ranges).astype(U64) * U64((1 << 64) // ranges))
     return np.r_[0, edges, len(keys)]
 
@@ -187,7 +200,7 @@ def _edges(keys: np.ndarray, ranges: int) -> np.ndarray:
 def _bits_of(ranges: int):
     def bits(answers: list | None):
         def read(keys: np.ndarray) -> np.ndarray:
-            edges = _edges(keys, ranges)
+            edges = key_edges(keys, ranges)
             out = np.zeros(len(keys), dtype=bool)
             for row in answers or ():
                 a, b = edges[row["range"]], edges[row["range"] + 1]

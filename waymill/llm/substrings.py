@@ -8,18 +8,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymill.llm.common import mix, pack, span_hashes, tidied, U64, unpack, Words
-from waymill.llm.exchange import CHUNK_BYTES, answer, ask, bits_reader, by_chunk, cut_blobs, grouped, ids_of, join_blobs, names_reader, opened, shared_names, store_chunks, texts_of, with_answers
+from waymill.llm.exchange import CHUNK_BYTES, answer, ask, bits_reader, by_chunk, cut_blobs, grouped, ids_of, join_blobs, key_edges, key_ranges, names_reader, shared_names, store_chunks, texts_of, with_answers
 from waymill.scratch import materialise
 
 #: Consecutive words that make a repeat.
 WINDOW = 13
 #: Rounds of recompression after the words are named; the first also names runs of one symbol.
 ROUNDS = 3
-_FAR = 1 << 40
+_FAR = np.int32(1 << 29)
 #: What a question about symbols holds beside its keys: whether several texts of the chunk have it, left symbol and length of its run, right ones (0: none).
 _SYMBOL = (np.uint8, np.int64, np.int32, np.int64, np.int32)
 
@@ -48,8 +49,8 @@ class Merge:
 
 
 def word_symbols(names: np.ndarray, doc: np.ndarray) -> Symbols:
-    at = np.arange(len(names))
-    return Symbols(names, at, at + 1, at, at + 1, doc)
+    at = np.arange(len(names), dtype=np.int32)
+    return Symbols(names, at, at + np.int32(1), at, at + np.int32(1), doc)
 
 
 def merge(s: Symbols, salt: int, runs: bool) -> Merge:
@@ -61,6 +62,7 @@ def merge(s: Symbols, salt: int, runs: bool) -> Merge:
     """
     name, start, end, low, high, doc = s.name, s.start, s.end, s.low, s.high, s.doc
     n = len(name)
+    coded = name.view(U64)
     if runs and n:
         head = np.ones(n, dtype=bool)
         head[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1]) | (name[1:] == 0)
@@ -75,35 +77,42 @@ def merge(s: Symbols, salt: int, runs: bool) -> Merge:
         alone = name == 0
         low, high = np.where(alone, low[first], left), np.where(alone, high[last], right)
         start, end, doc = start[first], end[last], doc[first]
+        coded = name.view(U64) + length.astype(U64) * U64(0xD6E8FEB86659FD93)
     else:
         length = np.ones(n, dtype=np.int32)
     n = len(name)
-    symbol = mix(name.view(U64) + length.astype(U64) * U64(0xD6E8FEB86659FD93))
-    side = (mix(symbol ^ U64(salt)) & U64(1)).astype(bool)
+    side = (coded ^ U64(salt)) * U64(0x9FB21C651E98DF25) > U64((1 << 63) - 1)  # the leading bit
     named = name != 0
     is_left, is_right = named & side, named & ~side
     beside = doc[1:] == doc[:-1]
     with_next = np.zeros(n, dtype=bool)
     with_next[:-1] = is_left[:-1] & is_right[1:] & beside
-    taken = np.r_[False, with_next[:-1]]
-    after, before = np.full(n, _FAR), np.full(n, -_FAR)
-    after[:-1][beside] = high[1:][beside]
-    before[1:][beside] = low[:-1][beside]
+    taken = np.zeros(n, dtype=bool)
+    taken[1:] = with_next[:-1]
     # A left symbol saw what follows it; a right one what came before.
-    high, low = np.where(is_left, after, high), np.where(is_right & ~taken, before, low)
+    new_high, new_low = high.copy(), low.copy()
+    new_high[is_left] = _FAR
+    np.copyto(new_high[:-1], high[1:], where=is_left[:-1] & beside)
+    right_alone = is_right & ~taken
+    new_low[right_alone] = -_FAR
+    np.copyto(new_low[1:], low[:-1], where=right_alone[1:] & beside)
     at = np.flatnonzero(~taken)
     both = with_next[at]
     to = at + both
+    new = Symbols(name[at], start[at], end[to], new_low[at], np.where(both, new_high[at], new_high[to]), doc[at])
     fresh = both | (named[at] & (length[at] > 1))
-    new = Symbols(name[at], start[at], end[to], low[at], high[to], doc[at])
-    new.high[both] = high[at[both]]
     a, b, pair = at[fresh], to[fresh], both[fresh]
-    key = mix(symbol[a] + np.where(pair, symbol[b], U64(0)) * U64(0x9FB21C651E98DF25))
     columns = [name[a], length[a], np.where(pair, name[b], 0), np.where(pair, length[b], 0).astype(np.int32)]
-    keys, place, several, columns = _asked(key, new.doc[fresh], columns)
+    keys, place, several, columns = _asked(symbol_key(None, *columns), new.doc[fresh], columns)
     return Merge(new, np.flatnonzero(fresh), place, keys, [several, *columns])
 
 
+def symbol_key(_, left: np.ndarray, length: np.ndarray, right: np.ndarray, right_length: np.ndarray) -> np.ndarray:
+    """The key of a run or pair of symbols."""
+    own = left.view(U64) + length.astype(U64) * U64(0xD6E8FEB86659FD93)
+    return mix(mix(own) + (right.view(U64) + right_length.astype(U64) * U64(0xC2B2AE3D27D4EB4F)) * U64(0x9E3779B97F4A7C15))
+
+
 def _asked(key: np.ndarray, doc: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """Distinct rows by key, where each row is among them, and whether several texts have it."""
     order, group = grouped(key, *columns)
@@ -120,12 +129,12 @@ def rename(m: Merge, names: np.ndarray) -> Symbols:
     return m.symbols
 
 
-def repeats_by_symbols(levels: list[Symbols], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeats_by_symbols(levels: list[Symbols], hashes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows (by first word) that hold no symbol of one text only, and what they spell in symbols, as keys of 2 x 64 bits.
 
     A symbol counts in a window if the words that fix it lie within: then every equal window has it. A
     window is spelled by the first such symbol of the highest round, where that stands, and the names of
-    the words on either side of it. Names are exact, so two windows of the same spelling are equal.
+    the words on either side of it. The second key also holds ``hashes`` of all words, which know nothing of the names.
     """
     words = levels[0]
     n = len(words.name)
@@ -139,23 +148,21 @@ def repeats_by_symbols(levels: list[Symbols], window: int = WINDOW) -> tuple[np.
     at = np.flatnonzero((words.doc[window - 1 :] == words.doc[: n - window + 1]) & ~dead)
     if not len(at):
         return at, np.zeros(0, U64), np.zeros(0, U64)
-    name, a, b = words.name[at].copy(), at.copy(), at + 1
+    name, a, b = words.name[at], at.copy(), at + 1
     for s in levels[1:]:
         fixed = np.flatnonzero((s.high - s.low <= window) & (s.name != 0))
         if not len(fixed):
             break
-        low = s.low[fixed]
-        first = np.searchsorted(low, at)
+        first = np.searchsorted(s.low[fixed], at.astype(np.int32))
         ok = first < len(fixed)
         ok[ok] = s.high[fixed[first[ok]]] <= at[ok] + window
         chosen = fixed[first[ok]]
         name[ok], a[ok], b[ok] = s.name[chosen], s.start[chosen], s.end[chosen]
-    spelled = name.view(U64) + (a - at).astype(U64) * U64(0xC2B2AE3D27D4EB4F)
-    keys = []
-    for salt in (0x8A5CD789635D2DFF, 0x121FD2155C472F96):
-        own = mix(words.name.view(U64) ^ U64(salt))
-        keys.append(mix(mix(mix(spelled ^ U64(salt)) + span_hashes(own, at, a)) + span_hashes(own, b, at + window)))
-    return at, keys[0], keys[1]
+    spelled = mix(name.view(U64) + (a - at).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+    own = words.name.view(U64) * U64(0x8A5CD789635D2DFF)
+    own ^= own >> U64(32)
+    key = mix(mix(spelled + span_hashes(own, at, a)) + span_hashes(own, b, at + window))
+    return at, key, mix(spelled ^ span_hashes(hashes, at, at + window))
 
 
 def _least_by_key(keys: np.ndarray, check: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -174,62 +181,68 @@ def _earlier(keys: np.ndarray, check: np.ndarray, docs: np.ndarray) -> np.ndarra
     return least[place] < docs
 
 
-def _word_state(id_col: str, text_col: str):
-    """What the rounds need of a chunk: digests of its distinct words in order, which of them each word is, how many each text has, ids."""
+class Chunk:
+    """The words of some texts: each different one once, in the order of its hash.
+
+    index: which of them each word is; counts: words of each text; ids: of the texts; edges: where the
+    ranges of hashes begin.
+    """
 
-    def state(batch: pa.RecordBatch) -> bytes:
-        words = Words(texts_of(batch, text_col))
-        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words.distinct)), dtype=">u8").reshape(-1, 2).astype(U64)
-        order = np.lexsort((digests[:, 1], digests[:, 0]))
+    def __init__(self, blob: bytes):
+        words, *arrays = cut_blobs(blob)
+        self.words = zstandard.ZstdDecompressor().decompress(words) if words else b""
+        self.index, self.counts, self.ids, self.edges = (unpack(b, k) for b, k in zip(arrays, (np.int32, np.int64, np.int64, np.int64), strict=True))
+        self.doc = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
+
+    @staticmethod
+    def pack(batch: pa.RecordBatch, id_col: str, text_col: str, ranges: int) -> bytes:
+        found = Words(texts_of(batch, text_col))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, found.distinct), dtype=U64, count=len(found.distinct))
+        order = np.argsort(hashes, kind="stable")
         rank = np.empty(len(order), dtype=np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
-        index = rank[words.index] if len(words) else np.zeros(0, np.int32)
-        return join_blobs([pack(x) for x in (digests[order, 0], digests[order, 1], index, np.diff(words.first), ids_of(batch, id_col))])
-
-    return state
-
-
-def _read_state(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Digests (two halves), index of each word, text of each word, ids of the texts."""
-    high, low, index, counts, ids = (unpack(b, k) for b, k in zip(cut_blobs(blob), (U64, U64, np.int32, np.int64, np.int64), strict=True))
-    return high, low, index, np.repeat(np.arange(len(counts)), counts), ids
+        words = b"".join([found.distinct[i] for i in order.tolist()])
+        index = rank[found.index] if len(found) else np.zeros(0, np.int32)
+        arrays = (index, np.diff(found.first), ids_of(batch, id_col), key_edges(hashes[order], ranges))
+        return join_blobs([zstandard.ZstdCompressor(level=1).compress(words) if words else b"", *map(pack, arrays)])
+
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """XXH3 of the different words, by their bytes."""
+        ends = (np.flatnonzero(np.frombuffer(self.words, np.uint8) == 32) + 1).tolist()
+        return np.fromiter((xxhash.xxh3_64_intdigest(self.words[a:b], seed) for a, b in zip([0, *ends[:-1]], ends, strict=bool(ends))), dtype=U64, count=len(ends))
+
+    def levels(self, names: Callable, rounds: int) -> list[Symbols]:
+        """Symbols of the words and of so many rounds, which have been named."""
+        levels = [word_symbols(names(1, None, self.edges)[self.index] if len(self.index) else np.zeros(0, np.int64), self.doc)]
+        for k in range(rounds):
+            m = merge(levels[-1], _salt(k), k == 0)
+            levels.append(rename(m, names(k + 2, m.keys)))
+        return levels
 
+    def repeats(self, names: Callable, rounds: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        levels = self.levels(names, rounds)
+        return repeats_by_symbols(levels, self.hashes(1)[self.index] if len(self.index) else np.zeros(0, U64), window)
 
-def _levels(state: bytes, names: Callable, rounds: int) -> tuple[list[Symbols], np.ndarray]:
-    """Symbols of all rounds that have been named, and the ids of the texts."""
-    high, _, index, doc, ids = _read_state(state)
-    levels = [word_symbols(names(1, high)[index] if len(index) else np.zeros(0, np.int64), doc)]
-    for k in range(rounds):
-        m = merge(levels[-1], _salt(k), k == 0)
-        levels.append(rename(m, names(k + 2, m.keys)))
-    return levels, ids
+    def texts(self, keep: np.ndarray) -> list[bytes]:
+        """Of each text the words to keep, joined by one space."""
+        bounds = np.r_[0, np.flatnonzero(np.frombuffer(self.words, np.uint8) == 32) + 1].astype(np.int64)
+        column = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(self.words)])
+        taken = self.index[keep]
+        whole = column.take(pa.array(taken)).buffers()[2].to_pybytes() if len(taken) else b""
+        sizes = np.zeros(len(keep) + 1, dtype=np.int64)
+        sizes[1:][keep] = np.diff(bounds)[taken]
+        ends = np.cumsum(sizes)[np.r_[0, np.cumsum(self.counts)]].tolist()
+        return [whole[a : max(a, b - 1)] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def _salt(k: int) -> int:
     return (k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
 
 
-def covered_words(words: Words, at: np.ndarray, window: int) -> np.ndarray:
-    """Which words the windows that begin at ``at`` cover."""
-    edges = np.zeros(len(words) + 1, dtype=np.int64)
-    np.add.at(edges, at, 1)
-    np.add.at(edges, np.minimum(at + window, len(words)), -1)
-    return np.cumsum(edges[:-1]) > 0
-
-
-def kept_texts(words: Words, gone: np.ndarray) -> list[bytes]:
-    """For each text its kept words joined by one space."""
-    keep = ~gone
-    edges = np.zeros(len(words.data) + 2, dtype=np.int8)
-    edges[words.start[keep]] += 1
-    edges[words.end[keep] + 1] -= 1
-    data = words.data.copy()
-    data[words.end[keep]] = 32
-    out = data[np.cumsum(edges[:-2], dtype=np.int8).view(bool)]
-    sizes = np.where(keep, words.end - words.start + 1, 0)
-    ends = np.r_[0, np.cumsum(sizes)][words.first]
-    whole = out.tobytes()
-    return [whole[a : max(a, b - 1)] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+def covered_words(n: int, at: np.ndarray, window: int) -> np.ndarray:
+    """Which of n words the windows that begin at ``at`` cover."""
+    edges = np.bincount(at, minlength=n + 1) - np.bincount(np.minimum(at + window, n), minlength=n + 1)
+    return np.cumsum(edges[:n]) > 0
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -247,74 +260,69 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     symbols (see merge) that more than one text has, the same wherever it stands; what only one text has
     ends there. A window that holds such an end is no repeat; all others are spelled in symbols (see
     repeats_by_symbols), and a last round asks whether a smaller document has the same spelling. Words are
-    told apart by their bytes within a chunk and by 128 bits of XXH3 between chunks, symbols exactly,
-    spellings by 128 bits. More ``rounds`` leave fewer windows to the last one.
+    told apart by their bytes within a chunk and by 64 bits of XXH3 between chunks, symbols exactly;
+    spellings by 128 bits, of which half come from a second hash of the words. So two windows are taken for each
+    other only if both hashes of differing words agree. More ``rounds`` leave fewer windows to the last one.
     """
-    state = _word_state(id_col, text_col)
-    chunks = store_chunks(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), text_col, chunk_bytes, state)
+    ranges = key_ranges(docs.sparkSession)
+    chunks = store_chunks(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), text_col, chunk_bytes, lambda batch: Chunk.pack(batch, id_col, text_col, ranges))
     names, bits = names_reader(chunks), bits_reader(chunks)
 
-    def words(state):
-        high, low, index, doc, _ = _read_state(state)
-        first, last = np.zeros(len(high), np.int64), np.zeros(len(high), np.int64)
-        last[index] = doc
-        first[index[::-1]] = doc[::-1]
-        return high, [(first != last).astype(np.uint8), low]
+    def words(chunk):
+        first, last = (np.zeros(int(chunk.edges[-1]), np.int32) for _ in range(2))
+        last[chunk.index] = chunk.doc
+        first[chunk.index[::-1]] = chunk.doc[::-1]
+        return chunk.hashes(), [(first != last).astype(np.uint8)]
 
     def symbols(k):
-        def question(state, names):
-            levels, _ = _levels(state, names, k)
-            m = merge(levels[-1], _salt(k), k == 0)
+        def question(chunk, names):
+            m = merge(chunk.levels(names, k)[-1], _salt(k), k == 0)
             return m.keys, m.columns
 
         return question
 
-    def repeats(state, names):
-        levels, ids = _levels(state, names, rounds)
-        at, key, check = repeats_by_symbols(levels, window)
-        keys, check, least, _ = _least_by_key(key, check, ids[levels[0].doc[at]])
+    def repeats(chunk, names):
+        at, key, check = chunk.repeats(names, rounds, window)
+        keys, check, least, _ = _least_by_key(key, check, chunk.ids[chunk.doc[at]])
         return keys, [check, least]
 
-    said = materialise(answer(ask(chunks, words, column="state"), shared_names, (np.uint8, U64), 1, one_row=False), "word-names")
+    said = materialise(answer(ask(chunks, words, open_=Chunk), shared_names, (np.uint8,), 1, one_row=False), "word-names")
     for k in range(rounds):
-        asked = ask(chunks, symbols(k), by_chunk(said), "state", names)
-        said = said.union(materialise(answer(asked, shared_names, _SYMBOL, k + 2, one_row=False), "symbol-names"))
+        asked = ask(chunks, symbols(k), by_chunk(said), Chunk, names, spare=True)
+        said = said.union(materialise(answer(asked, shared_names, _SYMBOL, k + 2, one_row=False, key_of=symbol_key), "symbol-names"))
     named = by_chunk(said)
-    earlier = answer(ask(chunks, repeats, named, "state", names), _earlier, (U64, np.int64))
+    earlier = answer(ask(chunks, repeats, named, Chunk, names), _earlier, (U64, np.int64))
     schema = f"`{id_col}` long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, `{text_col}` string"
     arrow = pa.schema([(id_col, pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), (text_col, pa.string())])
 
     def finish(batches):
         for rows in batches:
             for row in rows.to_pylist():
-                levels, ids = _levels(row["state"], names(row["answers"]), rounds)
-                at, key, check = repeats_by_symbols(levels, window)
-                owners = ids[levels[0].doc[at]]
-                del levels
-                batch = opened(row["blob"])
-                words = Words(texts_of(batch, text_col))
+                chunk = Chunk(row["blob"])
+                at, key, check = chunk.repeats(names(row["answers"]), rounds, window)
+                owners = chunk.ids[chunk.doc[at]]
                 keys, _, least, place = _least_by_key(key, check, owners)
-                gone = covered_words(words, at[bits(row["more"])(keys)[place] | (least[place] < owners)] if len(at) else at, window)
-                counts = np.diff(words.first)
-                removed = np.diff(np.r_[0, np.cumsum(gone)][words.first])
-                texts = pa.array(kept_texts(words, gone), pa.binary()).cast(pa.string())
-                column = batch.column(batch.schema.get_field_index(id_col))
-                yield pa.RecordBatch.from_arrays([column, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), _spans(words, gone), texts], schema=arrow)
+                gone = covered_words(len(chunk.index), at[bits(row["more"])(keys)[place] | (least[place] < owners)] if len(at) else at, window)
+                first = np.r_[0, np.cumsum(chunk.counts)]
+                removed = np.diff(np.r_[0, np.cumsum(gone)][first])
+                texts = pa.array(chunk.texts(~gone), pa.binary()).cast(pa.string())
+                ids = pa.array(chunk.ids, pa.int64(), mask=chunk.ids == np.iinfo(np.int64).max)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(chunk.counts, pa.int64()), pa.array(removed, pa.int64()), _spans(chunk.doc, first, gone), texts], schema=arrow)
 
     both = with_answers(with_answers(chunks, named), earlier.withColumnRenamed("answers", "more"))
-    return both.select("blob", "state", "answers", "more").mapInArrow(tidied(finish), schema)
+    return both.select("blob", "answers", "more").mapInArrow(tidied(finish), schema)
 
 
-def _spans(words: Words, gone: np.ndarray) -> pa.Array:
+def _spans(doc: np.ndarray, first: np.ndarray, gone: np.ndarray) -> pa.Array:
     head, tail = gone.copy(), gone.copy()
     if len(gone) > 1:
-        same = words.doc[1:] == words.doc[:-1]
+        same = doc[1:] == doc[:-1]
         head[1:] &= ~(gone[:-1] & same)
         tail[:-1] &= ~(gone[1:] & same)
     a, b = np.flatnonzero(head), np.flatnonzero(tail) + 1
-    base = words.first[words.doc[a]]
+    base = first[doc[a]]
     pairs = pa.StructArray.from_arrays([pa.array(a - base, pa.int32()), pa.array(b - base, pa.int32())], ["start", "end"])
-    offsets = np.searchsorted(a, words.first)
+    offsets = np.searchsorted(a, first)
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)
 
 
