@@ -50,19 +50,23 @@ def renumber_map(objects: DataFrame, starts: dict[str, int] | None = None, types
 
 
 def renumber(objects: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Ids, refs and members rewritten by a map (type, old_id, new_id); what it lacks stays."""
+    """Ids, refs and members rewritten by a map (type, old_id, new_id); what it lacks stays.
+
+    Refs and members meet the map in one join and go back to their rows in one aggregate.
+    """
     mapping = materialise(mapping, "renumber-map")
-    ids = mapping.withColumnRenamed("old_id", "id")
-    moved = objects.join(ids, ["type", "id"], "left").withColumn("__id", F.coalesce("new_id", "id")).drop("new_id")
     row = F.struct("type", "id", "version", "_src", "_seq").alias("row")
-    nodes = mapping.where("type = 'n'").select(F.col("old_id").alias("ref"), "new_id")
-    refs = objects.where("type = 'w'").select(row, F.posexplode("refs").alias("pos", "r")).withColumn("ref", F.col("r.ref")).join(nodes, "ref", "left")
-    new_ref = F.struct(F.coalesce("new_id", "ref").alias("ref"), F.col("r.lon_e7").alias("lon_e7"), F.col("r.lat_e7").alias("lat_e7")).alias("x")
-    refs = refs.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", new_ref))), lambda p: p["x"]).alias("new_refs"))
-    members = objects.where("type = 'r'").select(row, F.posexplode("members").alias("pos", "m")).withColumns({"type": F.col("m.type"), "old_id": F.col("m.ref")})
-    members = members.join(mapping, ["type", "old_id"], "left")
-    new_member = F.struct("type", F.coalesce("new_id", "old_id").alias("ref"), F.col("m.role").alias("role")).alias("x")
-    members = members.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", new_member))), lambda p: p["x"]).alias("new_members"))
-    out = moved.withColumn("row", row).join(refs, "row", "left").join(members, "row", "left")
-    out = out.withColumns({"id": F.col("__id"), "refs": F.coalesce("new_refs", "refs"), "members": F.coalesce("new_members", "members")})
+    no_place, no_role = F.lit(None).cast("int"), F.lit(None).cast("string")
+    entry = lambda kind, ref, lon, lat, role: F.struct(kind.alias("type"), ref.alias("old_id"), lon.alias("lon_e7"), lat.alias("lat_e7"), role.alias("role"))
+    of_way = F.transform("refs", lambda r: entry(F.lit("n"), r["ref"], r["lon_e7"], r["lat_e7"], no_role))
+    of_relation = F.transform("members", lambda m: entry(m["type"], m["ref"], no_place, no_place, m["role"]))
+    entries = objects.where("type in ('w', 'r')").select(row, F.posexplode(F.when(F.col("type") == "w", of_way).otherwise(of_relation)).alias("pos", "e"))
+    found = entries.select("row", "pos", "e.*").join(mapping, ["type", "old_id"], "left")
+    moved = F.struct("type", F.coalesce("new_id", "old_id").alias("ref"), "lon_e7", "lat_e7", "role")
+    lists = found.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", moved.alias("x")))), lambda p: p["x"]).alias("__new"))
+    own = objects.join(mapping.withColumnRenamed("old_id", "id"), ["type", "id"], "left").withColumn("row", row)
+    out = own.join(lists, "row", "left")
+    refs = F.transform("__new", lambda x: F.struct(x["ref"].alias("ref"), x["lon_e7"].alias("lon_e7"), x["lat_e7"].alias("lat_e7")))
+    members = F.transform("__new", lambda x: F.struct(x["type"].alias("type"), x["ref"].alias("ref"), x["role"].alias("role")))
+    out = out.withColumns({"id": F.coalesce("new_id", "id"), "refs": F.coalesce(F.when(F.col("type") == "w", refs), "refs"), "members": F.coalesce(F.when(F.col("type") == "r", members), "members")})
     return out.select(*objects.columns)
