@@ -206,3 +206,70 @@ def test_scores_do_not_depend_on_the_sample(spark):
         scores = [r.score for r in toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels, train_rows=bound)).collect()]
         means.append(np.mean(scores))
     assert abs(means[0] - 0.1) < 0.02 and abs(means[1] - 0.1) < 0.03
+
+
+def plain_models(samples, order=4):
+    """Interpolated Kneser-Ney as it is written in books, with dictionaries: (language, text) -> bits for each character."""
+    coded = {lang: ["".join(map(chr, langid.encode([t])[0].tolist())) for t in texts] for lang, texts in samples.items()}
+    counts = {lang: [{} for _ in range(order + 1)] for lang in coded}
+    for lang, texts in coded.items():
+        for t in texts:
+            for i in range(len(t)):
+                for n in range(1, min(order, i + 1) + 1):
+                    if n > 1 or i:
+                        gram = t[i - n + 1 : i + 1]
+                        counts[lang][n][gram] = counts[lang][n].get(gram, 0) + 1
+        for n in range(order - 1, 0, -1):  # below the top: by how many characters it is led
+            seen = set(counts[lang][n + 1])
+            for gram in counts[lang][n]:
+                counts[lang][n][gram] = max(1, sum(longer[1:] == gram for longer in seen))
+    vocabulary = max(2, len({g for lang in coded for g in counts[lang][1]}))
+    least = 1 / (vocabulary * 64)
+    every = [set().union(*[counts[lang][n] for lang in coded]) for n in range(order + 1)]
+    contexts = [{g[:-1] for g in grams} for grams in every]
+
+    def parts(lang, n, context):
+        own = counts[lang][n]
+        ones, twos = sum(c == 1 for c in own.values()), sum(c == 2 for c in own.values())
+        discount = min(0.9, max(0.1, ones / max(ones + 2 * twos, 1)))
+        inside = [c for g, c in own.items() if g[:-1] == context]
+        total = sum(inside)
+        return discount, total, discount * len(inside) / total if total else 1.0
+
+    def p(lang, gram):
+        n = len(gram)
+        if gram not in every[n]:
+            return None
+        discount, total, free = parts(lang, n, gram[:-1])
+        share = max(counts[lang][n].get(gram, 0) - discount, 0) / total if total else 0.0
+        below = 1 / vocabulary if n == 1 else (p(lang, gram[1:]) or least)
+        return max(share + free * below, least)
+
+    def bits(lang, text):
+        t = "".join(map(chr, langid.encode([text])[0].tolist()))
+        total = 0.0
+        for i in range(1, len(t)):
+            for n in range(order, 0, -1):
+                gram = t[i - n + 1 : i + 1] if i + 1 >= n else None
+                found = p(lang, gram) if gram is not None else None
+                if found is not None:
+                    total -= math.log2(found)
+                    break
+                context = t[i - n + 1 : i] if i + 1 >= n else None
+                if n > 1 and context in contexts[n]:
+                    total -= math.log2(parts(lang, n, context)[2])
+            else:
+                total -= math.log2(least)
+        return total / max(len(t) - 1, 1)
+
+    return bits
+
+
+def test_entropies_like_brute_force():
+    samples = {"aa": ["kamilo sona, la", "ka ka 12 mira", "sol"], "bb": ["und der kam", "die kamile", "ob x"]}
+    model, bits = langid.fit_models(samples), plain_models(samples)
+    texts = ["kamilo", "der und", "la sol ñandu", "x", "mir die ka 7 sona", "KA LA", "", "12 !"]
+    got, letters = model.entropies(texts)
+    for text, row, n in zip(texts, got, letters, strict=True):
+        if n:
+            assert row == pytest.approx([bits("aa", text), bits("bb", text)], abs=1e-4), text

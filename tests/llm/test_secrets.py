@@ -139,3 +139,29 @@ def test_digests(spark, tmp_path, monkeypatch):
         joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert r.spans == joined or r.n_learned
+
+
+def test_probability_by_plain_loops(model):
+    """Embedding, convolution, maxima and means of three segments and the logistic unit, one candidate at a time."""
+    import math
+
+    text = 'see token of ghp_a8Kd02LmQz71XvBn5RtYw3HcJp6Ue9GfSi4o and "' + "k1/" * 40 + '"'
+    spans = S.candidates(text)
+    assert len(spans) == 2
+    p = model.params
+    for (a, b), got in zip(spans, model.probability([text] * 2, spans), strict=True):
+        best = -math.inf
+        for x, y in S.pieces(a, b):
+            padded = text[max(0, x - S.LEFT) : x].rjust(S.LEFT, "\0") + text[x:y].ljust(S.MIDDLE, "\0") + text[y : y + S.RIGHT].ljust(S.RIGHT, "\0")
+            codes = [0 if c == "\0" else 96 if c in "\t\n\r" else ord(c) - 31 if " " <= c <= "~" else 97 for c in padded]
+            seen = [[p["embed"][c][k] + p["place"][i][k] for k in range(model.channels)] for i, c in enumerate(codes)]
+            steps = len(codes) - model.width + 1
+            # The weights of one step are ordered by channel, then by offset.
+            act = [[max(0.0, p["bias"][f] + sum(seen[i + w][k] * p["conv"][k * model.width + w][f] for k in range(model.channels) for w in range(model.width))) for f in range(model.filters)] for i in range(steps)]
+            ends = [0, S.LEFT, S.LEFT + S.MIDDLE - model.width + 1, steps]
+            features = []
+            for i, j in zip(ends, ends[1:], strict=False):
+                features += [max(row[f] for row in act[i:j]) for f in range(model.filters)]
+                features += [sum(row[f] for row in act[i:j]) / (j - i) for f in range(model.filters)]
+            best = max(best, sum(w * v for w, v in zip(p["out"], features, strict=True)) + p["shift"][0])
+        assert got == pytest.approx(1 / (1 + math.exp(-(model.scale[0] * best + model.scale[1]))), abs=1e-9)

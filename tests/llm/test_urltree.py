@@ -84,3 +84,94 @@ def test_branches_differ_at_any_depth(spark):
     rows = judge_urls(frame(spark, urls), rules=(), label=label).collect()
     assert len(rows) == len(urls)
     assert all((r.verdict == "block") == ("spam" in r.path) for r in rows)
+
+
+def plain_templates(paths, near=0.25, purity_gap=0.25, max_depth=4, max_children=24):
+    """Templates of distinct (host, path) -> (bad, good), one tree and one node at a time."""
+    import math
+    import re
+
+    from waymill.llm.urltree import END, LITERAL, SHAPES
+
+    kinds = [k for k, _ in SHAPES] + [LITERAL, END]
+    shape = lambda seg: next((k for k, pattern in SHAPES if re.search(pattern, seg)), None)
+    half_up = lambda x: math.floor(x + 0.5)
+    out = {}
+    for host in {h for h, _ in paths}:
+        own = {p: labels for (h, p), labels in paths.items() if h == host}
+        prior = (sum(b for b, _ in own.values()) + 1) / (sum(b + g for b, g in own.values()) + 2)
+        nodes, depth = {"": {p: ([] if p == "" else re.sub("^/", "", p).split("/")) for p in own}}, 0
+        while nodes:
+            below = {}
+            for prefix, members in nodes.items():
+                if depth >= max_depth:
+                    for p in [p for p, segs in members.items() if len(segs) <= depth]:
+                        out[host, p] = prefix
+                        del members[p]
+                    known = any(sum(own[p]) for p in members)
+                    if not (known and len(members) > 1):
+                        for p, segs in members.items():
+                            out[host, p] = prefix + "/" + "/".join(shape(x) or x for x in segs[depth:]) if known else prefix + "/**"
+                        continue
+                kids = {}
+                for p, segs in members.items():
+                    if len(segs) > depth and shape(segs[depth]) is None:
+                        kids.setdefault(segs[depth], []).append(p)
+                stats = {}
+                for seg, ps in kids.items():
+                    nexts = [END if len(members[p]) <= depth + 1 else shape(members[p][depth + 1]) or LITERAL for p in ps]
+                    bad, good = sum(own[p][0] for p in ps), sum(own[p][1] for p in ps)
+                    shares = [nexts.count(k) / len(ps) for k in kinds]
+                    purity = (bad + prior * 4) / (bad + good + 4)
+                    cell = (*(half_up(x / (near / 4)) for x in shares), half_up(purity / (purity_gap / 4)))
+                    stats.setdefault(cell, []).append((seg, len(ps), bad, good, [nexts.count(k) for k in kinds]))
+                cells = [(sum(x[1] for x in xs), min(x[0] for x in xs), xs) for xs in stats.values()]
+                clusters = []
+                for n, _, xs in sorted(cells, key=lambda c: (-c[0], c[1])):
+                    shares = [sum(x[4][k] for x in xs) / n for k in range(len(kinds))]
+                    bad, good, names = sum(x[2] for x in xs), sum(x[3] for x in xs), len(xs)
+                    purity = (bad + prior * names * 4) / (bad + good + names * 4)
+                    for c in clusters:
+                        if sum(abs(a - b) for a, b in zip(c["shares"], shares, strict=True)) / 2 <= near and abs(c["purity"] - purity) <= purity_gap:
+                            c["segs"] += [x[0] for x in xs]
+                            c["n"] += n
+                            break
+                    else:
+                        clusters.append({"shares": shares, "purity": purity, "segs": [x[0] for x in xs], "n": n, "at": len(clusters)})
+                wide = [c for c in clusters if len(c["segs"]) > max_children]
+                top = max(wide, key=lambda c: (c["n"], -c["at"]), default=None)
+                names = {}
+                for c in clusters:
+                    segs = sorted(c["segs"])
+                    name = "*" if c is top else "{" + segs[0] + "|*}" if c in wide else "{" + "|".join(segs) + "}" if len(segs) > 1 else segs[0]
+                    names |= dict.fromkeys(segs, name)
+                for p, segs in members.items():
+                    to = prefix if len(segs) <= depth else f"{prefix}/{shape(segs[depth]) or names[segs[depth]]}"
+                    below.setdefault(to, {})[p] = segs
+            nodes, depth = below, depth + 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_templates_like_brute_force(spark, seed):
+    from tests.llm.helpers import rng
+    from waymill.llm.urltree import path_templates
+
+    r = rng(seed)
+    words = ["news", "shop", "spam", "user", "a-b", "tag", "about", "blog", *(f"w{i}x" for i in range(30))]
+    paths = {}
+    for _ in range(400):
+        segs = [r.choice([r.choice(words), str(r.randrange(99)), "2024-01-02", "9f8e7d6c5b", f"{r.randrange(9)}.html", "a-b-c-d-e"][: 1 + r.randrange(6)]) for _ in range(r.randrange(8))]
+        label = (1, 0) if "spam" in segs else (0, 1) if "news" in segs else (0, 0)
+        paths[f"h{r.randrange(3)}", "/" + "/".join(segs) if segs else r.choice(["", "/", "//x"])] = label
+    rows = [(h, p, b, g) for (h, p), (b, g) in paths.items()]
+    got = {(x.host, x.path): x.template for x in path_templates(spark.createDataFrame(rows, "host string, path string, bad long, good long")).collect()}
+    assert got == plain_templates(paths)
+
+
+def test_very_long_urls(spark):
+    """A path of many segments beside a short one, both labelled, a segment of a million characters, and an unlabelled one of many segments."""
+    urls = ["http://h/" + "/".join(["x"] * 5000), "http://h/" + "y" * 1_000_000, "http://h/x", "http://g/" + "/".join(f"s{i}" for i in range(3000))]
+    label = F.when(F.col("page_id") < 3, F.col("page_id") % 2)
+    rows = {r.page_id: r for r in judge_urls(frame(spark, urls), rules=(), label=label.cast("int")).collect()}
+    assert len(rows) == 4 and [len(rows[i].path) for i in range(4)] == [len(u) - 8 for u in urls] and rows[3].template.endswith("/**")

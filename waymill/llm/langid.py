@@ -351,7 +351,10 @@ def identify(docs: DataFrame, model: LanguageModels, text_col: str = "text", kee
 
 
 def drop_rejected(docs: DataFrame, model: LanguageModels, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text the models accept (see identify)."""
+    """The rows of docs, all columns, whose text the models accept (see identify).
+
+    Null texts and those without a letter aren't accepted; equal texts are judged alike; if nothing was learned, no row stays.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
