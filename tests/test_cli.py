@@ -100,3 +100,18 @@ def test_changes_as_a_stream(spark, objects, folder, ids):
     replication.follow(replication.change_stream(spark, path, 1), root, available_now=True).awaitTermination()
     assert ids(replication.state(spark, root, 1), version=True) == ["n1v2", "w3v1"]
     assert ids(replication.state(spark, root, 2), version=True) == ["n9v1", "w3v1"]
+
+
+def test_pager(monkeypatch, tmp_path, capsys):
+    """On a terminal what is shown goes through PAGER; else, or if it isn't wanted, straight out."""
+    import sys
+
+    from waymill import cli
+
+    monkeypatch.setenv("PAGER", f"tee {tmp_path / 'seen'}")
+    for terminal, wanted in ((True, True), (False, True), (True, False)):
+        monkeypatch.setattr(sys.stdout, "isatty", lambda t=terminal: t, raising=False)
+        with cli._pager(wanted):
+            print(f"row {terminal} {wanted}")
+    assert (tmp_path / "seen").read_text() == "row True True\n"
+    assert capsys.readouterr().out == "row False True\nrow True False\n"

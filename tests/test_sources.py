@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +144,9 @@ def test_plain_binary_nodes():
     way = pbf._number(1, 8) + pbf._list(8, pbf._steps([3, 1])) + pbf._list(9, pbf._steps([10, 20])) + pbf._list(10, pbf._steps([30, 40]))
     content = pbf._bytes(1, pbf._bytes(1, b"")) + pbf._bytes(2, pbf._bytes(1, node) + pbf._bytes(3, way))
     a, b = pbf.parse(pbf._blob("OSMData", content, "zlib"))
+    again = pbf.data_block([{**a, "id": -9, "tags": [{"k": "x", "v": ""}], "timestamp": None, "user": "me"}], dense=False)
+    (c,) = pbf.parse(again)
+    assert (c["id"], c["lon_e7"], c["lat_e7"], c["user"], c["tags"]) == (-9, 25, 15, "me", [{"k": "x", "v": ""}]) and again[-1] == 10
     assert (a["id"], a["lon_e7"], a["lat_e7"]) == (-7, 25, 15)
     assert b["refs"] == [{"ref": 3, "lon_e7": 30, "lat_e7": 10}, {"ref": 1, "lon_e7": 40, "lat_e7": 20}]
 
@@ -176,6 +181,9 @@ def test_debug_form(objects):
     assert text[2] == 'node 3 visible\n  version:   1\n  changeset: 0\n  timestamp: NOT SET\n  user:      0 ""\n  lon/lat:   0.0000001,-0.5\n'
     assert text[3].splitlines()[-6:] == ["  tags:      1", '    "road" = "yes"', "  nodes:     3 (closed)", "    0:          1", "    1:          3", "    2:          1"]
     assert 'way 4 "some role"' in text[4]
+    colored = debug.blocks(objects(LINES).orderBy("_seq"), color=True).collect()
+    assert colored[0].text.startswith("\x1b[1mnode 1 visible\x1b[0m\n\x1b[36m  version:   \x1b[0m1") and colored[1].text.startswith("\x1b[1;31mnode -2 deleted")
+    assert [re.sub("\x1b[^m]*m", "", r.text) for r in colored] == text
 
 
 @pytest.mark.parametrize(

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import json
 import os
+import shlex
 import shutil
+import subprocess
 import sys
 from datetime import UTC, datetime
 
@@ -359,17 +362,38 @@ def renumber(args):
 
 
 def show(args):
+    """Objects for reading, page by page on a terminal."""
     df = _types(args, _read(args, [args.input]).df).orderBy("_src", "_seq")
     form = args.output_format or "debug"
-    if form == "debug":
-        _print(debug.blocks(df))
-    elif form == "opl":
-        _print(opl.lines(df))
-    else:
-        first, last = xmlfile.frame(_read(args, [args.input]).header)
-        print(first)
-        _print(xmlfile.elements(df).select("xml"))
-        print(last)
+    with _pager(not args.no_pager):
+        if form == "debug":
+            _print(debug.blocks(df, color=args.color))
+        elif form == "opl":
+            _print(opl.lines(df))
+        else:
+            first, last = xmlfile.frame(_read(args, [args.input]).header)
+            print(first)
+            _print(xmlfile.elements(df).select("xml"))
+            print(last)
+
+
+@contextlib.contextmanager
+def _pager(wanted: bool):
+    """What is printed goes through the program that PAGER names (less by default) if it goes to a terminal."""
+    command = shlex.split(os.environ.get("PAGER", "less -R"))
+    if not (wanted and sys.stdout.isatty() and command and shutil.which(command[0])):
+        yield
+        return
+    viewer = subprocess.Popen(command, stdin=subprocess.PIPE, text=True)
+    try:
+        with contextlib.redirect_stdout(viewer.stdin):
+            yield
+    except BrokenPipeError:  # the reader has seen enough
+        pass
+    finally:
+        with contextlib.suppress(BrokenPipeError):
+            viewer.stdin.close()
+        viewer.wait()
 
 
 def sort(args):
@@ -423,7 +447,7 @@ COMMANDS: dict = {
     "query-locations-index": (query_locations_index, [("node_id", {"nargs": "?", "type": int}), ("--index-file -i", {"required": True}), ("--dump", _ON)]),
     "removeid": (removeid, [_ONE, *_ID_FLAGS, _OUT]),
     "renumber": (renumber, [_ONE, ("--output -o", {}), _TYPE, ("--start-id -s", {}), ("--index-directory -i", {}), ("--show-index", {})]),
-    "show": (show, [_ONE, _TYPE]),
+    "show": (show, [_ONE, _TYPE, ("--color -C", _ON), ("--no-pager -P", _ON)]),
     "sort": (sort, [_MANY, _OUT, ("--strategy", {"default": "simple", "choices": ["simple", "multipass"]})]),
     "tags-count": (tags_count, [_ONE, ("expression", {"nargs": "*"}), _FILE, _TYPE, ("--min-count -m", {"type": int}), ("--max-count -M", {"type": int}), ("--sort", {"default": "count-desc"})]),
     "tags-filter": (tags_filter, [_ONE, ("expression", {"nargs": "*"}), _FILE, _OUT, _TYPE, ("--invert-match -i", _ON), ("--omit-referenced -R", _ON), ("--remove-tags", _ON)]),

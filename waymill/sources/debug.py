@@ -18,9 +18,10 @@ def _numbered(items: Column, one) -> Column:
     return F.array_join(F.transform(items, lambda x, i: F.concat(F.lit("    "), F.lpad(i.cast("string"), width, " "), F.lit(": "), one(x))), "\n")
 
 
-def blocks(objects: DataFrame, crc: bool = False) -> DataFrame:
-    """(text) of each object, ended by an empty line; crc adds a checksum of the content."""
-    line = lambda name, value: F.concat(F.rpad(F.lit(f"  {name}:"), 13, " "), value)
+def blocks(objects: DataFrame, crc: bool = False, color: bool = False) -> DataFrame:
+    """(text) of each object, ended by an empty line; crc adds a checksum of the content, color marks of terminals."""
+    mark = lambda code, text: F.concat(F.lit(f"\x1b[{code}m"), text, F.lit("\x1b[0m")) if color else text
+    line = lambda name, value: F.concat(mark("36", F.rpad(F.lit(f"  {name}:"), 13, " ")), value)
     time = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     head = F.concat(_names(F.col("type")), F.lit(" "), "id", F.when(F.col("visible"), " visible").otherwise(" deleted"))
@@ -30,7 +31,7 @@ def blocks(objects: DataFrame, crc: bool = False) -> DataFrame:
     closed = F.when((n > 0) & (F.get("refs", F.lit(0))["ref"] == F.get("refs", n - 1)["ref"]), "closed").otherwise("open")
     place = lambda r: F.when(r["lon_e7"].isNull(), "").otherwise(F.concat(F.lit(" ("), decimal(r["lon_e7"]), F.lit(","), decimal(r["lat_e7"]), F.lit(")")))
     parts = [
-        head,
+        F.when(F.col("visible"), mark("1", head)).otherwise(mark("1;31", head)),
         line("version", F.col("version").cast("string")),
         line("changeset", F.col("changeset").cast("string")),
         line("timestamp", F.coalesce(F.concat(time, F.lit(" ("), F.unix_timestamp("timestamp").cast("string"), F.lit(")")), F.lit("NOT SET"))),

@@ -99,13 +99,13 @@ def write(dataset: Dataset, path: str, override: str | None = None, overwrite: b
     if form.encoding == "opl":
         text = opl.lines(df, with_places)
     elif form.encoding == "debug":
-        text = debug.blocks(df, form.option("add_crc32") == "true")
+        text = debug.blocks(df, form.option("add_crc32") == "true", form.option("use_color") == "true")
     elif form.encoding == "pbf":
         compress = {"true": "zlib", "false": "none"}.get(form.option("pbf_compression", "zlib"), form.option("pbf_compression", "zlib"))
         if compress not in ("zlib", "lz4", "none"):
             raise ValueError(f"Unknown compression {compress!r}")
         head = spark.createDataFrame([(pbf.header_block(header, form.kind == "history", with_places, compress),)], "block binary").coalesce(1)
-        text = pbf.as_lines(head.unionByName(pbf.encoded(df, with_places, compress)))
+        text = pbf.as_lines(head.unionByName(pbf.encoded(df, with_places, compress, form.option("pbf_dense_nodes") != "false")))
     elif form.encoding == "xml":
         change = form.kind == "change" or form.option("xml_change_format") == "true"
         body = xmlfile.elements(df, form.kind == "history" or form.option("force_visible_flag") == "true")

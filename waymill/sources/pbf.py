@@ -451,28 +451,30 @@ def header_block(header: Header, history: bool = False, locations_on_ways: bool
     return _blob("OSMHeader", content + _bytes(16, header.options.get("generator", "waymill").encode()), compression)
 
 
-def data_block(rows: list[dict], locations_on_ways: bool = False, compression: str = "zlib") -> bytes:
-    """One block of rows of one type."""
+def data_block(rows: list[dict], locations_on_ways: bool = False, compression: str = "zlib", dense: bool = True) -> bytes:
+    """One block of rows of one type; dense: nodes as columns."""
     strings: dict[str | None, int] = {None: 0}  # place 0 ends a node's tags, so an empty key has a place of its own
     s = lambda x: strings.setdefault(x, len(strings))
     aware = lambda t: t if t.tzinfo else t.replace(tzinfo=UTC)
     seconds = lambda r: int(aware(r["timestamp"]).timestamp()) if r["timestamp"] else 0
     kind = rows[0]["type"]
-    if kind == "n":
+    if kind == "n" and dense:
         pairs = [x for r in rows for x in (*(y for t in r["tags"] for y in (s(t["k"]), s(t["v"]))), 0)]
         info = _list(1, (r["version"] for r in rows))
         for n, values in ((2, map(seconds, rows)), (3, (r["changeset"] for r in rows)), (4, (r["uid"] for r in rows)), (5, [s(r["user"]) for r in rows])):
             info += _list(n, _steps(values))
         info += _list(6, (int(r["visible"]) for r in rows))
-        dense = _list(1, _steps(r["id"] for r in rows)) + _bytes(5, info)
-        dense += _list(8, _steps(r["lat_e7"] or 0 for r in rows)) + _list(9, _steps(r["lon_e7"] or 0 for r in rows)) + (_list(10, pairs) if any(pairs) else b"")
-        group = _bytes(2, dense)
+        columns = _list(1, _steps(r["id"] for r in rows)) + _bytes(5, info)
+        columns += _list(8, _steps(r["lat_e7"] or 0 for r in rows)) + _list(9, _steps(r["lon_e7"] or 0 for r in rows)) + (_list(10, pairs) if any(pairs) else b"")
+        group = _bytes(2, columns)
     else:
         group = b""
         for r in rows:
-            data = _number(1, r["id"]) + _list(2, [s(t["k"]) for t in r["tags"]]) + _list(3, [s(t["v"]) for t in r["tags"]])
+            data = _number(1, _zig(r["id"]) if kind == "n" else r["id"]) + _list(2, [s(t["k"]) for t in r["tags"]]) + _list(3, [s(t["v"]) for t in r["tags"]])
             data += _bytes(4, _number(1, r["version"]) + _number(2, seconds(r)) + _number(3, r["changeset"]) + _number(4, r["uid"]) + _number(5, s(r["user"])) + _number(6, int(r["visible"])))
-            if kind == "w":
+            if kind == "n":
+                data += _number(8, _zig(r["lat_e7"] or 0)) + _number(9, _zig(r["lon_e7"] or 0))
+            elif kind == "w":
                 refs = r["refs"] or []
                 data += _list(8, _steps(x["ref"] for x in refs))
                 if locations_on_ways and all(x["lon_e7"] is not None for x in refs):
@@ -480,12 +482,12 @@ def data_block(rows: list[dict], locations_on_ways: bool = False, compression: s
             else:
                 members = r["members"] or []
                 data += _list(8, [s(m["role"]) for m in members]) + _list(9, _steps(m["ref"] for m in members)) + _list(10, [_TYPES.index(m["type"]) for m in members])
-            group += _bytes(3 if kind == "w" else 4, data)
+            group += _bytes({"n": 1, "w": 3, "r": 4}[kind], data)
     table = b"".join(_bytes(1, (x or "").encode()) for x in strings)
     return _blob("OSMData", _bytes(1, table) + _bytes(2, group) + _number(17, 100), compression)
 
 
-def encoded(objects: DataFrame, locations_on_ways: bool = False, compression: str = "zlib") -> DataFrame:
+def encoded(objects: DataFrame, locations_on_ways: bool = False, compression: str = "zlib", dense: bool = True) -> DataFrame:
     """(block) the blocks of the objects in the order of their partitions; joined behind a header block they are a file."""
 
     def run(batches):
@@ -493,11 +495,11 @@ def encoded(objects: DataFrame, locations_on_ways: bool = False, compression: st
         for batch in batches:
             for row in batch.to_pylist():
                 if waiting and (waiting[0]["type"] != row["type"] or len(waiting) == BLOCK_OBJECTS):
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([data_block(waiting, locations_on_ways, compression)], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([data_block(waiting, locations_on_ways, compression, dense)], pa.binary())})
                     waiting = []
                 waiting.append(row)
         if waiting:
-            yield pa.RecordBatch.from_pydict({"block": pa.array([data_block(waiting, locations_on_ways, compression)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([data_block(waiting, locations_on_ways, compression, dense)], pa.binary())})
 
     return objects.mapInArrow(run, "block binary")
 
