@@ -6,9 +6,9 @@ from tests.llm.test_models import prose
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
-def made(spark, folder):
+def made(spark, folder, n=40):
     r = rng(8)
-    texts = [(i, prose(r, lang, 80) + f"\n{prose(r, lang, 20)}", lang, f"s{i % 3}") for i, lang in enumerate(["aa", "bb", "cc"] * 40)]
+    texts = [(i, prose(r, lang, 80) + f"\n{prose(r, lang, 20)}", lang, f"s{i % 3}") for i, lang in enumerate(["aa", "bb", "cc"] * n)]
     item = prose(r, "aa", 30)
     texts.append((500, "12 34 !", "aa", "s0"))  # no language
     texts.append((501, texts[4][1], "bb", "s1"))  # a copy: all its lines go
@@ -40,6 +40,47 @@ def test_every_stage_decides(spark, tmp_path):
     assert sorted(map(tuple, again)) == sorted(map(tuple, mixed))
 
 
+def test_every_stage_like_brute_force(spark, tmp_path):
+    """Each stage beside a plain restatement of what it decides, on what the stage before kept."""
+    import duckdb
+
+    from tests.llm import test_decontaminate, test_lines, test_minhash
+    from waymill.llm.decontaminate import ERROR_RATE, normalise
+    from waymill.llm.langid import train_on_documents
+    from waymill.llm.mixing import OP4_SQL
+
+    made(spark, tmp_path, 14)
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        if name == "language ID":
+            model = train_on_documents(docs)
+            expected = {}
+            for i, t in texts.items():
+                (bits,), (letters,) = model.entropies([t])
+                best = int(bits.argmin())
+                if letters and bits[best] <= model.centre[best] + model.tolerance * model.spread[best] / letters**0.5:
+                    expected[i] = t
+        elif name == "line dedup":
+            left = dict(test_lines.brute(list(texts.items())))
+            expected = {i: t for i, t in left.items() if t.strip() or not texts[i].strip()}
+        elif name == "near dedup":
+            labels = test_minhash.brute(list(texts.items()))
+            expected = {i: t for i, t in texts.items() if labels[i] == i}
+        else:
+            (item,) = (normalise(r.text) for r in spark.read.parquet(f"{tmp_path}/benchmark.parquet").collect())
+            expected = {i: t for i, t in texts.items() if test_decontaminate.least(item, normalise(t)) > int(len(item) * ERROR_RATE)}
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = texts = {r.doc_id: r.text for r in docs.collect()}
+        assert texts == expected, name
+    assert len({len(x) for x in kept.values()}) == 4  # every stage drops something
+    tables = duckdb.connect()
+    tables.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/decontamination/*.parquet')")
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).select("doc_id", "size", "source_size", "target", "taken").collect()
+    assert sorted(map(tuple, mixed)) == sorted(tables.execute(OP4_SQL).fetchall())
+
+
 def test_registered():
     import __spark_entry__ as entry
 
