@@ -30,6 +30,7 @@ class KDTree:
         self.hi: list[np.ndarray] = []
         self.kids: list[tuple[int, int] | None] = []
         self.members: list[np.ndarray | None] = []
+        self.leaf = np.zeros(len(ids), dtype=np.int32)  # of each row
         stack = [(np.arange(len(ids)), -1, 0)]
         while stack:
             at, parent, side = stack.pop()
@@ -44,6 +45,7 @@ class KDTree:
             if len(at) <= leaf_rows or not (hi > lo).any():
                 self.kids.append(None)
                 self.members.append(np.sort(at))
+                self.leaf[at] = node
                 continue
             axis = int(np.argmax(hi - lo))
             half = len(at) // 2
@@ -63,9 +65,11 @@ class KDTree:
         if not len(self.ids):
             return [[] for _ in queries]
         bounds = np.maximum(queries, 0) @ self.hi_matrix.T + np.minimum(queries, 0) @ self.lo_matrix.T
-        for q, me, least, bound in zip(queries, own, floor, bounds, strict=True):
+        first, last = np.searchsorted(self.ids, own), np.searchsorted(self.ids, own, "right")
+        for q, least, bound, a, b in zip(queries, floor, bounds, first.tolist(), last.tolist(), strict=True):
             best: list[tuple[float, int]] = []  # a heap of (score, -id): its head is the worst
-            met = False
+            itself = a + np.flatnonzero((self.rows[a:b] == q).all(axis=1))[:1] if b > a else ()
+            home = int(self.leaf[itself[0]]) if len(itself) else -1
             line = [(-bound[0], 0)]
             while line:
                 ahead, node = heapq.heappop(line)
@@ -78,13 +82,9 @@ class KDTree:
                     continue
                 at = self.members[node]
                 scores = self.rows[at] @ q
-                fits = scores >= least
-                if not met:
-                    itself = np.flatnonzero(fits & (self.ids[at] == me))
-                    itself = itself[(self.rows[at[itself]] == q).all(axis=1)]
-                    met = len(itself) > 0
-                    fits[itself[:1]] = False
-                near = np.flatnonzero(fits)
+                near = np.flatnonzero(scores >= least)
+                if node == home:
+                    near = near[at[near] != itself[0]]
                 if len(near) > 4 * k:
                     near = near[np.lexsort((self.ids[at[near]], -scores[near]))[:k]]
                 for j in near:
