@@ -79,6 +79,32 @@ def test_change_file(spark, tmp_path):
     assert actions == ["create", "delete", "modify"]
 
 
+def test_xml_by_splits(spark, tmp_path):
+    """Files of XML, packed or not, are read by splits that begin anywhere, in their order and with their sections."""
+    things = [f'<node id="{i}" version="2" lat="{i % 7}.5" lon="1"><tag k="a" v="b{i}"/>\n</node>\n' if i % 3 else f'<way id="{i}"\n version="1"><nd ref="{i + 1}"/></way>' for i in range(1, 400)]
+    (tmp_path / "in.osm").write_text('<?xml version="1.0"?>\n<osm version="0.6"><bounds minlon="1" minlat="1" maxlon="2" maxlat="2"/>\n' + "\n".join(things) + "\n</osm>")
+    changes = "".join(f"<{('delete', 'modify')[i // 90 % 2]}>\n" + "\n".join(things[i : i + 90]) + f"</{('delete', 'modify')[i // 90 % 2]}>\n" for i in range(0, 399, 90))
+    (tmp_path / "in.osc").write_text(f'<osmChange version="0.6">\n{changes}</osmChange>\n')
+    whole = rows(xmlfile.parsed_files(spark, str(tmp_path / "in.osc"), xmlfile.parse_events))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    try:
+        data, changed = xmlfile.read(spark, str(tmp_path / "in.osm")), xmlfile.read_changes(spark, str(tmp_path / "in.osc"))
+        assert data.rdd.getNumPartitions() > 10 and changed.rdd.getNumPartitions() > 10
+        found = changed.orderBy("_seq").collect()
+        assert [(r.id, r.visible) for r in found] == [(i, (i - 1) // 90 % 2 == 1) for i in range(1, 400)]
+        bare = lambda rs: sorted(({k: v for k, v in r.items() if k != "_seq"} for r in rs), key=str)
+        assert bare(rows(changed)) == bare(whole)
+        assert [r.id for r in data.where("type = 'w'").orderBy("_seq").collect()] == [i for i in range(1, 400) if i % 3 == 0]
+        assert data.where("type = 'n'").count() == 266 and data.orderBy("_seq").first()["type"] == "n"
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    (tmp_path / "cut.osc").write_text('<osmChange><create><node id="9" version="1"><tag k="a" v="b"/>')
+    with pytest.raises(Exception, match="within an object"):
+        xmlfile.read_changes(spark, str(tmp_path / "cut.osc")).collect()
+
+
 def test_changesets(spark, tmp_path):
     path = tmp_path / "cs.osm"
     path.write_text('<osm><changeset id="1" created_at="2020-01-01T00:00:00Z" open="true" user="u" uid="2" num_changes="3"><tag k="a" v="b"/></changeset>\n<changeset id="2" created_at="2020-01-01T00:00:00Z" closed_at="2020-01-01T01:00:00Z" open="false" min_lat="1" min_lon="2" max_lat="3" max_lon="4" comments_count="5"/></osm>')
