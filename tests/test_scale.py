@@ -29,3 +29,10 @@ def test_stream_batches_are_written_by_many_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     folder = [p for p in scratch._WRITTEN[spark.sparkContext.applicationId] if "/stream-" in p][-1]
     assert len(glob.glob(f"{folder}/part-*")) > 2
+
+
+def test_check_refs_is_one_aggregate(spark, objects):
+    found = rf.check_refs(objects("n1\nn1 v2\nw5 Nn1,n2,n2,n3\nr7 Mn2@,n2@,w5@,w6@,r8@,r8@,r7@\nr9 Mn2@,w6@"), relations=True)
+    assert found.first().asDict() == {"nodes": 2, "ways": 1, "relations": 2, "missing_nodes_in_ways": 3, "missing_nodes_in_relations": 1, "missing_ways_in_relations": 1, "missing_relations_in_relations": 2}
+    assert "Join" not in plan(found) and "Expand" not in plan(found)
+    assert rf.check_refs(objects("r7 Mn2@")).first().missing_nodes_in_ways == 0
