@@ -36,3 +36,12 @@ def test_check_refs_is_one_aggregate(spark, objects):
     assert found.first().asDict() == {"nodes": 2, "ways": 1, "relations": 2, "missing_nodes_in_ways": 3, "missing_nodes_in_relations": 1, "missing_ways_in_relations": 1, "missing_relations_in_relations": 2}
     assert "Join" not in plan(found) and "Expand" not in plan(found)
     assert rf.check_refs(objects("r7 Mn2@")).first().missing_nodes_in_ways == 0
+
+
+def test_rows_that_are_there_twice_keep_their_lists(spark, objects):
+    rows = objects("n1 x1 y2\nn2 x3 y4\nw5 Nn2,n1,n2\nr7 Mn1@a,w5@b")
+    twice = rows.unionByName(rows)
+    ways = lo.refreshed_locations(twice).where("type = 'w'").select(F.transform("refs", lambda r: r["lon_e7"]).alias("x")).collect()
+    assert [r.x for r in ways] == [[30_000_000, 10_000_000, 30_000_000]] * 2
+    new = rn.renumber(twice, rn.renumber_map(rows, {"n": 10})).where("type <> 'n'").select("type", "refs.ref", "members").collect()
+    assert sorted((r.type, r.ref, [(m.type, m.ref, m.role) for m in r.members or ()]) for r in new) == [("r", None, [("n", 10, "a"), ("w", 1, "b")])] * 2 + [("w", [11, 10, 11], [])] * 2

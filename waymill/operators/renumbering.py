@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymill.model import TYPES
-from waymill.scratch import materialise, numbered
+from waymill.scratch import by_place, materialise, numbered
 
 
 def first_seen(objects: DataFrame, kind: str) -> DataFrame:
@@ -52,21 +52,21 @@ def renumber_map(objects: DataFrame, starts: dict[str, int] | None = None, types
 def renumber(objects: DataFrame, mapping: DataFrame) -> DataFrame:
     """Ids, refs and members rewritten by a map (type, old_id, new_id); what it lacks stays.
 
-    Refs and members meet the map in one join and go back to their rows in one aggregate.
+    Refs and members meet the map in one join and go back to their rows in one aggregate: what is asked for and
+    answered is a place and an id, all else stays with the row.
     """
     mapping = materialise(mapping, "renumber-map")
     row = F.struct("type", "id", "version", "_src", "_seq").alias("row")
-    no_place, no_role = F.lit(None).cast("int"), F.lit(None).cast("string")
-    entry = lambda kind, ref, lon, lat, role: F.struct(kind.alias("type"), ref.alias("old_id"), lon.alias("lon_e7"), lat.alias("lat_e7"), role.alias("role"))
-    of_way = F.transform("refs", lambda r: entry(F.lit("n"), r["ref"], r["lon_e7"], r["lat_e7"], no_role))
-    of_relation = F.transform("members", lambda m: entry(m["type"], m["ref"], no_place, no_place, m["role"]))
-    entries = objects.where("type in ('w', 'r')").select(row, F.posexplode(F.when(F.col("type") == "w", of_way).otherwise(of_relation)).alias("pos", "e"))
-    found = entries.select("row", "pos", "e.*").join(mapping, ["type", "old_id"], "left")
-    moved = F.struct("type", F.coalesce("new_id", "old_id").alias("ref"), "lon_e7", "lat_e7", "role")
-    lists = found.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", moved.alias("x")))), lambda p: p["x"]).alias("__new"))
+    entry = lambda kind, ref: F.struct(kind.alias("type"), ref.alias("old_id"))
+    asked = F.when(F.col("type") == "w", F.transform("refs", lambda r: entry(F.lit("n"), r["ref"]))).otherwise(F.transform("members", lambda m: entry(m["type"], m["ref"])))
+    entries = objects.where("type in ('w', 'r')").select(row, F.posexplode(asked).alias("pos", "e"))
+    found = entries.select("row", "pos", "e.*").join(mapping, ["type", "old_id"], "left").select("row", "pos", "new_id")
+    lists = by_place(found, "row", ["new_id"], "__new")
     own = objects.join(mapping.withColumnRenamed("old_id", "id"), ["type", "id"], "left").withColumn("row", row)
     out = own.join(lists, "row", "left")
-    refs = F.transform("__new", lambda x: F.struct(x["ref"].alias("ref"), x["lon_e7"].alias("lon_e7"), x["lat_e7"].alias("lat_e7")))
-    members = F.transform("__new", lambda x: F.struct(x["type"].alias("type"), x["ref"].alias("ref"), x["role"].alias("role")))
-    out = out.withColumns({"id": F.coalesce("new_id", "id"), "refs": F.coalesce(F.when(F.col("type") == "w", refs), "refs"), "members": F.coalesce(F.when(F.col("type") == "r", members), "members")})
+    new = lambda ref, i: F.coalesce(F.get("__new", i)["new_id"], ref)
+    refs = F.transform("refs", lambda r, i: F.struct(new(r["ref"], i).alias("ref"), r["lon_e7"].alias("lon_e7"), r["lat_e7"].alias("lat_e7")))
+    members = F.transform("members", lambda m, i: F.struct(m["type"].alias("type"), new(m["ref"], i).alias("ref"), m["role"].alias("role")))
+    asked_for = F.col("__new").isNotNull()
+    out = out.withColumns({"id": F.coalesce("new_id", "id"), "refs": F.when((F.col("type") == "w") & asked_for, refs).otherwise(F.col("refs")), "members": F.when((F.col("type") == "r") & asked_for, members).otherwise(F.col("members"))})
     return out.select(*objects.columns)

@@ -20,7 +20,7 @@ from waymill.operators import renumbering as rn
 from waymill.operators import summary as sm
 from waymill.plans import tables as t
 from waymill.plans.tables import PRELUDE, flat
-from waymill.scratch import numbered
+from waymill.scratch import materialise, numbered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -394,7 +394,7 @@ def renumber_nodes(spark, sf_dir):
 
 @query(_RANKS + ", way_map AS (SELECT id, row_number() OVER (ORDER BY id) AS new_id FROM ways) SELECT 'w' AS type, m.new_id AS id, coalesce((SELECT string_agg(n.new_id::VARCHAR, ',' ORDER BY r.pos) FROM refs r JOIN node_map n ON n.old_id = r.ref WHERE r.way = m.id), '') AS refs FROM way_map m")
 def renumber_refs(spark, sf_dir):
-    ways = t.ways(spark, sf_dir)
+    ways = materialise(t.ways(spark, sf_dir), "ways")
     return flat(rn.renumber(ways, rn.renumber_map(ways))).select("type", "id", "refs")
 
 
