@@ -45,3 +45,15 @@ def test_rows_that_are_there_twice_keep_their_lists(spark, objects):
     assert [r.x for r in ways] == [[30_000_000, 10_000_000, 30_000_000]] * 2
     new = rn.renumber(twice, rn.renumber_map(rows, {"n": 10})).where("type <> 'n'").select("type", "refs.ref", "members").collect()
     assert sorted((r.type, r.ref, [(m.type, m.ref, m.role) for m in r.members or ()]) for r in new) == [("r", None, [("n", 10, "a"), ("w", 1, "b")])] * 2 + [("w", [11, 10, 11], [])] * 2
+
+
+def test_ways_are_located_once(spark, objects):
+    rows = objects("n1 x1 y1\nn2 x2 y1\nn3 x1 y2\nw5 Ta=b Nn1,n2,n3,n1\nw6 Ta=b Nn1\nr7 Ttype=multipolygon Mw5@")
+    made, errors = ex.features(rows)
+    assert "posexplode(refs" not in plan(errors) and "posexplode(refs" not in plan(made)
+    assert sorted((r.type, r.id) for r in errors.collect()) == [("w", 6)]
+
+
+@pytest.mark.parametrize("column", ["l_extendedprice", "l_shipdate", "l_suppkey"])
+def test_ways_carry_only_what_orders_them(spark, column):
+    assert column not in plan(t.ways(spark, DATA)).split("Relation")[0].replace("\n", "")
