@@ -57,3 +57,9 @@ def test_ways_are_located_once(spark, objects):
 @pytest.mark.parametrize("column", ["l_extendedprice", "l_shipdate", "l_suppkey"])
 def test_ways_carry_only_what_orders_them(spark, column):
     assert column not in plan(t.ways(spark, DATA)).split("Relation")[0].replace("\n", "")
+
+
+def test_changed_ways_are_chosen_once(spark, objects):
+    rows = objects("n1 x1 y1\nn2 x2 y1\nw5 Ta=b Nn1,n2")
+    out = ch.apply_changes_locations(rows, [rows.where("type = 'n'")])
+    assert "row_number" not in plan(out.where("type = 'w'")) and out.count() == 3
