@@ -13,6 +13,7 @@ from waymill.operators import locations as lo
 from waymill.operators import references as rf
 from waymill.operators import renumbering as rn
 from waymill.plans import tables as t
+from waymill.sources import pbf
 
 DATA = "/root/testdata/sf0.001"
 
@@ -63,3 +64,17 @@ def test_changed_ways_are_chosen_once(spark, objects):
     rows = objects("n1 x1 y1\nn2 x2 y1\nw5 Ta=b Nn1,n2")
     out = ch.apply_changes_locations(rows, [rows.where("type = 'n'")])
     assert "row_number" not in plan(out.where("type = 'w'")) and out.count() == 3
+
+
+def test_small_numbers_of_blocks_are_read_at_once(monkeypatch):
+    values = [0, 1, 127, 128, 300, (1 << 64) - 1, 5]
+    data = b"".join(map(pbf._put, values))
+    assert pbf._packed(data) == values and pbf._packed(b"\x01\x02") == [1, 2]
+    with pytest.raises(IndexError):
+        pbf._packed(data + b"\x80")
+    calls = []
+    slow = pbf._varint
+    monkeypatch.setattr(pbf, "_varint", lambda *a: calls.append(1) or slow(*a))
+    way = {"type": "w", "id": 7, "version": 1, "visible": True, "timestamp": None, "changeset": 0, "uid": 3, "user": "", "tags": [{"k": "a", "v": "b"}], "refs": [{"ref": n, "lon_e7": None, "lat_e7": None} for n in range(50)]}
+    found = list(pbf.parse(pbf.data_block([way] * 100)))
+    assert [r["ref"] for r in found[99]["refs"]] == list(range(50)) and len(calls) < 100
