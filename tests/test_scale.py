@@ -55,6 +55,23 @@ def test_ways_are_located_once(spark, objects):
     assert sorted((r.type, r.id) for r in errors.collect()) == [("w", 6)]
 
 
+def written(spark, name):
+    return [p for p in scratch._WRITTEN.get(spark.sparkContext.applicationId, []) if f"/{name}-" in p]
+
+
+AREAS = "n1 x1 y1\nn2 x2 y1\nn3 x1 y2\nw5 Nn1,n2,n3,n1\nw6 Ta=b Nn1,n2,n3,n1\nw8 Ta=b Nn1\nr7 Ttype=multipolygon,a=b Mw5@\nr9 Ttype=route Mw6@"
+
+
+def test_only_ways_of_areas_are_located_for_relations(spark, objects):
+    every = len(written(spark, "located-ways"))
+    made, errors = ex.features(objects(AREAS), ex.ExportConfig(object_types=("r",)))
+    assert len(written(spark, "located-ways")) == every
+    assert [r.id for r in spark.read.parquet(written(spark, "member-ways")[-1]).collect()] == [5]
+    assert [(r.feature_id, len(r.area[0][0])) for r in made.collect()] == [("a15", 4)] and errors.count() == 0
+    both = ex.features(objects(AREAS))[0].where("type = 'r'").collect()
+    assert both == made.collect()
+
+
 @pytest.mark.parametrize("column", ["l_extendedprice", "l_shipdate", "l_suppkey"])
 def test_ways_carry_only_what_orders_them(spark, column):
     assert column not in plan(t.ways(spark, DATA)).split("Relation")[0].replace("\n", "")
