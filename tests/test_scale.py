@@ -72,6 +72,28 @@ def test_only_ways_of_areas_are_located_for_relations(spark, objects):
     assert both == made.collect()
 
 
+def test_ways_alone_are_neither_written_nor_asked_twice(spark, objects):
+    every = len(written(spark, "located-ways"))
+    made, errors = ex.features(objects(AREAS), ex.ExportConfig(object_types=("w",)))
+    assert len(written(spark, "located-ways")) == every
+    assert plan(made).count("posexplode(") == 1 and "Union" not in plan(made)
+    both = ex.features(objects(AREAS))
+    assert sorted(made.collect()) == sorted(both[0].where("type = 'w'").collect()) and len(made.collect()) == 2
+    assert [(r.type, r.id) for r in errors.collect()] == [("w", 8)]
+    with pytest.raises(ValueError):
+        ex.features(objects(AREAS), ex.ExportConfig(geometry_types=("line",)))
+
+
+def test_places_go_to_the_locations_as_plain_numbers(spark, objects):
+    rows = objects("n1 x-180 y-90\nn2 x180 y90\nn3 x-0.0000001 y0.0000001\nw5 Nn1,n2x3y4,n3,n4x5y-6,n4x7y")
+    found = lo.refreshed_locations(rows).where("type = 'w'").first().refs
+    assert [(r.ref, r.lon_e7, r.lat_e7) for r in found] == [(1, -1_800_000_000, -900_000_000), (2, 1_800_000_000, 900_000_000), (3, -1, 1), (4, 50_000_000, -60_000_000), (4, 70_000_000, None)]
+    unset = rows.withColumns({"version": F.lit(None).cast("int"), "_src": F.lit(None).cast("int"), "_seq": F.lit(None).cast("long")})
+    assert lo.refreshed_locations(unset).where("type = 'w'").first().refs == found
+    dealt = [x for x in lo.refreshed_locations(rows)._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(" in x]
+    assert dealt and not any("struct" in x for x in dealt)
+
+
 @pytest.mark.parametrize("column", ["l_extendedprice", "l_shipdate", "l_suppkey"])
 def test_ways_carry_only_what_orders_them(spark, column):
     assert column not in plan(t.ways(spark, DATA)).split("Relation")[0].replace("\n", "")
