@@ -94,6 +94,23 @@ def test_places_go_to_the_locations_as_plain_numbers(spark, objects):
     assert dealt and not any("struct" in x for x in dealt)
 
 
+def test_refs_are_put_together_once_for_a_way(spark, objects):
+    made, _ = ex.features(objects(AREAS), ex.ExportConfig(object_types=("w",)))
+    conditions = [x for x in plan(made.select("feature_id", "geometry_type")).splitlines() if x.strip(" :+-").startswith("Filter")]
+    assert conditions and not any("located" in x for x in conditions)
+
+
+def test_lines_are_read_without_a_function_for_each_ref(spark, objects):
+    rows = objects("w1 v2 dV c3 t2020-02-29T01:02:03Z i4 ua%20%b Tk%3d%=v,=,x Nn1,,n-2,n3\nw2  N\nw3 t Nn1xy,n2x1y2 v1 v7\nw4 v5 t2020-02-30T00:00:00Z\nr5 uN t1999 Mw1@a%40%b,n2@,,r-3@c\nn6 x1.5 y2")
+    assert "translate" not in plan(rows) and "regexp_replace" not in plan(rows) and "lambda f" not in plan(rows)
+    a, b, c, d, e, f = rows.orderBy("id").collect()
+    assert (a.version, a.changeset, str(a.timestamp), a.uid, a.user, a.tags) == (2, 3, "2020-02-29 01:02:03", 4, "a b", [("k=", "v"), ("", ""), ("x", "")])
+    assert [r.ref for r in a.refs] == [1, -2, 3] and b.refs == [] and b.version == 0 and d.refs == [] and d.timestamp is None
+    assert [tuple(r) for r in c.refs] == [(1, None, None), (2, 10_000_000, 20_000_000)] and c.version == 1 and c.timestamp is None
+    assert [tuple(m) for m in e.members] == [("w", 1, "a@b"), ("n", 2, ""), ("r", -3, "c")] and (e.user, e.timestamp) == ("N", None)
+    assert f.lat_e7 == 20_000_000 and f.refs is None
+
+
 @pytest.mark.parametrize("column", ["l_extendedprice", "l_shipdate", "l_suppkey"])
 def test_ways_carry_only_what_orders_them(spark, column):
     assert column not in plan(t.ways(spark, DATA)).split("Relation")[0].replace("\n", "")
